@@ -123,7 +123,7 @@ def members_by_date(intervals: DataFrame, index: DataFrame) -> DataFrame:
             .join(F.broadcast(position.toDF("_from", "_first")), "_from")
             .join(F.broadcast(position.toDF("_to", "_end")), "_to")
             .filter(F.col("_first") < F.col("_end")))
-    return (held.select(*kept, F.explode(F.sequence("_first", F.col("_end") - 1)).cast("int").alias("date_idx"))
+    return (held.select(*kept, F.explode(F.sequence(F.col("_first").cast("int"), (F.col("_end") - 1).cast("int"))).alias("date_idx"))
             .join(F.broadcast(index), "date_idx"))
 
 
