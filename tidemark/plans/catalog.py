@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import feature_queries, membership_queries, screen_queries  # noqa: F401
+from tidemark.plans import archive_queries, feature_queries, membership_queries, screen_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
