@@ -134,17 +134,26 @@ class ArchiveDay:
     errors: DataFrame
 
 
-def archive_boards(ranked: DataFrame, quotes: DataFrame, points: DataFrame) -> ArchiveDay:
-    """Ranked boards -> strict quotes -> ranked curves -> closing money."""
-    rows, errors = enrich_board_quotes(ranked, quotes)
+def archive_boards(ranked: DataFrame, quotes: DataFrame, points: DataFrame,
+                   on: Sequence[str] = ("code",)) -> ArchiveDay:
+    """Ranked boards -> strict quotes -> ranked curves -> closing money.
+
+    Many dates go in one plan when ``on`` names trade_date too.
+    """
+    rows, errors = enrich_board_quotes(ranked, quotes, on)
     curves = rank_at_time(points.join(rows.select("trade_date", "rank_type", "market", "code"),
                                       ["trade_date", "rank_type", "market", "code"], "left_semi"))
     return ArchiveDay(merge_close_money(rows, curves), curves, errors)
 
 
-def archive_stocks(ranked: DataFrame, quotes: DataFrame, points: DataFrame, trade_date: str) -> ArchiveDay:
-    """Ranked stocks -> quotes -> quoted only -> ranked curves of those -> closing money."""
-    rows = only_quoted(enrich_stock_quotes(ranked, quotes))
+def archive_stocks(ranked: DataFrame, quotes: DataFrame, points: DataFrame, trade_date: str | Column,
+                   on: Sequence[str] = ("code",)) -> ArchiveDay:
+    """Ranked stocks -> quotes -> quoted only -> ranked curves of those -> closing money.
+
+    ``trade_date`` is what quotes must be dated: one date, or a column of
+    ``quotes`` when many dates go in one plan.
+    """
+    rows = only_quoted(enrich_stock_quotes(ranked, quotes, on))
     curves, _ = eligible_only(points, rows)
     curves = rank_at_time(curves)
     wrong = misdated_quotes(quotes, trade_date).select(

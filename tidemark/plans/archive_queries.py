@@ -11,10 +11,15 @@ from tidemark.operators import bars as br
 from tidemark.operators import enrich as en
 from tidemark.operators import quality as qu
 from tidemark.operators import runs as rn
+from tidemark.operators.calendar import complete_dates
 from tidemark.plans import standin as st
 from tidemark.plans.registry import instant, joined, query, text
 from tidemark.sources.tables import bar_provenance, check_stock_bars, off_grid_points, with_bars
 
+SEALED = "2024-01-15"
+_GOOD = """good AS (SELECT d FROM daily WHERE rank_type IN ('concept','stock') GROUP BY d
+ HAVING count(*) FILTER (rank_type='concept')>0 AND count(*) FILTER (rank_type='concept' AND quote_available)=count(*) FILTER (rank_type='concept') AND count(*) FILTER (rank_type='stock')>0)"""
+
 # -- bars --------------------------------------------------------------------
 
 _MINUTES = """
@@ -117,16 +122,16 @@ def only_quoted(spark, sf):
 
 
 def _board_quotes(spark, sf):
-    """Concept quotes per day; every 17th event count leaves the quote out, every 19th misdates it."""
+    """Concept quotes per day: none where the close is unquoted, misdated where money flowed out."""
     rows = st.daily_close(spark, sf).filter(F.col("rank_type") == "concept")
-    stamp = F.when(F.col("volume") % 19 == 0, F.date_sub("trade_date", 1)).otherwise(F.col("trade_date"))
-    return rows, rows.filter(F.col("volume") % 17 != 0).select(
+    stamp = F.when(F.col("dark_money") < 0, F.date_sub("trade_date", 1)).otherwise(F.col("trade_date"))
+    return rows, rows.filter("quote_available").select(
         "trade_date", "code", F.col("close_price").alias("latest_price"), *en.QUOTE_FIELDS, "change_pct",
         F.concat(stamp.cast("string"), F.lit(" 15:00:00")).alias("quote_time"), F.lit(True).alias("available"))
 
 
 @query("enrich_board_quotes", "daily", """
-SELECT CAST(d AS VARCHAR) AS trade_date, code, close_price, strftime(d,'%Y-%m-%d')||' 15:00:00' AS quote_time FROM daily WHERE rank_type='concept' AND volume%17<>0 AND volume%19<>0""")
+SELECT CAST(d AS VARCHAR) AS trade_date, code, close_price, strftime(d,'%Y-%m-%d')||' 15:00:00' AS quote_time FROM daily WHERE rank_type='concept' AND quote_available AND dark_money>=0""")
 def enrich_board_quotes(spark, sf):
     rows, quotes = _board_quotes(spark, sf)
     good, _ = en.enrich_board_quotes(rows.withColumn("quote_time", F.lit("")), quotes, ["trade_date", "code"])
@@ -134,7 +139,7 @@ def enrich_board_quotes(spark, sf):
 
 
 @query("board_quote_errors", "daily", """
-SELECT code, CASE WHEN volume%17=0 THEN 'missing_quote' ELSE 'wrong_date' END AS reason FROM daily WHERE rank_type='concept' AND (volume%17=0 OR volume%19=0)""")
+SELECT code, CASE WHEN NOT quote_available THEN 'missing_quote' ELSE 'wrong_date' END AS reason FROM daily WHERE rank_type='concept' AND (NOT quote_available OR dark_money<0)""")
 def board_quote_errors(spark, sf):
     rows, quotes = _board_quotes(spark, sf)
     _, errors = en.enrich_board_quotes(rows.withColumn("quote_time", F.lit("")), quotes, ["trade_date", "code"])
@@ -142,7 +147,7 @@ def board_quote_errors(spark, sf):
 
 
 @query("misdated_quotes", "daily", """
-SELECT CAST(d AS VARCHAR) AS trade_date, code FROM daily WHERE rank_type='concept' AND volume%17<>0 AND volume%19=0""")
+SELECT CAST(d AS VARCHAR) AS trade_date, code FROM daily WHERE rank_type='concept' AND quote_available AND dark_money<0""")
 def misdated_quotes(spark, sf):
     _, quotes = _board_quotes(spark, sf)
     return en.misdated_quotes(quotes, F.col("trade_date")).select(text("trade_date"), "code")
@@ -219,12 +224,12 @@ def bar_checks(spark, sf):
 @query("store_bars", "research", """
 SELECT CAST(d AS VARCHAR) AS trade_date, minute_index, market, code, dark_money, money_available, close_price_e4, kline_available FROM research""")
 def store_bars(spark, sf):
-    """Bars of even minutes stored first, the rest by a second call; same result as one merge."""
+    """Bars of one source stored first, the rest by a second call; same result as one merge."""
     bars = st.stock_bars(spark, sf)
-    even = F.col("minute_index") % 2 == 0
+    early = F.col("source") == "direct_5m"
     money = stock_points(spark, sf).withColumn("rank", F.lit(0))
-    first = en.merge_money_and_bars(money, bars.filter(even))
-    return with_bars(first, bars.filter(~even)).select(
+    first = en.merge_money_and_bars(money, bars.filter(early))
+    return with_bars(first, bars.filter(~early)).select(
         text("trade_date"), "minute_index", "market", "code", "dark_money", "money_available", "close_price_e4",
         "kline_available")
 
@@ -340,14 +345,14 @@ def manifest_errors(spark, sf):
     return qu.archive_manifest(*_sealable(spark, sf)).select(text("trade_date"), joined("validation_errors", "errors", ";"))
 
 
-@query("current_manifest", "daily points research bars idx", ", " + _MANIFEST + """
-SELECT CAST(i.d AS VARCHAR) AS trade_date, coalesce(m.sc,0) AS stock_close_rows, CASE WHEN i.date_idx%2=0 THEN 'rev-'||strftime(i.d,'%Y%m%d') ELSE '' END AS current_revision_id
-FROM idx i LEFT JOIN (SELECT * FROM mtext JOIN idx USING (d) WHERE date_idx%3<>0) m ON m.d=i.d""")
+@query("current_manifest", "daily points research bars idx", ", " + _MANIFEST + f""", {_GOOD}
+SELECT CAST(i.d AS VARCHAR) AS trade_date, coalesce(m.sc,0) AS stock_close_rows, CASE WHEN i.d<=DATE '{SEALED}' THEN 'rev-'||strftime(i.d,'%Y%m%d') ELSE '' END AS current_revision_id
+FROM idx i LEFT JOIN (SELECT * FROM mtext SEMI JOIN good USING (d)) m ON m.d=i.d""")
 def current_manifest(spark, sf):
+    """Manifests exist for fully quoted dates, revisions for dates up to SEALED; the rest gets the default."""
     index = st.sealed_dates(spark, sf)
-    made = qu.archive_manifest(*_sealable(spark, sf)).join(
-        F.broadcast(index.filter(F.col("date_idx") % 3 != 0).select("trade_date")), "trade_date", "left_semi")
-    current = index.filter(F.col("date_idx") % 2 == 0).select(
+    made = qu.archive_manifest(*_sealable(spark, sf)).join(complete_dates(st.daily_close(spark, sf)), "trade_date", "left_semi")
+    current = index.filter(F.col("trade_date") <= F.lit(SEALED).cast("date")).select(
         "trade_date", F.concat(F.lit("rev-"), F.date_format("trade_date", "yyyyMMdd")).alias("revision_id"),
         F.lit(1).alias("revision_no"))
     return qu.current_manifest(index, made, current).select(text("trade_date"), "stock_close_rows", "current_revision_id")
@@ -408,11 +413,11 @@ def _minute_board(spark, sf):
 
 
 @query("compact_curve_rows", "points", """
-SELECT CAST(d AS VARCHAR) AS trade_date, rank_type, code, CAST(snapshot_at AS VARCHAR) AS snapshot_at, CAST(strftime(snapshot_at,'%y%m%d%H%M') AS BIGINT) AS source_time FROM points WHERE rank_type<>'stock' AND minute_index%2=1""")
+SELECT CAST(d AS VARCHAR) AS trade_date, rank_type, code, CAST(snapshot_at AS VARCHAR) AS snapshot_at, CAST(strftime(snapshot_at,'%y%m%d%H%M') AS BIGINT) AS source_time FROM points WHERE rank_type<>'stock' AND dark_money>=0""")
 def compact_curve_rows(spark, sf):
-    """Even points are archived already, so odd ones are to be inserted."""
+    """Points with an outflow are archived already, so the others are to be inserted."""
     board = _minute_board(spark, sf)
-    made = ar.compact_intraday(board, board.filter(F.col("minute_index") % 2 == 0), board.limit(0))
+    made = ar.compact_intraday(board, board.filter("dark_money < 0"), board.limit(0))
     return made.curve_rows.select(text("trade_date"), "rank_type", "code", instant("snapshot_at"), "source_time")
 
 
@@ -479,35 +484,33 @@ def off_grid(spark, sf):
 
 @query("archive_stocks", "daily points quotes", f"""
 SELECT q.trade_date, q.code, q.close_price, coalesce(p.dark_money, u.dark_money) AS dark_money FROM ({_QUOTED}) q JOIN daily u ON CAST(u.d AS VARCHAR)=q.trade_date AND u.code=q.code
-LEFT JOIN points p ON p.d=u.d AND p.rank_type='stock' AND p.code=u.code AND p.minute_index=47 WHERE q.quote_available AND u.d=DATE '2024-01-15'""")
+LEFT JOIN points p ON p.d=u.d AND p.rank_type='stock' AND p.code=u.code AND p.minute_index=47 WHERE q.quote_available""")
 def archive_stocks(spark, sf):
-    day = F.col("trade_date") == F.lit("2024-01-15").cast("date")
-    rows = st.daily_close(spark, sf).filter((F.col("rank_type") == "stock") & day)
-    made = ar.archive_stocks(rows, st.purchase_quotes(spark, sf).filter(day), stock_points(spark, sf).filter(day), "2024-01-15")
+    rows = st.daily_close(spark, sf).filter(F.col("rank_type") == "stock")
+    made = ar.archive_stocks(rows, st.purchase_quotes(spark, sf), stock_points(spark, sf), F.col("trade_date"),
+                             ["trade_date", "code"])
     return made.closes.select(text("trade_date"), "code", "close_price", "dark_money")
 
 
 @query("archive_boards", "daily points", """
 SELECT CAST(p.d AS VARCHAR) AS trade_date, p.code, p.minute_index, row_number() OVER (PARTITION BY p.d, p.snapshot_at ORDER BY p.dark_money DESC, p.code) AS rank FROM points p
-JOIN daily u ON u.d=p.d AND u.code=p.code AND u.rank_type='concept' WHERE p.rank_type='concept' AND u.volume%17<>0 AND u.volume%19<>0 AND p.d=DATE '2024-01-15'""")
+JOIN daily u ON u.d=p.d AND u.code=p.code AND u.rank_type='concept' WHERE p.rank_type='concept' AND u.quote_available AND u.dark_money>=0""")
 def archive_boards(spark, sf):
     rows, quotes = _board_quotes(spark, sf)
-    day = F.col("trade_date") == F.lit("2024-01-15").cast("date")
-    points = st.money_points(spark, sf, boards_only=True).filter((F.col("rank_type") == "concept") & day)
-    made = ar.archive_boards(rows.withColumn("quote_time", F.lit("")).filter(day), quotes.filter(day), points)
+    points = st.money_points(spark, sf, boards_only=True).filter(F.col("rank_type") == "concept")
+    made = ar.archive_boards(rows.withColumn("quote_time", F.lit("")), quotes, points, ["trade_date", "code"])
     return made.points.select(text("trade_date"), "code", "minute_index", "rank")
 
 
-@query("seal_archive", "idx", """
-SELECT CASE WHEN date_idx%2=0 THEN 'known-'||date_idx ELSE 'eod-'||strftime(d,'%Y%m%d') END AS revision_id, CAST(d AS VARCHAR) AS trade_date, CASE WHEN date_idx%2=0 THEN 3 ELSE 1 END AS revision_no FROM idx WHERE date_idx%3<>0""")
+@query("seal_archive", "idx daily", f""", {_GOOD}
+SELECT CASE WHEN d<=DATE '{SEALED}' THEN 'known-'||date_idx ELSE 'eod-'||strftime(d,'%Y%m%d') END AS revision_id, CAST(d AS VARCHAR) AS trade_date, CASE WHEN d<=DATE '{SEALED}' THEN 3 ELSE 1 END AS revision_no FROM idx SEMI JOIN good USING (d)""")
 def seal_archive(spark, sf):
-    """Dates off every third are complete; even ones have a revision already."""
-    index = st.sealed_dates(spark, sf)
-    manifest = index.select("trade_date", F.when(F.col("date_idx") % 3 == 0, "incomplete").otherwise("complete").alias("status"))
-    known = index.filter(F.col("date_idx") % 2 == 0).select(
+    """Fully quoted dates are complete; those up to SEALED have a revision already."""
+    index, daily = st.sealed_dates(spark, sf), st.daily_close(spark, sf)
+    manifest = complete_dates(daily).withColumn("status", F.lit("complete"))
+    known = index.filter(F.col("trade_date") <= F.lit(SEALED).cast("date")).select(
         "trade_date", F.concat(F.lit("known-"), F.col("date_idx").cast("string")).alias("revision_id"), F.lit(3).alias("revision_no"))
-    tables = {"daily_close": st.daily_close(spark, sf)}
-    return ar.seal_archive(manifest, tables, known, "eod-", F.current_timestamp()).select(
+    return ar.seal_archive(manifest, {"daily_close": daily}, known, "eod-", F.current_timestamp()).select(
         "revision_id", text("trade_date"), "revision_no")
 
 

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.plans import archive_queries, feature_queries, membership_queries, screen_queries  # noqa: F401
+from tidemark.plans import (  # noqa: F401
+    archive_queries,
+    feature_queries,
+    ingest_queries,
+    membership_queries,
+    screen_queries,
+    view_queries,
+)
 from tidemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -265,7 +265,7 @@ def industry_relative(spark, sf):
 
 
 def revisions(spark, sf):
-    """One revision per sealed day; days whose index is a multiple of 7 have been superseded once."""
+    """One revision per sealed day."""
     return st.sealed_dates(spark, sf).select(
         "trade_date", F.concat(F.lit("rev-"), F.date_format("trade_date", "yyyyMMdd")).alias("revision_id"),
         F.lit(1).alias("revision_no"), F.lit(None).cast("string").alias("previous_revision_id"))
@@ -274,12 +274,12 @@ def revisions(spark, sf):
 @query("current_labels", "rets idx", """
 SELECT CAST(signal_date AS VARCHAR) AS signal_date, horizon, rank_type, market, code,
  'rev-'||strftime(target_date,'%Y%m%d') AS target_revision_id, return_rate
-FROM rets JOIN idx ON idx.d=rets.target_date WHERE horizon=5 AND idx.date_idx%7<>0""")
+FROM rets JOIN idx ON idx.d=rets.target_date WHERE horizon=5 AND rets.target_date<DATE '2024-01-20'""")
 def current_labels(spark, sf):
     made = lb.future_labels(st.daily_close(spark, sf), None, st.sealed_dates(spark, sf),
                             revisions=revisions(spark, sf))
-    index = st.sealed_dates(spark, sf)
-    current = revisions(spark, sf).join(F.broadcast(index), "trade_date").withColumn(
-        "revision_id", F.when(F.col("date_idx") % 7 == 0, F.concat("revision_id", F.lit("b")))
+    # Days from the 20th on were sealed under another id since.
+    current = revisions(spark, sf).withColumn(
+        "revision_id", F.when(F.col("trade_date") >= F.lit("2024-01-20").cast("date"), F.concat("revision_id", F.lit("b")))
         .otherwise(F.col("revision_id")))
     return lb.current_labels(made, current, horizon=5).select(*label_keys(), "target_revision_id", "return_rate")

@@ -56,7 +56,7 @@ SELECT d, bucket AS minute_index, smarket AS market, scode AS code, arg_min(valu
   max(value) AS high_price, min(value) AS low_price, arg_max(value,row(ts,event_id)) AS close_price,
   count(*) AS volume, count(*) AS turnover,
   CASE WHEN user_id%2=0 THEN 'trend_1m' ELSE 'direct_5m' END AS source
-FROM ev WHERE k%2=0 GROUP BY d, bucket, smarket, scode, user_id"""),
+FROM ev WHERE event_type IN ('click','purchase','signup') GROUP BY d, bucket, smarket, scode, user_id"""),
     "scans": (("ev",), """
 SELECT DISTINCT d, scode AS stock_code, smarket AS stock_market, sname AS stock_name, 'BK'||event_type AS board_code,
   'concept' AS board_type, ascii(event_type) AS source_order FROM ev

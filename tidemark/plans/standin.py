@@ -130,9 +130,10 @@ def money_points(spark: SparkSession, sf_dir: str, boards_only: bool = False) ->
 
 
 def stock_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half-hour bars per stock and day from events with an even number; other columns zero."""
-    even = events(spark, sf_dir).filter(F.col("k") % 2 == 0).withColumn("one", F.lit(1).cast("bigint"))
-    bars = ohlcv(even, ["trade_date", "user_id", "bucket"], ["ts", "event_id"], "value", "one")
+    """Half-hour bars per stock and day from events that trade; columns not derived are zero."""
+    trades = (events(spark, sf_dir).filter(F.col("event_type").isin("click", "purchase", "signup"))
+              .withColumn("one", F.lit(1).cast("bigint")))
+    bars = ohlcv(trades, ["trade_date", "user_id", "bucket"], ["ts", "event_id"], "value", "one")
     zero = F.lit(0.0)
     return bars.select(
         "trade_date", F.col("bucket").alias("minute_index"), stock_market(F.col("user_id")).alias("market"),

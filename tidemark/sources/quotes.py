@@ -23,11 +23,11 @@ _NUMBERED = "map<string,map<string,string>>"
 def rows_from_object_or_array(value: Column) -> Column:
     """Entries of a JSON array, or of an object keyed by number in numeric key order; '' or null is empty."""
     text = F.trim(value)
-    numbered = F.map_entries(F.from_json(text, _NUMBERED))
-    keyed = F.transform(numbered, lambda e: F.struct(
-        e["key"].try_cast("bigint").alias("n"), e["key"].alias("k"), e["value"].alias("v")))
+    numbered = F.from_json(text, _NUMBERED)
+    keys = F.array_sort(F.transform(F.map_keys(numbered), lambda k: F.struct(
+        k.try_cast("bigint").alias("n"), k.alias("k"))))
     return F.when(F.substring(text, 1, 1) == "[", F.from_json(text, _ENTRIES)).when(
-        F.substring(text, 1, 1) == "{", F.transform(F.array_sort(keyed), lambda e: e["v"])).otherwise(
+        F.substring(text, 1, 1) == "{", F.transform(keys, lambda x: F.element_at(numbered, x["k"]))).otherwise(
         F.array().cast(_ENTRIES))
 
 
