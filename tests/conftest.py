@@ -1,8 +1,13 @@
 import os
 import sys
+import time
 
 import pytest
 
+# Naive datetimes in the fixtures are market time, as the session zone is.
+os.environ["TZ"] = "Asia/Shanghai"
+time.tzset()
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))

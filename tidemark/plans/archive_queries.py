@@ -52,7 +52,7 @@ def bars_5m(spark, sf):
 
 
 @query("bar_returns", "ev", ", " + _MINUTES + """
-SELECT CAST(d AS VARCHAR) AS trade_date, code, CAST(b AS INTEGER) AS minute_index, (high_price-low_price)/base AS amplitude, close_price-base AS change_value, (close_price-base)/base AS change_pct,
+SELECT CAST(d AS VARCHAR) AS trade_date, code, CAST(b AS INTEGER) AS minute_index, (high_price-low_price)/nullif(base,0) AS amplitude, close_price-base AS change_value, (close_price-base)/nullif(base,0) AS change_pct,
  round(CAST(day_volume AS DOUBLE)/1000*volume/day_volume,9) AS turnover_rate FROM full_bar""")
 def bar_returns(spark, sf):
     made = br.five_minute_bars(*st.session_minutes(spark, sf))
@@ -102,7 +102,7 @@ def ohlcv(spark, sf):
 _QUOTED = """
 SELECT CAST(u.d AS VARCHAR) AS trade_date, u.code, coalesce(q.latest_price,0) AS close_price, coalesce(q.open_price,0) AS open_price, coalesce(q.volume,0) AS volume,
  coalesce(q.turnover,0) AS turnover, coalesce(q.turnover_rate,0) AS turnover_rate, coalesce(q.latest_price>=0.5,false) AS quote_available,
- CASE WHEN coalesce(q.latest_price>=0.5,false) THEN q.latest_price/q.open_price ELSE u.change_pct END AS change_pct
+ CASE WHEN coalesce(q.latest_price>=0.5,false) THEN CASE WHEN q.open_price<>0 THEN q.latest_price/q.open_price ELSE 0.0 END ELSE u.change_pct END AS change_pct
 FROM (SELECT * FROM daily WHERE rank_type='stock') u LEFT JOIN quotes q ON q.d=u.d AND q.code=u.code"""
 
 

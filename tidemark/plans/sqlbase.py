@@ -18,10 +18,10 @@ UNION ALL SELECT *, 'industry', 90, 'IND'||(k%7), 'IND'||(k%7) FROM ev"""),
     "daily": (("ent",), """
 SELECT *, dark_money+regular_money AS main_money_inflow, volume-1 AS rank,
   CASE WHEN rank_type='stock' THEN seen ELSE volume%13<>0 END AS quote_available,
-  open_price AS previous_close, close_price-open_price AS change_value, close_price/open_price-1 AS change_pct,
-  (high_price-low_price)/open_price AS amplitude, CAST(volume AS DOUBLE)/100 AS turnover_rate,
-  CAST(abs(dark_money) AS DOUBLE)/CAST(turnover AS DOUBLE) AS dark_activity,
-  CAST(dark_money+regular_money AS DOUBLE)/CAST(turnover AS DOUBLE) AS dark_inflow_ratio,
+  open_price AS previous_close, close_price-open_price AS change_value, CASE WHEN open_price>0 THEN close_price/open_price-1 ELSE 0.0 END AS change_pct,
+  CASE WHEN open_price>0 THEN (high_price-low_price)/open_price ELSE 0.0 END AS amplitude, CAST(volume AS DOUBLE)/100 AS turnover_rate,
+  CASE WHEN turnover<>0 THEN CAST(abs(dark_money) AS DOUBLE)/CAST(turnover AS DOUBLE) ELSE 0.0 END AS dark_activity,
+  CASE WHEN turnover<>0 THEN CAST(dark_money+regular_money AS DOUBLE)/CAST(turnover AS DOUBLE) ELSE 0.0 END AS dark_inflow_ratio,
   CAST(d AS TIMESTAMP)+INTERVAL 15 HOUR AS snapshot_at
 FROM (SELECT d, rank_type, market, code, name, CAST(sum(cents) AS BIGINT) AS turnover,
   CAST(sum(sgn*cents) AS BIGINT) AS dark_money,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.grid import OPENING, grid_array, index_minute
+from tidemark.functions.scalars import ratio_or_zero
 from tidemark.operators.calendar import date_index
 from tidemark.operators.membership import RELATION_COLUMNS, scans_to_events
 from tidemark.operators.bars import ohlcv
@@ -79,17 +80,17 @@ def daily_close(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(kind.isin("view", "click")).alias("flat_count"),
         F.max(kind != "error").alias("_seen"),
         F.max((kind == "purchase") | (F.col("k") % 3 == 0)).alias("money_available"))
-    ratio = F.col("turnover").cast("double")
     return sums.withColumns({
         "main_money_inflow": F.col("dark_money") + F.col("regular_money"),
         "rank": F.col("volume") - 1,
         "quote_available": F.when(F.col("rank_type") == "stock", F.col("_seen")).otherwise(F.col("volume") % 13 != 0),
         "previous_close": F.col("open_price"), "change_value": F.col("close_price") - F.col("open_price"),
-        "change_pct": F.col("close_price") / F.col("open_price") - 1,
-        "amplitude": (F.col("high_price") - F.col("low_price")) / F.col("open_price"),
+        "change_pct": F.when(F.col("open_price") > 0, F.col("close_price") / F.col("open_price") - 1).otherwise(0.0),
+        "amplitude": F.when(F.col("open_price") > 0, (F.col("high_price") - F.col("low_price")) / F.col("open_price"))
+        .otherwise(0.0),
         "turnover_rate": F.col("volume").cast("double") / 100,
-        "dark_activity": F.abs("dark_money").cast("double") / ratio,
-        "dark_inflow_ratio": (F.col("dark_money") + F.col("regular_money")).cast("double") / ratio,
+        "dark_activity": ratio_or_zero(F.abs("dark_money"), F.col("turnover")),
+        "dark_inflow_ratio": ratio_or_zero(F.col("dark_money") + F.col("regular_money"), F.col("turnover")),
         "snapshot_at": F.col("trade_date").cast("timestamp_ntz") + F.expr("INTERVAL 15 HOURS"),
     }).drop("_seen")
 
@@ -217,7 +218,7 @@ def purchase_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select(
         "trade_date", stock_code(F.col("user_id")).alias("code"), stock_market(F.col("user_id")).alias("market"),
         stock_name(F.col("user_id")).alias("name"), "latest_price", "open_price", "high_price", "low_price",
-        F.col("low_price").alias("previous_close"), (F.col("latest_price") / F.col("open_price")).alias("change_pct"),
+        F.col("low_price").alias("previous_close"), ratio_or_zero(F.col("latest_price"), F.col("open_price")).alias("change_pct"),
         (F.col("latest_price") - F.col("open_price")).alias("change_value"), "volume", "turnover",
         (F.col("volume") / 10).alias("turnover_rate"), (F.col("high_price") - F.col("low_price")).alias("amplitude"),
         F.concat(F.date_format("trade_date", "yyyy-MM-dd"), F.lit(" 15:00:00")).alias("quote_time"),

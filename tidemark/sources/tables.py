@@ -137,7 +137,7 @@ def save_stock_archive(day: ArchiveDay, root: str) -> None:
         # Provenance of the date counts for nothing any more.
         voided = _of_dates(old, dates).withColumn("point_count", F.lit(0).cast("bigint")).select(*old.columns)
         replace_partitions(voided, f"{root}/bar_sources", ["trade_date"])
-    replace_partitions(_of_dates(stock_quality(day.closes, research), dates), f"{root}/stock_quality", ["trade_date"])
+    replace_partitions(stock_quality(only_quoted(day.closes), research), f"{root}/stock_quality", ["trade_date"])
     refresh_manifest(spark, root, dates)
 
 
