@@ -42,7 +42,8 @@ def running_weights(weights: DataFrame, group: Sequence[str], ordinal: str, weig
             .drop("_block", "_inside", "_earlier"))
 
 
-def midrank_percentiles(df: DataFrame, group: Sequence[str], measures: dict[str, str | Column]) -> DataFrame:
+def midrank_percentiles(df: DataFrame, group: Sequence[str], measures: dict[str, str | Column],
+                        population: DataFrame | None = None) -> DataFrame:
     """Mid-rank percentile ``(less + equal / 2) / n`` of BIGINT measures.
 
     ``measures`` maps an output column to the column or expression ranked
@@ -50,22 +51,22 @@ def midrank_percentiles(df: DataFrame, group: Sequence[str], measures: dict[str,
     combine, so equal values cost one row however often they occur; the result
     comes back by an equi-join on (group, value) in which AQE broadcasts the
     counts when they are small and splits hot values when they are not.
+
+    ``population`` is what to count when that is cheaper to read than ``df``
+    (the same rows before joins and windows); it defaults to ``df``.
     """
     group = list(group)
     names = list(measures)
-    columns = [F.col(m) if isinstance(m, str) else m for m in measures.values()]
-    tagged = df.select(*df.columns, *[c.cast("bigint").alias(f"_v_{n}") for n, c in zip(names, columns)])
-    stacked = tagged.select(
-        *group,
-        F.explode(F.array(*[
-            F.struct(F.lit(i).alias("_measure"), F.col(f"_v_{n}").alias("_value")) for i, n in enumerate(names)
-        ])).alias("_s")).select(*group, "_s.*")
+    columns = [(F.col(m) if isinstance(m, str) else m).cast("bigint") for m in measures.values()]
+    stacked = (df if population is None else population).select(
+        *group, F.inline(F.array(*[F.struct(F.lit(i).alias("_measure"), c.alias("_value"))
+                                   for i, c in enumerate(columns)])))
     counts = (stacked.filter(F.col("_value").isNotNull())
               .groupBy(*group, "_measure", "_value").agg(F.count(F.lit(1)).alias("_n")))
     ranked = running_weights(counts, group + ["_measure"], "_value", "_n").select(
         *group, "_measure", "_value",
         ((F.col("before").cast("double") + F.col("_n").cast("double") / 2) / F.col("total")).alias("_p"))
-    result = tagged
+    result = df.select(*df.columns, *[c.alias(f"_v_{n}") for n, c in zip(names, columns)])
     for i, name in enumerate(names):
         part = (ranked.filter(F.col("_measure") == i)
                 .select(*group, F.col("_value").alias(f"_v_{name}"), F.col("_p").alias(name)))

@@ -30,8 +30,12 @@ def cumulative_to_delta(rows: DataFrame, keys: Sequence[str], order: str, column
 
 
 def ohlcv(rows: DataFrame, keys: Sequence[str], order: Sequence[str], price: str, volume: str) -> DataFrame:
-    """Open, high, low, close, volume and row count of ticks per key; all combine map-side."""
-    at = F.struct(*order)
+    """Open, high, low, close, volume and row count of ticks per key; all combine map-side.
+
+    One fixed-width order column keeps this a hash aggregate; several make it a
+    sorted one.
+    """
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return rows.groupBy(*keys).agg(
         F.min_by(price, at).alias("open_price"), F.max(price).alias("high_price"), F.min(price).alias("low_price"),
         F.max_by(price, at).alias("close_price"), F.sum(volume).alias("volume"), F.count(F.lit(1)).alias("tick_count"))

@@ -31,13 +31,14 @@ def usable(daily: DataFrame) -> DataFrame:
 # -- cross-section -----------------------------------------------------------
 
 def cross_section_percentiles(daily: DataFrame, group: Sequence[str] = ("trade_date", "rank_type"),
-                              measures: dict[str, str | Column] | None = None) -> DataFrame:
+                              measures: dict[str, str | Column] | None = None,
+                              population: DataFrame | None = None) -> DataFrame:
     """Mid-rank percentiles of rank (best high), turnover and dark money."""
     return midrank_percentiles(daily, group, measures or {
         "rank_percentile": -F.col("rank"),
         "turnover_percentile": F.col("turnover"),
         "dark_money_percentile": F.col("dark_money"),
-    })
+    }, population)
 
 
 # -- time series per key -----------------------------------------------------
@@ -99,11 +100,10 @@ def day_curves(points: DataFrame, keys: Sequence[str], index: str = "minute_inde
     Built from 48 conditional maxima, so it combines map-side and its state per
     key is 48 numbers however many rows arrive.
     """
-    slots = [F.max(F.when(F.col(index) == i, F.col(value))).alias(f"_{i}") for i in range(POINTS)]
-    wide = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *slots)
-    curve = F.array(*[F.col(f"_{i}") for i in range(POINTS)])
-    complete = (F.col("_rows") == POINTS) & ~F.exists(curve, lambda x: x.isNull())
-    return wide.select(*keys, F.when(complete, curve).alias(out))
+    slots = ", ".join(f"max(CASE WHEN `{index}` = {i} THEN `{value}` END)" for i in range(POINTS))
+    wide = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.expr(f"array({slots})").alias("_curve"))
+    complete = (F.col("_rows") == POINTS) & ~F.exists("_curve", lambda x: x.isNull())
+    return wide.select(*keys, F.when(complete, F.col("_curve")).alias(out))
 
 
 def curve_shape(curves: DataFrame, curve: str = "curve") -> DataFrame:
@@ -227,7 +227,9 @@ def daily_features(daily: DataFrame, points: DataFrame, industries: DataFrame |
         held = industries.select("trade_date", stock, F.col("stock_code").alias("code"),
                                  F.col("industry_code").alias("primary_industry_code"))
         joined = joined.join(held, ["trade_date", "rank_type", "code"], "left").fillna({"primary_industry_code": ""})
-    return cross_section_percentiles(joined).select(*FEATURE_COLUMNS)
+    # Counted on the rows before any window or join; only the look-back slice is cut off.
+    counted = rows if first is None else rows.filter(F.col("trade_date") >= F.lit(first).cast("date"))
+    return cross_section_percentiles(joined, population=counted).select(*FEATURE_COLUMNS)
 
 
 def read_features(features: DataFrame, trade_date: str | None = None, revisions: DataFrame | None = None,

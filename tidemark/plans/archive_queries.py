@@ -90,10 +90,10 @@ def archive_bars(spark, sf):
 
 
 @query("ohlcv_by_type_and_half_hour", "ev", """
-SELECT CAST(d AS VARCHAR) AS trade_date, event_type, bucket, arg_min(value,row(ts,event_id)) AS open_price, max(value) AS high_price, min(value) AS low_price,
- arg_max(value,row(ts,event_id)) AS close_price, CAST(sum(cents) AS BIGINT) AS volume, count(*) AS tick_count FROM ev GROUP BY ALL""")
+SELECT CAST(d AS VARCHAR) AS trade_date, event_type, bucket, arg_min(value,event_id) AS open_price, max(value) AS high_price, min(value) AS low_price,
+ arg_max(value,event_id) AS close_price, CAST(sum(cents) AS BIGINT) AS volume, count(*) AS tick_count FROM ev GROUP BY ALL""")
 def ohlcv(spark, sf):
-    made = br.ohlcv(st.events(spark, sf), ["trade_date", "event_type", "bucket"], ["ts", "event_id"], "value", "cents")
+    made = br.ohlcv(st.events(spark, sf), ["trade_date", "event_type", "bucket"], ["event_id"], "value", "cents")
     return made.withColumn("trade_date", F.col("trade_date").cast("string"))
 
 
@@ -297,12 +297,14 @@ def code_set_digest(spark, sf):
     return qu.code_set_digest(st.daily_close(spark, sf)).withColumn("trade_date", F.col("trade_date").cast("string"))
 
 
-_LANES = ", ".join(f"sum(CAST('0x'||substr(h,{1 + 8 * i},8) AS BIGINT)) AS l{i}" for i in range(8))
+_LANES = [f"CAST('0x'||substr(h,{1 + 15 * i},15) AS BIGINT)" for i in range(4)]
+_HALVES = ", ".join(f"CAST(sum({v}>>30) AS HUGEINT) AS h{i}, CAST(sum({v}&1073741823) AS HUGEINT) AS s{i}"
+                    for i, v in enumerate(_LANES))
 
 
 @query("lineitem_set_digest", "", f"""
-SELECT l_returnflag, n AS line_count, sha256(concat_ws('|', n, {", ".join(f"l{i}" for i in range(8))})) AS digest FROM (
- SELECT l_returnflag, count(*) AS n, {_LANES} FROM (SELECT l_returnflag, sha256(concat_ws('|', length(a)||':'||a, length(b)||':'||b, length(c)||':'||c)) AS h
+SELECT l_returnflag, n AS line_count, sha256(concat_ws('|', n, {", ".join(f"h{i}, s{i}" for i in range(4))})) AS digest FROM (
+ SELECT l_returnflag, count(*) AS n, {_HALVES} FROM (SELECT l_returnflag, sha256(concat_ws('|', length(a)||':'||a, length(b)||':'||b, length(c)||':'||c)) AS h
  FROM (SELECT l_returnflag, CAST(l_orderkey AS VARCHAR) AS a, CAST(l_linenumber AS VARCHAR) AS b, CAST(CAST(round(l_extendedprice*100) AS BIGINT) AS VARCHAR) AS c FROM lineitem)) GROUP BY l_returnflag)""")
 def lineitem_set_digest(spark, sf):
     rows = st.table(spark, sf, "lineitem")

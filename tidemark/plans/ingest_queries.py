@@ -70,11 +70,11 @@ def check_snapshot_complete(spark, sf):
 
 
 @query("raw_page_table", "ev", """
-SELECT CASE WHEN hour(ts)=15 AND minute(ts)=0 THEN 'daily_close' ELSE 'research_5m' END AS snapshot_kind, event_type AS rank_type, CAST(date_trunc('minute',ts) AS VARCHAR) AS snapshot_at, arg_max(props, row(ts,event_id)) AS body FROM ev JOIN (SELECT event_id AS e, props FROM events) x ON x.e=ev.event_id GROUP BY ALL""")
+SELECT CASE WHEN hour(ts)=15 AND minute(ts)=0 THEN 'daily_close' ELSE 'research_5m' END AS snapshot_kind, event_type AS rank_type, CAST(date_trunc('minute',ts) AS VARCHAR) AS snapshot_at, arg_max(props, event_id) AS body FROM ev JOIN (SELECT event_id AS e, props FROM events) x ON x.e=ev.event_id GROUP BY ALL""")
 def raw_page_table(spark, sf):
     pages = st.table(spark, sf, "events").select(
         F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("snapshot_at"), F.col("event_type").alias("rank_type"),
-        F.lit(1).alias("page"), F.col("props").cast("binary").alias("body"), F.struct("ts", "event_id").alias("fetched_at"))
+        F.lit(1).alias("page"), F.col("props").cast("binary").alias("body"), F.col("event_id").alias("fetched_at"))
     return pg.raw_page_table(pages).select("snapshot_kind", "rank_type", instant("snapshot_at"),
                                            F.col("body").cast("string").alias("body"))
 
@@ -305,9 +305,9 @@ def five_minute_samples(spark, sf):
 
 
 @query("stream_bars", "ev", """
-SELECT event_type, CAST(time_bucket(INTERVAL 5 MINUTE, ts) AS VARCHAR) AS bucket_start, arg_min(value,row(ts,event_id)) AS open_price, max(value) AS high_price, min(value) AS low_price, arg_max(value,row(ts,event_id)) AS close_price, CAST(sum(cents) AS BIGINT) AS volume, count(*) AS tick_count FROM ev GROUP BY 1,2""")
+SELECT event_type, CAST(time_bucket(INTERVAL 5 MINUTE, ts) AS VARCHAR) AS bucket_start, arg_min(value,event_id) AS open_price, max(value) AS high_price, min(value) AS low_price, arg_max(value,event_id) AS close_price, CAST(sum(cents) AS BIGINT) AS volume, count(*) AS tick_count FROM ev GROUP BY 1,2""")
 def stream_bars(spark, sf):
-    made = sb.stream_bars(st.events(spark, sf), ["event_type"], "value", "cents", ["ts", "event_id"])
+    made = sb.stream_bars(st.events(spark, sf), ["event_type"], "value", "cents", ["event_id"])
     return made.withColumn("bucket_start", F.date_format("bucket_start", "yyyy-MM-dd HH:mm:ss"))
 
 

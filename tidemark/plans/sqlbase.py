@@ -26,7 +26,7 @@ SELECT *, dark_money+regular_money AS main_money_inflow, volume-1 AS rank,
 FROM (SELECT d, rank_type, market, code, name, CAST(sum(cents) AS BIGINT) AS turnover,
   CAST(sum(sgn*cents) AS BIGINT) AS dark_money,
   CAST(sum(CASE WHEN k%2=0 THEN cents ELSE -cents END) AS BIGINT) AS regular_money, count(*) AS volume,
-  arg_min(value, row(ts,event_id)) AS open_price, arg_max(value, row(ts,event_id)) AS close_price,
+  arg_min(value, event_id) AS open_price, arg_max(value, event_id) AS close_price,
   max(value) AS high_price, min(value) AS low_price,
   count(*) FILTER (event_type IN ('purchase','signup')) AS up_count,
   count(*) FILTER (event_type='error') AS down_count, count(*) FILTER (event_type IN ('view','click')) AS flat_count,
@@ -52,8 +52,8 @@ FROM (SELECT g.d, g.rank_type, g.market, g.code, g.name, g.b AS minute_index,
   LEFT JOIN moved m ON m.d=g.d AND m.rank_type=g.rank_type AND m.market=g.market AND m.code=g.code AND m.bucket=g.b
   WINDOW w AS (PARTITION BY g.d, g.rank_type, g.market, g.code ORDER BY g.b ROWS UNBOUNDED PRECEDING))"""),
     "bars": (("ev",), """
-SELECT d, bucket AS minute_index, smarket AS market, scode AS code, arg_min(value,row(ts,event_id)) AS open_price,
-  max(value) AS high_price, min(value) AS low_price, arg_max(value,row(ts,event_id)) AS close_price,
+SELECT d, bucket AS minute_index, smarket AS market, scode AS code, arg_min(value,event_id) AS open_price,
+  max(value) AS high_price, min(value) AS low_price, arg_max(value,event_id) AS close_price,
   count(*) AS volume, count(*) AS turnover,
   CASE WHEN user_id%2=0 THEN 'trend_1m' ELSE 'direct_5m' END AS source
 FROM ev WHERE event_type IN ('click','purchase','signup') GROUP BY d, bucket, smarket, scode, user_id"""),
@@ -97,7 +97,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderdate AS snapshot_at,
   CAST(round(o_totalprice*100) AS BIGINT) AS fetched_total, o_custkey%60000 AS duration_ms
 FROM orders"""),
     "quotes": (("ev",), """
-SELECT d, scode AS code, arg_max(value,row(ts,event_id)) AS latest_price, arg_min(value,row(ts,event_id)) AS open_price,
+SELECT d, scode AS code, arg_max(value,event_id) AS latest_price, arg_min(value,event_id) AS open_price,
   max(value) AS high_price, min(value) AS low_price, count(*) AS volume, CAST(sum(cents) AS BIGINT) AS turnover,
   CAST(count(*) AS DOUBLE)/10 AS turnover_rate
 FROM ev WHERE event_type='purchase' GROUP BY d, scode"""),

@@ -68,7 +68,7 @@ def entity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One close record per (trade_date, rank_type, market, code)."""
-    at = F.struct("ts", "event_id")
+    at = "event_id"  # events are numbered in time order
     kind = F.col("event_type")
     even = F.when(F.col("k") % 2 == 0, F.col("cents")).otherwise(-F.col("cents"))
     sums = entity_events(spark, sf_dir).groupBy("trade_date", "rank_type", "market", "code", "name").agg(
@@ -134,7 +134,7 @@ def stock_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-hour bars per stock and day from events that trade; columns not derived are zero."""
     trades = (events(spark, sf_dir).filter(F.col("event_type").isin("click", "purchase", "signup"))
               .withColumn("one", F.lit(1).cast("bigint")))
-    bars = ohlcv(trades, ["trade_date", "user_id", "bucket"], ["ts", "event_id"], "value", "one")
+    bars = ohlcv(trades, ["trade_date", "user_id", "bucket"], ["event_id"], "value", "one")
     zero = F.lit(0.0)
     return bars.select(
         "trade_date", F.col("bucket").alias("minute_index"), stock_market(F.col("user_id")).alias("market"),
@@ -209,7 +209,7 @@ def membership_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 def purchase_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes per day and stock from purchases only; a purchase below 0.5 is no usable quote."""
-    at = F.struct("ts", "event_id")
+    at = "event_id"  # events are numbered in time order
     bought = events(spark, sf_dir).filter(F.col("event_type") == "purchase")
     q = bought.groupBy("trade_date", "user_id").agg(
         F.max_by("value", at).alias("latest_price"), F.min_by("value", at).alias("open_price"),

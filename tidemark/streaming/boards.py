@@ -60,7 +60,7 @@ def stream_bars(ticks: DataFrame, keys: Sequence[str], price: str, volume: str,
                 at: str = "ts", width: str = "5 minutes", lateness: str = LATENESS) -> DataFrame:
     """OHLCV bars in tumbling windows, for streams and batches."""
     timed = ticks.withWatermark(at, lateness) if ticks.isStreaming else ticks
-    stamp = F.struct(*order)
+    stamp = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return (timed.groupBy(*keys, F.window(at, width))
             .agg(F.min_by(price, stamp).alias("open_price"), F.max(price).alias("high_price"),
                  F.min(price).alias("low_price"), F.max_by(price, stamp).alias("close_price"),
