@@ -47,9 +47,10 @@ def test_positions_match_a_sort(spark):
 def test_running_weights(spark):
     data, df = skewed(spark)
     weights = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    for r in ordinals.running_weights(weights, ["g"], "v", "n").collect():
-        values = [v for _, g, v in data if g == r.g]
-        assert (r.before, r.total) == (sum(x < r.v for x in values), len(values))
+    for levels in (2, 3):
+        for r in ordinals.running_weights(weights, ["g"], "v", "n", levels).collect():
+            values = [v for _, g, v in data if g == r.g]
+            assert (r.before, r.total) == (sum(x < r.v for x in values), len(values))
 
 
 def test_salted_join_is_a_left_join(spark):

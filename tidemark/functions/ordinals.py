@@ -13,29 +13,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import reliable_checkpoint
+from tidemark.session import stored
 
 # A block spans 2**BLOCK_BITS consecutive ordinals, which bounds the distinct
 # ordinals (rows, after pre-aggregation) one window partition can hold.
 BLOCK_BITS = 22
 
 
-def running_weights(weights: DataFrame, group: Sequence[str], ordinal: str, weight: str) -> DataFrame:
+def running_weights(weights: DataFrame, group: Sequence[str], ordinal: str, weight: str,
+                    levels: int = 2) -> DataFrame:
     """Add ``before`` (sum of weights at smaller ordinals) and ``total``.
 
     ``weights`` must be unique on (group, ordinal) with a BIGINT ordinal.  The
     ordinal axis is cut into fixed blocks: one window inside each block, one
-    over the block totals.  Both shuffles carry pre-aggregated rows only.
+    over the block totals.  All shuffles carry pre-aggregated rows only.
+
+    Two levels keep every window partition below 2**BLOCK_BITS rows while a
+    group's ordinals span less than 2**(2 * BLOCK_BITS), some 10**13; three
+    levels do so for any BIGINT.
     """
     group = list(group)
     blocked = weights.withColumn("_block", F.shiftright(F.col(ordinal), BLOCK_BITS)).repartition(*group, "_block")
     inside = Window.partitionBy(*group, "_block").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = Window.partitionBy(*group)
-    earlier = blocks.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (blocked.groupBy(*group, "_block").agg(F.sum(weight).alias("_weight"))
-              .select(*group, "_block",
-                      F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_earlier"),
-                      F.sum("_weight").over(blocks).alias("total")))
+    sums = blocked.groupBy(*group, "_block").agg(F.sum(weight).alias("_weight"))
+    if levels > 2:
+        sums = sums.withColumnRenamed("_block", "_b")
+        totals = running_weights(sums, group, "_b", "_weight", levels - 1).select(
+            *group, F.col("_b").alias("_block"), F.col("before").alias("_earlier"), "total")
+    else:
+        blocks = Window.partitionBy(*group)
+        earlier = blocks.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        totals = sums.select(*group, "_block", F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_earlier"),
+                             F.sum("_weight").over(blocks).alias("total"))
     return (blocked.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
             .join(totals, group + ["_block"])
             .withColumn("before", F.col("_inside") + F.col("_earlier"))
@@ -66,10 +75,12 @@ def midrank_percentiles(df: DataFrame, group: Sequence[str], measures: dict[str,
     ranked = running_weights(counts, group + ["_measure"], "_value", "_n").select(
         *group, "_measure", "_value",
         ((F.col("before").cast("double") + F.col("_n").cast("double") / 2) / F.col("total")).alias("_p"))
+    # One column per measure, so that all joins below share the same upstream exchanges.
+    wide = ranked.groupBy(*group, "_value").agg(
+        *[F.max(F.when(F.col("_measure") == i, F.col("_p"))).alias(n) for i, n in enumerate(names)])
     result = df.select(*df.columns, *[c.alias(f"_v_{n}") for n, c in zip(names, columns)])
-    for i, name in enumerate(names):
-        part = (ranked.filter(F.col("_measure") == i)
-                .select(*group, F.col("_value").alias(f"_v_{name}"), F.col("_p").alias(name)))
+    for name in names:
+        part = wide.select(*group, F.col("_value").alias(f"_v_{name}"), name)
         result = result.join(part, group + [f"_v_{name}"], "left")
     return result.select(*df.columns, *names)
 
@@ -80,12 +91,12 @@ def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Colum
     Rows are range-partitioned on (group, order), so a large group spreads over
     many tasks.  Only the group that straddles a partition start needs a carry,
     hence the carry table has at most one row per partition and is safe to
-    broadcast.  The range-partitioned rows are checkpointed: range bounds come
+    broadcast.  The range-partitioned rows are stored first: range bounds come
     from a sample, and rows and carries must agree on them after a retry.
     """
     group = list(group)
     keys = [F.col(c).asc() for c in group]
-    ranged = reliable_checkpoint(
+    ranged = stored(
         df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()))
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_slice", *group).orderBy(*order)).cast("bigint"))

@@ -74,12 +74,9 @@ def available_first(rows: DataFrame, available: str, column: str, descending: bo
 
 
 def latest_snapshot(board: DataFrame, keys: Sequence[str] = ("rank_type",)) -> DataFrame:
-    """All rows of the most recent snapshot of each key, by rank.
-
-    The maximum is one row per key (a handful of types), joined back by equality.
-    """
+    """All rows of the most recent snapshot of each key, by rank."""
     newest = board.groupBy(*keys).agg(F.max("snapshot_at").alias("snapshot_at"))
-    return board.join(F.broadcast(newest), [*keys, "snapshot_at"], "left_semi").orderBy(*keys, "rank")
+    return board.join(newest, [*keys, "snapshot_at"], "left_semi").orderBy(*keys, "rank")
 
 
 def first_non_empty(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from tidemark.operators import quality as qu
 from tidemark.operators import runs as rn
 from tidemark.operators.calendar import complete_dates
 from tidemark.plans import standin as st
+from tidemark.session import stored
 from tidemark.plans.registry import instant, joined, query, text
 from tidemark.sources.tables import bar_provenance, check_stock_bars, off_grid_points, with_bars
 
@@ -312,8 +313,8 @@ def lineitem_set_digest(spark, sf):
 
 
 def _sealable(spark, sf):
-    daily, boards = st.daily_close(spark, sf), st.money_points(spark, sf, boards_only=True)
-    return daily, boards, research(spark, sf), _provenance(spark, sf)
+    daily, boards = stored(st.daily_close(spark, sf)), st.money_points(spark, sf, boards_only=True)
+    return daily, boards, stored(research(spark, sf)), _provenance(spark, sf)
 
 
 _MANIFEST = """
@@ -369,12 +370,17 @@ def archive_status(spark, sf):
     return made.select(text("trade_date"), "has_daily_close", "has_bars")
 
 
-@query("content_digest")
+_LINE = "concat_ws('|', " + ", ".join(f"length({c})||':'||{c}" for c in (
+    "CAST(d AS VARCHAR)", "rank_type", "code", "CAST(turnover AS VARCHAR)", "CAST(dark_money AS VARCHAR)")) + ")"
+
+
+@query("content_digest", "daily", f"""
+SELECT trade_date, sha256('closes='||sha256(concat_ws('|', n, {", ".join(f"h{i}, s{i}" for i in range(4))}))) AS content_sha256 FROM (
+ SELECT CAST(d AS VARCHAR) AS trade_date, count(*) AS n, {_HALVES} FROM (SELECT d, sha256({_LINE}) AS h FROM daily) GROUP BY d)""")
 def content_digest(spark, sf):
-    """One digest per day over closes and board curves; the exact value has no SQL form."""
-    daily, boards, _, _ = _sealable(spark, sf)
-    return qu.content_digest({"daily_close": daily, "board_money": boards}).withColumn(
-        "trade_date", F.col("trade_date").cast("string"))
+    """Digest per day over the whole numbers of the closes (texts of doubles differ between engines)."""
+    closes = st.daily_close(spark, sf).select("trade_date", "rank_type", "code", "turnover", "dark_money")
+    return qu.content_digest({"closes": closes}).withColumn("trade_date", F.col("trade_date").cast("string"))
 
 
 # -- repairs and set-like writes ---------------------------------------------

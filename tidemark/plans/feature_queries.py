@@ -10,6 +10,7 @@ from tidemark.operators import labels as lb
 from tidemark.operators.calendar import with_date_index
 from tidemark.operators.membership import primary_industry_by_date
 from tidemark.plans import standin as st
+from tidemark.session import stored
 from tidemark.plans.registry import query, text
 from tidemark.schemas import KEY
 
@@ -21,9 +22,8 @@ def _series(spark, sf):
     return with_date_index(ft.usable(st.daily_close(spark, sf)), st.sealed_dates(spark, sf))
 
 
-def _industries(spark, sf):
-    baseline, changes = st.membership_tables(spark, sf)
-    return primary_industry_by_date(baseline, changes, st.sealed_dates(spark, sf))
+def _industries(spark, sf, index):
+    return primary_industry_by_date(*st.membership_tables(spark, sf, index), index)
 
 
 @query("usable_rows", "daily", """
@@ -40,6 +40,7 @@ SELECT CAST(d AS VARCHAR) AS trade_date, rank_type, market, code,
 FROM use""")
 def cross_section_percentile(spark, sf):
     rows = ft.usable(st.daily_close(spark, sf)).select("trade_date", *KEY, "rank", "turnover", "dark_money")
+    rows = stored(rows)
     return ft.cross_section_percentiles(rows).select(
         *keys(), "rank_percentile", "turnover_percentile", "dark_money_percentile")
 
@@ -180,8 +181,9 @@ LEFT JOIN shape h ON h.d=u.d AND h.rank_type=u.rank_type AND h.market=u.market A
 LEFT JOIN use p1 ON p1.rank_type=u.rank_type AND p1.market=u.market AND p1.code=u.code AND p1.date_idx=u.date_idx-1
 LEFT JOIN use p2 ON p2.rank_type=u.rank_type AND p2.market=u.market AND p2.code=u.code AND p2.date_idx=u.date_idx-2""")
 def daily_features(spark, sf):
-    made = ft.daily_features(st.daily_close(spark, sf), st.money_points(spark, sf), _industries(spark, sf),
-                             st.sealed_dates(spark, sf))
+    index = st.sealed_dates(spark, sf)
+    made = ft.daily_features(stored(st.daily_close(spark, sf)), st.money_points(spark, sf),
+                             _industries(spark, sf, index), index)
     return made.withColumn("trade_date", F.col("trade_date").cast("string"))
 
 
@@ -190,7 +192,7 @@ SELECT CAST(u.d AS VARCHAR) AS trade_date, u.rank_type, u.market, u.code, coales
 FROM use u LEFT JOIN use p ON p.rank_type=u.rank_type AND p.market=u.market AND p.code=u.code AND p.date_idx=u.date_idx-1
 WHERE u.d>=DATE '2024-01-20'""")
 def features_of_a_slice(spark, sf):
-    made = ft.daily_features(st.daily_close(spark, sf), st.money_points(spark, sf), None, st.sealed_dates(spark, sf),
+    made = ft.daily_features(stored(st.daily_close(spark, sf)), st.money_points(spark, sf), None, st.sealed_dates(spark, sf),
                              first="2024-01-20")
     return made.select(*keys(), "rank_change_1")
 
@@ -242,7 +244,8 @@ def favorable_adverse(spark, sf):
 SELECT CAST(signal_date AS VARCHAR) AS signal_date, CAST(target_date AS VARCHAR) AS target_date, horizon, rank_type, market, code,
  return_rate, relative_industry_return, max_favorable_return, max_adverse_return FROM labels""")
 def future_labels(spark, sf):
-    made = lb.future_labels(st.daily_close(spark, sf), _industries(spark, sf), st.sealed_dates(spark, sf))
+    index = st.sealed_dates(spark, sf)
+    made = lb.future_labels(stored(st.daily_close(spark, sf)), _industries(spark, sf, index), index)
     return made.select(*label_keys(), text("target_date"), "return_rate", "relative_industry_return",
                        "max_favorable_return", "max_adverse_return")
 
@@ -259,7 +262,8 @@ def relabel_after_reseal(spark, sf):
 SELECT CAST(signal_date AS VARCHAR) AS signal_date, horizon, rank_type, market, code, relative_industry_return FROM labels
 WHERE rank_type='stock' AND relative_industry_return IS NOT NULL""")
 def industry_relative(spark, sf):
-    made = lb.future_labels(st.daily_close(spark, sf), _industries(spark, sf), st.sealed_dates(spark, sf))
+    index = st.sealed_dates(spark, sf)
+    made = lb.future_labels(stored(st.daily_close(spark, sf)), _industries(spark, sf, index), index)
     return made.filter((F.col("rank_type") == "stock") & F.col("relative_industry_return").isNotNull()).select(
         *label_keys(), "relative_industry_return")
 

@@ -132,7 +132,7 @@ def _answer(rows, keys, entry, order, as_object=False):
     else:
         diff = F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["e"]), ","), F.lit("]"))
     body = F.concat(F.lit('{"rc":0,"data":{"total":'), F.col("total").cast("string"), F.lit(',"diff":'), diff, F.lit("}}"))
-    joined = paged.join(F.broadcast(totals), list(keys)) if keys else paged.withColumn("total", F.size("l"))
+    joined = paged.join(totals, list(keys)) if keys else paged.withColumn("total", F.size("l"))
     return joined.select(*keys, "page", body.alias("body"))
 
 

@@ -73,8 +73,9 @@ def membership_intervals(spark, sf):
 
 @query("members_by_date", "scans", "SELECT CAST(d AS VARCHAR) AS trade_date, stock_code, board_code FROM scans")
 def members_by_date(spark, sf):
-    spans = mb.membership_intervals(*_tables(spark, sf))
-    return mb.members_by_date(spans, st.sealed_dates(spark, sf)).select(text("trade_date"), "stock_code", "board_code")
+    index = st.sealed_dates(spark, sf)
+    spans = mb.membership_intervals(*st.membership_tables(spark, sf, index))
+    return mb.members_by_date(spans, index).select(text("trade_date"), "stock_code", "board_code")
 
 
 @query("primary_industry_as_of", "primary_ind", f"""
@@ -86,7 +87,8 @@ def primary_industry_as_of(spark, sf):
 @query("primary_industry_by_date", "primary_ind", """
 SELECT CAST(d AS VARCHAR) AS trade_date, stock_code, industry_code FROM primary_ind""")
 def primary_industry_by_date(spark, sf):
-    made = mb.primary_industry_by_date(*_tables(spark, sf), st.sealed_dates(spark, sf))
+    index = st.sealed_dates(spark, sf)
+    made = mb.primary_industry_by_date(*st.membership_tables(spark, sf, index), index)
     return made.select(text("trade_date"), "stock_code", "industry_code")
 
 

@@ -9,6 +9,7 @@ from tidemark.operators import screen as sc
 from tidemark.operators.calendar import archived_days, complete_dates
 from tidemark.operators.membership import members_as_of
 from tidemark.plans import standin as st
+from tidemark.session import stored
 from tidemark.plans.registry import query, text
 
 AS_OF = "2024-01-28"
@@ -44,15 +45,16 @@ stk AS (SELECT *, CASE WHEN market=0 OR NOT (code LIKE '600%' OR code LIKE '601%
 _SCAN = ", " + ", ".join((_METRIC, _DATES, _CONCEPTS, _UNIVERSE, _RUNS))
 
 
-def _members(spark, sf):
+def _members(spark, sf, daily):
     """Edges in force on the last scanned day, which is a value of the plan, not of the driver."""
     baseline, changes = st.membership_tables(spark, sf)
-    last = sc.scan_dates(st.daily_close(spark, sf), REQUEST).agg(F.max("trade_date")).scalar()
+    last = sc.scan_dates(daily, REQUEST).agg(F.max("trade_date")).scalar()
     return members_as_of(baseline, changes.filter(F.col("effective_date") <= last), AS_OF)
 
 
 def _scan(spark, sf):
-    return sc.focus_scan(st.daily_close(spark, sf), _members(spark, sf), REQUEST)
+    daily = stored(st.daily_close(spark, sf))
+    return sc.focus_scan(daily, _members(spark, sf, daily), REQUEST)
 
 
 @query("scan_stats", "daily scans idx", _SCAN + """
@@ -93,7 +95,8 @@ run AS (SELECT market, code, count(*) AS n, bool_and(turnover>0 AND rank>0 AND r
 SELECT m.market, m.code, m.name FROM metric m JOIN run r ON r.market=m.market AND r.code=m.code
 WHERE m.d=(SELECT max(d) FROM dts) AND m.rank_type='stock' AND m.quote_available AND r.ok AND r.n=3""")
 def scan_without_concepts(spark, sf):
-    return sc.focus_scan(st.daily_close(spark, sf), _members(spark, sf), FREE).stocks.select("market", "code", "name")
+    daily = stored(st.daily_close(spark, sf))
+    return sc.focus_scan(daily, _members(spark, sf, daily), FREE).stocks.select("market", "code", "name")
 
 
 @query("default_scan", "daily", """
@@ -103,7 +106,8 @@ SELECT CAST(0 AS BIGINT) AS stocks_qualified, (SELECT count(*) FROM (SELECT code
  ORDER BY d DESC LIMIT 3) g ON g.d=d.d WHERE rank_type='concept' AND quote_available GROUP BY code HAVING count(*)=3)) AS concepts_evaluated""")
 def default_scan(spark, sf):
     """The standing template; its turnover floor lies above anything in the test tables."""
-    made = sc.focus_scan(st.daily_close(spark, sf), _members(spark, sf), sc.default_request(AS_OF))
+    daily = stored(st.daily_close(spark, sf))
+    made = sc.focus_scan(daily, _members(spark, sf, daily), sc.default_request(AS_OF))
     return made.stats.select("stocks_qualified", "concepts_evaluated")
 
 

@@ -1,5 +1,8 @@
 """Market-shaped views of the driver's tables.
 
+The archive keeps such tables as files, so a query that uses one several times
+stores it once instead of deriving it from raw events each time.
+
 There is no market feed in the test data, so users stand in for stocks, event
 types for concepts and a number in the event's JSON for industries.  Each view
 reads its whole table; amounts are whole cents so sums do not depend on order.
@@ -15,6 +18,7 @@ from tidemark.functions.scalars import ratio_or_zero
 from tidemark.operators.calendar import date_index
 from tidemark.operators.membership import RELATION_COLUMNS, scans_to_events
 from tidemark.operators.bars import ohlcv
+from tidemark.session import stored
 
 BUCKETS = 48
 DENSE = 12  # observed buckets from which a day's curve is filled to 48 points
@@ -96,8 +100,8 @@ def daily_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sealed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense index over the days seen in ``events`` (reads one column)."""
-    return date_index(table(spark, sf_dir, "events").select(F.to_date("ts").alias("trade_date")))
+    """Dense index over the days seen in ``events`` (reads one column once; a row per day is stored)."""
+    return stored(date_index(table(spark, sf_dir, "events").select(F.to_date("ts").alias("trade_date"))))
 
 
 def money_points(spark: SparkSession, sf_dir: str, boards_only: bool = False) -> DataFrame:
@@ -193,10 +197,10 @@ def membership_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("").alias("raw_data")))
 
 
-def membership_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(baseline, changes) as daily scans would have produced them."""
-    scans = membership_scans(spark, sf_dir)
-    index = sealed_dates(spark, sf_dir)
+def membership_tables(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(baseline, changes) as daily scans would have produced them; ``index`` is ``sealed_dates`` if at hand."""
+    scans = stored(membership_scans(spark, sf_dir))
+    index = sealed_dates(spark, sf_dir) if index is None else index
     first = index.agg(F.min("trade_date")).scalar()
     baseline = scans.filter(F.col("trade_date") == first).withColumnRenamed("trade_date", "baseline_date")
     keys = [c for c in RELATION_COLUMNS if c != "detected_at"]

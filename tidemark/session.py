@@ -1,9 +1,10 @@
-"""Session defaults and the reliable checkpoint used to cut lineage."""
+"""Session defaults and the stored tables used to cut lineage."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,11 +47,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder (an eager action).
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared checkpoint folder and read back (an eager write).
 
-    Used where a later step must see the very same rows in the very same
-    partitions even if executors are lost and stages rerun.
+    Cuts the lineage for plans that use a derived table several times, and
+    fixes rows and partitions where a later step must see exactly the same
+    ones after a retry.  Unlike ``checkpoint`` it is computed once, and readers
+    keep column pruning, filters and size statistics.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -21,6 +21,7 @@ from tidemark.operators.enrich import POINT_KEY, eligible_only, merge_money_and_
 from tidemark.operators.quality import archive_manifest, coverage, stock_quality
 
 MINUTE_PARTS = ("trade_date", "clock")
+MANY_MINUTES = 480  # two sessions
 CLOSE_PARTS = ("trade_date", "rank_type")
 SECURITY_DAY = ["trade_date", "market", "code"]
 
@@ -38,11 +39,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 def replace_partitions(df: DataFrame, path: str, partitions: Sequence[str], sort: Sequence[str] = ()) -> None:
     """Overwrite the partitions present in ``df`` (eager write).
 
-    Rows meet by partition and a hash of the sort keys so that a hot date is
-    written by several tasks; sorting inside files gives useful min/max stats.
+    The rebalance hint lets Spark gather small partitions and split a hot one
+    into files of its advisory size; sorting inside files gives useful min/max
+    statistics.
     """
-    spread = df.repartition(*partitions, F.pmod(F.xxhash64(*sort), F.lit(32))) if sort else df
-    shaped = spread.sortWithinPartitions(*partitions, *sort) if sort else spread
+    shaped = df.hint("rebalance", *[F.col(c) for c in partitions]).sortWithinPartitions(*partitions, *sort)
     (shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partitions).parquet(path))
 
@@ -64,20 +65,36 @@ def save_minute_board(rows: DataFrame, path: str) -> None:
     _require_none(rows.filter(~F.col("rank_type").isin("industry", "concept")), "minute boards hold boards only")
     at = clock_minute(F.col("snapshot_at"))
     keyed = rows.withColumn("clock", F.lpad((F.floor(at / 60) * 100 + F.pmod(at, F.lit(60))).cast("string"), 4, "0"))
-    touched = keyed.select(*MINUTE_PARTS).distinct()
     stored = read_table(rows.sparkSession, path)
     if stored is None:
         stored = keyed.limit(0)
     else:
-        stored = stored.withColumns({"trade_date": F.col("trade_date").cast("date"),
-                                     "clock": F.lpad(F.col("clock").cast("string"), 4, "0")})
-    stored = stored.join(F.broadcast(touched), list(MINUTE_PARTS), "left_semi").select(*keyed.columns)
+        stored = _touched(stored.withColumns({"trade_date": F.col("trade_date").cast("date"),
+                                              "clock": F.lpad(F.col("clock").cast("string"), 4, "0")}), keyed)
+    stored = stored.select(*keyed.columns)
     keys = ["trade_date", "clock", "snapshot_at", "rank_type", "code"]
     # Old and new copies compete together, so a late replay of an older fetch loses.
     both = insert_or_replace(stored.limit(0), stored.unionByName(keyed), keys, F.col("fetched_at"))
     replace_partitions(both, path, MINUTE_PARTS, ["rank_type", "code"])
 
 
+def _touched(table: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored rows of the minutes a batch holds.
+
+    A batch of a few minutes (the usual case, counted here) becomes a literal
+    partition filter, so only those minutes are read; a bulk load is joined.
+    """
+    minutes = batch.select(*MINUTE_PARTS).distinct()
+    few = minutes.limit(MANY_MINUTES + 1).collect()
+    if len(few) > MANY_MINUTES:
+        return table.join(minutes, list(MINUTE_PARTS), "left_semi")
+    wanted = F.lit(False)
+    for date in sorted({m.trade_date for m in few}):
+        clocks = sorted(m.clock for m in few if m.trade_date == date)
+        wanted = wanted | ((F.col("trade_date") == F.lit(date)) & F.col("clock").isin(*clocks))
+    return table.filter(wanted)
+
+
 # -- closes and curves -------------------------------------------------------
 
 def save_daily_close(rows: DataFrame, path: str) -> None:
