@@ -20,8 +20,8 @@ from tidemark.operators.archive import ArchiveDay, insert_or_replace
 from tidemark.operators.enrich import POINT_KEY, eligible_only, merge_money_and_bars, only_quoted
 from tidemark.operators.quality import archive_manifest, coverage, stock_quality
 
-MINUTE_PARTS = ("trade_date", "clock")
-MANY_MINUTES = 480  # two sessions
+HOUR_PARTS = ("trade_date", "hour")
+MANY_HOURS = 48  # some days of session hours
 CLOSE_PARTS = ("trade_date", "rank_type")
 SECURITY_DAY = ["trade_date", "market", "code"]
 
@@ -58,40 +58,35 @@ def _require_none(bad: DataFrame, message: str) -> None:
 # -- minute boards -----------------------------------------------------------
 
 def save_minute_board(rows: DataFrame, path: str) -> None:
-    """Upsert full minute boards; the latest fetch of a (date, minute, type, code) wins.
+    """Upsert full minute boards; the latest fetch of a (date, instant, type, code) wins.
 
-    Partitions are single minutes, so a replayed minute rewrites only itself.
+    Partitions are hours: a minute's upsert rewrites one hour of boards, and a
+    session leaves six partitions rather than a file per minute.
     """
     _require_none(rows.filter(~F.col("rank_type").isin("industry", "concept")), "minute boards hold boards only")
-    at = clock_minute(F.col("snapshot_at"))
-    keyed = rows.withColumn("clock", F.lpad((F.floor(at / 60) * 100 + F.pmod(at, F.lit(60))).cast("string"), 4, "0"))
-    stored = read_table(rows.sparkSession, path)
-    if stored is None:
-        stored = keyed.limit(0)
-    else:
-        stored = _touched(stored.withColumns({"trade_date": F.col("trade_date").cast("date"),
-                                              "clock": F.lpad(F.col("clock").cast("string"), 4, "0")}), keyed)
-    stored = stored.select(*keyed.columns)
-    keys = ["trade_date", "clock", "snapshot_at", "rank_type", "code"]
+    keyed = rows.withColumn("hour", F.hour("snapshot_at"))
+    held = read_table(rows.sparkSession, path)
+    held = keyed.limit(0) if held is None else _touched(held, keyed).select(*keyed.columns)
     # Old and new copies compete together, so a late replay of an older fetch loses.
-    both = insert_or_replace(stored.limit(0), stored.unionByName(keyed), keys, F.col("fetched_at"))
-    replace_partitions(both, path, MINUTE_PARTS, ["rank_type", "code"])
+    keys = ["trade_date", "hour", "snapshot_at", "rank_type", "code"]
+    both = insert_or_replace(keyed.limit(0), held.unionByName(keyed), keys, F.col("fetched_at"))
+    replace_partitions(both, path, HOUR_PARTS, ["rank_type", "code"])
 
 
 def _touched(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows of the minutes a batch holds.
+    """Stored rows of the hours a batch holds.
 
-    A batch of a few minutes (the usual case, counted here) becomes a literal
-    partition filter, so only those minutes are read; a bulk load is joined.
+    A batch of a few hours (the usual case, counted here) becomes a literal
+    partition filter, so only those hours are read; a bulk load is joined.
     """
-    minutes = batch.select(*MINUTE_PARTS).distinct()
-    few = minutes.limit(MANY_MINUTES + 1).collect()
-    if len(few) > MANY_MINUTES:
-        return table.join(minutes, list(MINUTE_PARTS), "left_semi")
+    hours = batch.select(*HOUR_PARTS).distinct()
+    few = hours.limit(MANY_HOURS + 1).collect()
+    if len(few) > MANY_HOURS:
+        return table.join(hours, list(HOUR_PARTS), "left_semi")
     wanted = F.lit(False)
-    for date in sorted({m.trade_date for m in few}):
-        clocks = sorted(m.clock for m in few if m.trade_date == date)
-        wanted = wanted | ((F.col("trade_date") == F.lit(date)) & F.col("clock").isin(*clocks))
+    for date in sorted({h.trade_date for h in few}):
+        wanted = wanted | ((F.col("trade_date") == F.lit(date))
+                           & F.col("hour").isin(*sorted(h.hour for h in few if h.trade_date == date)))
     return table.filter(wanted)
 
 
