@@ -105,7 +105,10 @@ def archive_manifest(daily: DataFrame, board_money: DataFrame, research: DataFra
 
 
 def manifest_errors() -> Column:
-    """Sorted texts of failed checks over the manifest's count columns."""
+    """Sorted texts of failed checks over the manifest's count columns.
+
+    Fixed values: the wording of the checks.
+    """
     def differs(label: str, actual: str, wanted: Column) -> Column:
         return F.when(F.col(actual) != wanted, F.concat(
             F.lit(f"{label}: expected "), wanted.cast("string"), F.lit(", got "), F.col(actual).cast("string")))

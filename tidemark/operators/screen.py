@@ -53,7 +53,7 @@ class ScanRequest:
 
 
 def default_request(as_of: str) -> ScanRequest:
-    """The standing three-day template."""
+    """The standing three-day template (fixed values)."""
     def template(turnover: float) -> tuple[Condition, ...]:
         return (Condition("turnover", "gt", turnover), Condition("turnover_rate", "gt", 0.03),
                 Condition("change_pct", "between", 0.01, 0.06),
@@ -84,6 +84,10 @@ def validate(request: ScanRequest) -> ScanRequest:
     return request
 
 
+# Why a candidate is turned down, in the order the reasons apply.
+REASONS = ("non_main_board", "st_excluded", "missing_daily_close", "condition_failed")
+
+
 # -- one day -----------------------------------------------------------------
 
 METRICS = ("turnover", "turnover_rate", "change_pct", "dark_money", "regular_money", "main_money_inflow",
@@ -224,9 +228,8 @@ def screen_stocks(rows: DataFrame, universe: DataFrame, dates: DataFrame, reques
         F.col("_failed_date").isNull() | (F.col("_missing") < F.col("_failed_date")))
     off_board = ~is_main_board(F.col("market"), F.col("code")) if scope.main_board_only else F.lit(False)
     special = is_special_treatment(F.col("name")) if scope.exclude_st else F.lit(False)
-    reason = (F.when(off_board, "non_main_board").when(special, "st_excluded")
-              .when(missing_first, "missing_daily_close")
-              .when(F.col("_failed_date").isNotNull(), "condition_failed"))
+    tests = (off_board, special, missing_first, F.col("_failed_date").isNotNull())
+    reason = F.coalesce(*[F.when(test, name) for test, name in zip(tests, REASONS)])
     judged = joined.withColumn("reason", reason)
     failing = F.col("reason") == "condition_failed"
     return judged.select(
