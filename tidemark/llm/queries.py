@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontam, langid
+from tidemark.llm import bpe, decontam, html_extract, langid, toxicity
 from tidemark.llm.common import tables
 
 
@@ -16,6 +16,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_language": langid.query,
+    "op4_toxicity": toxicity.query,
     "op8_decontaminate": decontam.query,
+    "op10_html": html_extract.query,
 }
 ORACLES: dict[str, str] = {}
