@@ -7,18 +7,20 @@ edit) with the lexicon's trie; the product automaton is made deterministic as
 texts ask for its states, so a word is read once, letter by letter, whatever
 the size of the lexicon.  A beginning matches whatever follows it.
 
-Every match has a probability from how often such matches (term, with or
-without an edit) were in toxic documents, moved by the context window: each
-word or quotation mark within ``REACH`` tokens adds its log odds between matches
-in toxic and in clean documents.  Quotation and abuse part there, as far as the
-labels show it.  A document's score is the chance that at least one match is
-meant: 1 minus the product of the counter-probabilities.
+Matches (term, with or without an edit) are weighed by two rates: how many a
+toxic document has, and how many come about by chance per word of clean ones.
+With n matches of a kind among N words, the evidence is that of a Poisson count
+with the chance rate times N, against the same plus the toxic documents' own
+matches.  The context window moves each match: a word or quotation mark within
+``REACH`` tokens adds its log odds between matches in toxic and in clean
+documents, so quotation and abuse part as far as the labels show it.  The score
+is the probability that results from the share of toxic documents and all evidence.
 
 The model is fitted on about ``TRAIN_ROWS`` labelled rows at most (all, if there
 are no more), chosen by a hash of the id, and keeps ``MOST_TERMS`` terms and
 ``MOST_CONTEXT`` context entries at most; every text is scored whole.
 
-Cases: NULL and empty texts have no match and get the score of such documents;
+Cases: NULL and empty texts have no match and get the score of documents without one;
 rows with a NULL id or NULL label teach nothing; of several labels of one id the
 highest counts; without training rows the lexicon is empty and all scores are 0.
 A NULL id is not held out; repeated rows give equal rows.
@@ -37,16 +39,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold, on_text, sampled, ship, tables
+from tidemark.session import stored
 
 TRAIN_ROWS = 10_000
 MOST_CANDIDATES, MOST_TERMS, MOST_CONTEXT = 20_000, 2_000, 5_000
 LEAST_DOCS, LEAST_SHARE = 3, 0.02  # toxic documents that a term has to add, at least this many and this share
-LEAST_ODDS = math.log(20)
+LEAST_ODDS = math.log(8)
+DEPTH = 4  # terms that a toxic document may bring in
 SHORTEST = 4  # letters of a term
 FUZZY_WORD, FUZZY_STEM = 5, 8  # letters from which one edit is allowed
 REACH = 6
 PREDICT = 0.7
-_SHRINK = 1.0
+CONTEXT_MOST, CONTEXT_SEEN = 3.0, 5  # most that a window moves a match; matches a context entry must be seen at
 _REMEMBERED = 400_000
 _WORD = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"[^\W_]+|[\"“”„«»‘’]")
@@ -150,11 +154,11 @@ class _Found(dict):
         return out
 
 
-def matches(text: str | None, found: _Found) -> list[tuple[str, int, set[str]]]:
+def matches(text: str | None, found: _Found, words: list[str] | None = None) -> list[tuple[str, int, set[str]]]:
     """(term, edits, tokens around) of every matched word."""
     if len(found) > _REMEMBERED:
         found.clear()
-    if not text or not any(map(found.__getitem__, words_of(text))):
+    if not text or not any(map(found.__getitem__, words_of(text) if words is None else words)):
         return []
     tokens = _TOKEN.findall(text.lower())
     out = []
@@ -178,19 +182,26 @@ def entries_of(text: str | None) -> set[str]:
 def choose(postings: dict[str, set[int]], clean: dict[str, int], per_toxic: float, least: float = LEAST_DOCS, most: int = MOST_TERMS) -> list[str]:
     """Terms one after another by the toxic documents each adds, less the clean ones it would catch.
 
-    Of equals the longer is taken, then the first by name.
+    A document is done with when ``DEPTH`` terms have it.  Of equals the longer
+    is taken, then the first by name; one that begins as a chosen beginning does
+    is passed over.
     """
     chosen: list[str] = []
     left = dict(postings)
-    covered: set[int] = set()
+    times = Counter()
+    done: set[int] = set()
     while left and len(chosen) < most:
-        gain = {term: len(docs - covered) for term, docs in left.items()}
+        gain = {term: len(docs - done) for term, docs in left.items()}
         left = {term: docs for term, docs in left.items() if gain[term] >= least}
         if not left:
             break
         best = min(left, key=lambda t: (-(gain[t] - per_toxic * clean[t]), -len(t.rstrip("*")), t))
         chosen.append(best)
-        covered |= left.pop(best)
+        times.update(left.pop(best))
+        done = {doc for doc, n in times.items() if n >= DEPTH}
+        stem = best.rstrip("*")
+        left = {t: docs for t, docs in left.items() if not (best != stem and t.startswith(stem)) and not (
+            t.endswith("*") and best.startswith(t.rstrip("*")))}
     return chosen
 
 
@@ -206,7 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     rows = rows.select("doc_id", "text", (F.col("toxic") > 0).alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
-    model = {"terms": [], "exact": {}, "fuzzy": {}, "context": {}, "none": 0.0, "base": toxic / max(1, toxic + clean)}
+    model = {"terms": [], "rates": {}, "context": {}, "own": 0.0, "prior": -math.inf}
     if not toxic:
         return model
 
@@ -243,35 +254,48 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
         counts = Counter()
         for batch in batches:
             for text, is_toxic in zip(batch["text"], batch["toxic"]):
-                hits = matches(text, found)
-                exact = {term for term, edits, _ in hits if edits == 0}
-                fuzzy = {term for term, edits, _ in hits if edits} if not exact else set()
-                around = set().union(*(tokens for _, _, tokens in hits))
-                kinds = [*(("exact", t) for t in exact), *(("fuzzy", t) for t in fuzzy), *(("context", t) for t in around),
-                         ("documents", "hit" if hits else "none")]
-                counts.update((kind, key, bool(is_toxic)) for kind, key in kinds)
+                counts["words", "", bool(is_toxic)] += len(words_of(text))
+                for term, edits, around in matches(text, found):
+                    counts["fuzzy" if edits else "exact", term, bool(is_toxic)] += 1
+                    counts.update((f"context {'fuzzy' if edits else 'exact'} {term}", token, bool(is_toxic)) for token in around)
         yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["kind", "key", "toxic", "n"])
 
-    told = (rows.select("text", "toxic").mapInPandas(judged, "kind string, key string, toxic boolean, n long")
+    told = stored(rows.select("text", "toxic").mapInPandas(judged, "kind string, key string, toxic boolean, n long")
             .groupBy("kind", "key").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("t"),
-                                        F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("c"))
-            .orderBy(F.expr("kind = 'context'"), F.desc(F.col("t") + F.col("c")), "key")
-            .limit(2 * MOST_TERMS + 2 + MOST_CONTEXT).collect())
-    hit = next((r for r in told if (r["kind"], r["key"]) == ("documents", "hit")), None)
-    hit_t, hit_c = (hit["t"], hit["c"]) if hit else (0, 0)
-    for r in told:
-        t, c = r["t"], r["c"]
-        if r["kind"] in ("exact", "fuzzy"):
-            model[r["kind"]][r["key"]] = (t + _SHRINK * model["base"]) / (t + c + _SHRINK)
-        elif r["kind"] == "context":
-            share = (t + c) / (hit_t + hit_c)
-            model["context"][r["key"]] = (math.log((t + _SHRINK * share) / (hit_t + _SHRINK))
-                                          - math.log((c + _SHRINK * share) / (hit_c + _SHRINK)))
-        elif r["key"] == "none":
-            model["none"] = (t + 0.5 * model["base"]) / (t + c + 1)
+                                        F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("c")))
+    context = F.col("kind").startswith("context ")
+    seen = {(r["kind"], r["key"]): (r["t"], r["c"]) for r in told.filter(~context).collect()}  # two rows a term at most
+    words_t, words_c = seen.get(("words", ""), (0, 0))
+    for (kind, key), (t, c) in seen.items():
+        if kind != "words":
+            chance = (c + 0.5) / (words_c + 1)
+            model["rates"][kind, key] = (max(0.0, t - chance * words_t) / toxic, chance)
+    # What a token tells beyond the term it stands by: its toxic matches against those its terms lead to expect.
+    shares = [(f"context {kind} {key}", t / (t + c)) for (kind, key), (t, c) in seen.items() if kind != "words"]
+    if shares:
+        expected = spark.createDataFrame(shares, "kind string, share double")
+        around = (told.filter(context).join(F.broadcast(expected), "kind").groupBy("key").agg(
+            F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") + F.col("c")) * F.col("share")).alias("e"))
+            .filter(F.col("t") + F.col("c") >= CONTEXT_SEEN).orderBy(F.desc(F.col("t") + F.col("c")), "key").limit(MOST_CONTEXT))
+        for r in around.collect():
+            rest = r["t"] + r["c"] - r["e"]
+            model["context"][r["key"]] = (math.log((r["t"] + CONTEXT_SEEN) / (r["e"] + CONTEXT_SEEN))
+                                          - math.log((r["c"] + CONTEXT_SEEN) / (rest + CONTEXT_SEEN)))
+    model["own"] = sum(own for own, _ in model["rates"].values())
+    model["prior"] = math.log(toxic / max(0.5, clean))
     return model
 
 
+def probability(model: dict, words: int, hits: list[tuple[str, int, set[str]]]) -> float:
+    """Score of a text of ``words`` words with these matches."""
+    odds = model["prior"] - model["own"]
+    for term, edits, around in hits:
+        own, chance = model["rates"].get(("fuzzy" if edits else "exact", term), (0.0, 1.0))
+        moved = sum(model["context"].get(token, 0.0) for token in around)
+        odds += math.log1p(own / (chance * max(1, words))) + max(-CONTEXT_MOST, min(CONTEXT_MOST, moved))
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))) if odds > -math.inf else 0.0
+
+
 def scorer(spark: SparkSession, model: dict):
     """Column function: text to its score."""
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
@@ -279,15 +303,10 @@ def scorer(spark: SparkSession, model: dict):
     def make():
         own = pickle.loads(sent.value)
         found = _Found(Matcher(own["terms"]))
-        context = own["context"]
 
         def one(text: str | None) -> float:
-            spared = 1 - own["none"]
-            for term, edits, around in matches(text, found):
-                p = own["fuzzy" if edits else "exact"].get(term, own["base"])
-                odds = math.log(p / (1 - p)) + sum(context.get(token, 0.0) for token in around) if 0 < p < 1 else 0.0
-                spared *= 1 / (1 + math.exp(min(odds, 700))) if 0 < p < 1 else 1 - p
-            return 1 - spared
+            words = words_of(text)
+            return probability(own, len(words), matches(text, found, words))
 
         return one
 
