@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontam, html_extract, langid, toxicity
+from tidemark.llm import bpe, decontam, html_extract, langid, minhash, toxicity
 from tidemark.llm.common import tables
 
 
@@ -15,6 +15,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_near_duplicates": minhash.query,
     "op3_language": langid.query,
     "op4_toxicity": toxicity.query,
     "op8_decontaminate": decontam.query,
