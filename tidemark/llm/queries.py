@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontam, html_extract, langid, minhash, suffix_dedup, toxicity
+from tidemark.llm import ann, bpe, decontam, html_extract, langid, minhash, suffix_dedup, toxicity
 from tidemark.llm.common import tables
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op2_near_duplicates": minhash.query,
     "op3_language": langid.query,
     "op4_toxicity": toxicity.query,
+    "op6_neighbours": ann.query,
     "op7_repeats": suffix_dedup.query,
     "op8_decontaminate": decontam.query,
     "op10_html": html_extract.query,
