@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, decontam, html_extract, langid, minhash, suffix_dedup, toxicity
+from tidemark.llm import ann, bpe, decontam, html_extract, langid, lm_score, minhash, suffix_dedup, token_counts, toxicity
 from tidemark.llm.common import tables
 
 
@@ -18,9 +18,11 @@ QUERIES = {
     "op2_near_duplicates": minhash.query,
     "op3_language": langid.query,
     "op4_toxicity": toxicity.query,
+    "op5_token_counts": token_counts.query,
     "op6_neighbours": ann.query,
     "op7_repeats": suffix_dedup.query,
     "op8_decontaminate": decontam.query,
+    "op9_cross_entropy": lm_score.query,
     "op10_html": html_extract.query,
 }
 ORACLES: dict[str, str] = {}
