@@ -10,21 +10,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontam
+from tidemark.llm import bpe, decontam, minhash, suffix_dedup, toxicity
 from tidemark.session import stored
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not predicted toxic, by a model of the labelled ones among ``docs``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.clean_documents(docs, toxicity.learn(docs, toxicity.training_labels(labels)))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest id."""
+    return minhash.without_duplicates(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, less the passages of 50 bytes and more that an earlier one has.
+
+    Only letters of which every byte goes are cut, so texts stay texts; a
+    document that is nothing but repeats stays with an empty text.
+    """
+    return suffix_dedup.without_repeats(docs)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no run of words of a benchmark item occurs."""
     return decontam.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of ids and digests of ids and decoded text of every document left."""
+    """doc_id, number of ids and digests of ids and decoded text of every document left."""
     return bpe.token_digests(docs)
 
 
 STAGES = [
+    ("toxicity", without_toxic),
+    ("MinHash near-dedup", without_near_duplicates),
+    ("suffix-array dedup", without_repeats),
     ("benchmark decontamination", without_benchmark),
     ("BPE encoding and decoding", token_ids),
 ]
