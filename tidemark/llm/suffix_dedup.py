@@ -13,10 +13,12 @@ every byte, so the suffixes that cannot repeat are first put aside, exactly:
    of text the runs' hashes are packed and dealt by anchor: if the very same run
    is in an earlier document, all its windows are copies; if an anchor has
    different runs, those are checked on; anchors seen once are done.
-2. *Suffixes.*  For blocks of documents, the runs to check become a suffix array
-   whose longest-previous-factor array settles what repeats within the block.
-   The first suffixes of each block are dealt by their first ``LENGTH`` bytes'
-   hash (128 bits) and settled there in the same way, across blocks.
+2. *Suffixes.*  The bytes of the runs to check are dealt by anchor.  In each
+   bucket the suffixes that begin a window are sorted by their bytes, and the
+   longest-previous-factor array over that order settles the windows one by
+   one.  Runs of an anchor with very many different runs (the edges of a passage
+   that is everywhere) are dealt as single windows instead, by their own hash,
+   after equal ones of a block of documents have been made one.
 3. *Texts* meet the passages to remove, block by block.
 
 An anchor or window never moves more than a few entries per shard or block,
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship, tables
@@ -46,13 +48,14 @@ from tidemark.session import stored
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # gram places in a window
-BLOCK_BYTES = 6_000_000  # text in a block of documents, and about that much in each bucket
+BLOCK_BYTES = 12_000_000  # text in a block of documents, and about that much in each bucket
 SHARD_BYTES = 12_000_000  # text whose runs are packed together
 PIECE = 1 << 20  # window starts handled at once
-MANY = 16  # different runs of one anchor in one shard, from which they are all checked on without being dealt
+MANY = 16  # different runs of one anchor in one shard, beyond which they are all checked on, window by window, without being dealt
+MANY_IN_ALL = 512  # the same for all shards together
 _PLACE = np.uint64((1 << 21) - 1)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_COPY, _CHECK, _MARK, _DEALT = 1, 2, 3, 0
+_DEALT, _COPY, _CHECK, _MARK, _SPLIT = range(5)  # states of runs
 
 
 # ---- hashes of grams ---------------------------------------------------------------------------------------------
@@ -145,7 +148,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         array = np.ascontiguousarray(array)
         planes = array.view(np.uint8).reshape(len(array), array.dtype.itemsize).T
         out += [array.dtype.str.encode().ljust(8), np.array([len(array)], dtype=np.int64).tobytes(), np.ascontiguousarray(planes).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(out))
 
 
 def unpack(value: bytes) -> list[np.ndarray]:
@@ -171,19 +174,42 @@ def _wide(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> pd.DataFrame:
-    """Rows (bucket, packed columns) of entries dealt by bucket."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=np.int64)
-    ends = np.append(cuts[1:], len(bucket))
-    columns = [c[order] for c in columns]
-    return pd.DataFrame({"bucket": bucket[cuts].astype(np.int64),
-                         "packed": [pack(*(c[a:b] for c in columns)) for a, b in zip(cuts, ends)]}, columns=["bucket", "packed"])
-
+def _dealt(bucket: np.ndarray, ids: np.ndarray, kinds: np.ndarray, first: np.ndarray, columns: list[np.ndarray],
+           data: np.ndarray | None = None, size: np.ndarray | None = None) -> pd.DataFrame:
+    """Rows (bucket, packed entries); a document's key stands once for its entries in a bucket.
 
-def _joined(values: pd.Series) -> list[np.ndarray]:
-    parts = [unpack(v) for v in values]
+    ``data`` holds ``size`` bytes for each entry, end to end.
+    """
+    order = np.lexsort((first, kinds, ids, bucket))
+    bucket, ids, kinds, first = bucket[order], ids[order], kinds[order], first[order].astype(np.int32)
+    columns = [c[order] for c in columns]
+    ends = np.append(np.flatnonzero(_firsts(bucket))[1:], len(bucket)) if len(bucket) else np.zeros(0, dtype=np.int64)
+    if data is not None:
+        start = (np.cumsum(size) - size)[order]
+        size = size[order]
+    out, a = [], 0
+    for b in ends.tolist():
+        new = np.flatnonzero(_firsts(ids[a:b], kinds[a:b]))
+        count = np.diff(np.append(new, b - a))
+        own = [np.diff(ids[a:b][new], prepend=0), kinds[a:b][new].astype(np.uint32), count.astype(np.uint32), first[a:b], *(c[a:b] for c in columns)]
+        if data is not None:
+            own.append(data[_stretches(start[a:b], size[a:b])])
+        out.append((int(bucket[a]), pack(*own)))
+        a = b
+    return pd.DataFrame(out, columns=["bucket", "packed"])
+
+
+def _stretches(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of stretches of ``size`` from each ``start``, one after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _entries(values: pd.Series) -> list[np.ndarray]:
+    """ids, kinds, first and the further columns of packed entries."""
+    parts = []
+    for value in values:
+        ids, kinds, count, *columns = unpack(value)
+        parts.append([np.repeat(np.cumsum(ids), count), np.repeat(kinds, count), *columns])
     return [np.concatenate(x) for x in zip(*parts)]
 
 
@@ -195,21 +221,30 @@ def _firsts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def block_of(ids: np.ndarray, hashes: np.ndarray, blocks: int) -> np.ndarray:
-    return (_mixed(ids.astype(np.uint64) * _A + hashes.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    return (_mixed(ids.astype(np.uint64) * _A + _B) % np.uint64(blocks)).astype(np.int64)
 
 
 # ---- suffix arrays -----------------------------------------------------------------------------------------------
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``data`` in the order of their suffixes by the first ``depth`` values, and their ranks (equal prefixes, equal rank)."""
-    rank, span = data.astype(np.int64) + 1, 1
-    while span < depth:
-        step = min(span, depth - span)
-        beyond = np.concatenate([rank[step:], np.zeros(min(step, len(rank)), dtype=np.int64)])
-        rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + beyond, return_inverse=True)[1] + 1
-        span += step
-    return np.argsort(rank, kind="stable"), rank
+def suffix_array(data: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes of ``data`` at ``places`` by their first ``depth`` bytes, and their ranks (equal prefixes, equal rank).
+
+    Eight bytes are compared at a time; every suffix has at least ``depth`` bytes.
+    """
+    if not len(places):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    wide = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
+    word = np.zeros(len(data) + 1, dtype=np.uint64)
+    for i in range(8):
+        word = (word << np.uint64(8)) | wide[i:i + len(word)]
+    steps = [min(i, max(0, depth - 8)) for i in range(0, depth, 8)]
+    mask = np.uint64((1 << 64) - 1 if depth >= 8 else ((1 << 8 * depth) - 1) << 8 * (8 - depth))
+    keys = [word[places + i] & mask for i in steps]
+    order = np.lexsort(keys[::-1])
+    rank = np.empty(len(places), dtype=np.int64)
+    rank[order] = np.cumsum(_firsts(*(k[order] for k in keys)))
+    return order, rank
 
 
 def previous_factors(order: np.ndarray, rank: np.ndarray, document: np.ndarray) -> np.ndarray:
@@ -241,8 +276,8 @@ def previous_factors(order: np.ndarray, rank: np.ndarray, document: np.ndarray)
 
 # ---- stage 1: runs -----------------------------------------------------------------------------------------------
 
-def _shard_entries(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes]) -> list[np.ndarray]:
-    """Entries (state, anchor, run, id, text hash, first window, further windows) of one shard."""
+def _shard_entries(ids: np.ndarray, kinds: np.ndarray, texts: list[bytes]) -> list[np.ndarray]:
+    """Entries (state, anchor, run, id, kind, first window, further windows) of one shard."""
     found = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
     parts = []
     for data, window, document, offset in pieces_of(texts):
@@ -250,7 +285,7 @@ def _shard_entries(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes]) -> l
         parts.append([anchor, run, document[begins], offset[begins], ends - begins])
     anchor, run, document, first, more = (np.concatenate(x) for x in zip(found, *parts))
     owner = ids[document]
-    order = np.lexsort((first, document, owner, run, anchor))
+    order = np.lexsort((owner, run, anchor))
     anchor, run, document, owner, first, more = (x[order] for x in (anchor, run, document, owner, first, more))
     new_anchor, new_run = _firsts(anchor), _firsts(anchor, run)
     of_run = np.cumsum(new_run) - 1
@@ -258,66 +293,60 @@ def _shard_entries(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes]) -> l
     state = np.where(owner > least, _COPY, _DEALT).astype(np.uint8)
     of_anchor = np.cumsum(new_anchor) - 1
     many = (np.bincount(of_anchor, weights=new_run) > MANY)[of_anchor] if len(anchor) else np.zeros(0, dtype=bool)
-    state[many & (state == _DEALT)] = _CHECK
-    # An anchor that is checked on anyway leaves one mark, so that its runs elsewhere are checked on too.
+    state[many & (state == _DEALT)] = _SPLIT
+    # An anchor whose runs are checked on anyway leaves one mark, so that its runs elsewhere are treated alike.
     mark = np.flatnonzero(many & new_anchor)
-    columns = [state, anchor, run, owner, hashes[document], first, more]
+    columns = [state, anchor, run, owner, kinds[document], first, more]
     marks = [np.full(len(mark), _MARK, dtype=np.uint8), *(c[mark] for c in columns[1:])]
     return [np.concatenate(x) for x in zip(columns, marks)]
 
 
 def _runs_dealt(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, hashes, texts, size = [], [], [], 0
+        ids, kinds, texts, size = [], [], [], 0
 
         def flush() -> pd.DataFrame:
-            state, anchor, run, owner, text_hash, first, more = _shard_entries(
-                np.array(ids, dtype=np.int64), np.array(hashes, dtype=np.int64), texts)
-            return _dealt((anchor % np.uint64(buckets)).astype(np.int64), [
-                state, *_narrow(anchor >> np.uint64(16), 5), *_narrow(run, 6), owner, text_hash,
-                first.astype(np.int32), more.astype(np.uint8)])
+            state, anchor, run, owner, kind, first, more = _shard_entries(
+                np.array(ids, dtype=np.int64), np.array(kinds, dtype=np.int64), texts)
+            told = (state == _COPY) | (state == _SPLIT)  # settled here: their hashes need not travel
+            anchor_told = np.where(told, np.uint64(0), anchor >> np.uint64(24))
+            return _dealt((anchor % np.uint64(buckets)).astype(np.int64), owner, kind, first, [
+                state, *_narrow(anchor_told, 4), *_narrow(np.where(told, np.uint64(0), run), 6), more.astype(np.uint8)])
 
         for batch in batches:
-            for i, h, text in zip(batch["id"], batch["hash"], batch["text"]):
+            for i, h, text in zip(batch["id"], batch["kind"], batch["text"]):
                 ids.append(i)
-                hashes.append(h)
+                kinds.append(h)
                 texts.append(text.encode("utf-8"))
                 size += len(texts[-1])
                 if size >= SHARD_BYTES:
                     yield flush()
-                    ids, hashes, texts, size = [], [], [], 0
+                    ids, kinds, texts, size = [], [], [], 0
         if texts:
             yield flush()
 
     return run
 
 
-def _answers(state: np.ndarray, ids: np.ndarray, hashes: np.ndarray, first: np.ndarray, more: np.ndarray, blocks: int) -> pd.DataFrame:
-    keep = (state == _COPY) | (state == _CHECK)
-    columns = [x[keep] for x in (state.astype(np.uint8), ids, hashes, first.astype(np.int32), more.astype(np.uint8))]
-    order = np.lexsort((columns[3], columns[2], columns[1]))
-    columns = [c[order] for c in columns]
-    return _dealt(block_of(columns[1], columns[2], blocks), columns)
-
-
 def _runs_settled(blocks: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        columns = _joined(group["packed"])
-        state, anchor, run_hash = columns[0].copy(), _wide(columns[1:6]), _wide(columns[6:12])
-        ids, hashes, first, more = columns[12:]
+        ids, kinds, first, state, *hashes, more = _entries(group["packed"])
+        state, anchor, run_hash = state.copy(), _wide(hashes[:4]), _wide(hashes[4:])
         open_ = np.flatnonzero((state == _DEALT) | (state == _MARK))
         order = open_[np.lexsort((ids[open_], run_hash[open_], anchor[open_]))]
         a, r, i, s = anchor[order], run_hash[order], ids[order], state[order]
-        new_anchor, new_run = _firsts(a), _firsts(a, r)
-        of_anchor, of_run = np.cumsum(new_anchor) - 1, np.cumsum(new_run) - 1
         if len(order):
-            several = (np.bincount(of_anchor, weights=new_run) > 1) | (np.bincount(of_anchor, weights=s == _MARK) > 0)
+            new_anchor, new_run = _firsts(a), _firsts(a, r)
+            of_anchor, of_run = np.cumsum(new_anchor) - 1, np.cumsum(new_run) - 1
+            runs = np.bincount(of_anchor, weights=new_run)
+            split = (np.bincount(of_anchor, weights=s == _MARK) > 0) | (runs > MANY_IN_ALL)
             least = np.full(of_run[-1] + 1, np.iinfo(np.int64).max)
             dealt = s == _DEALT
             np.minimum.at(least, of_run[dealt], i[dealt])
-            verdict = np.where(i > least[of_run], _COPY, np.where(several[of_anchor], _CHECK, _DEALT))
-            state[order] = np.where(dealt, verdict, _MARK)
-        return _answers(state, ids, hashes, first, more, blocks)
+            onward = np.where(split, _SPLIT, np.where(runs > 1, _CHECK, _DEALT))
+            state[order] = np.where(dealt, np.where(i > least[of_run], _COPY, onward[of_anchor]), _MARK)
+        keep = (state == _COPY) | (state == _CHECK) | (state == _SPLIT)
+        return _dealt(block_of(ids[keep], blocks), ids[keep], kinds[keep], first[keep], [state[keep], more[keep]])
 
     return run
 
@@ -328,90 +357,84 @@ def _blocked(blocks: int):
     """Texts packed by block."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, hashes = batch["id"].to_numpy(np.int64), batch["hash"].to_numpy(np.int64)
-            block = block_of(ids, hashes, blocks)
             texts = [t.encode("utf-8") for t in batch["text"]]
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(_firsts(block[order])) if len(order) else []
-            rows = []
-            for a, b in zip(cuts, [*cuts[1:], len(order)]):
-                mine = order[a:b]
-                rows.append((int(block[mine[0]]), pack(
-                    ids[mine], hashes[mine], np.array([len(texts[k]) for k in mine], dtype=np.int64),
-                    np.frombuffer(b"".join(texts[k] for k in mine), dtype=np.uint8))))
-            yield pd.DataFrame(rows, columns=["bucket", "packed"])
+            ids, size = batch["id"].to_numpy(np.int64), np.array([len(t) for t in texts], dtype=np.int64)
+            yield _dealt(block_of(ids, blocks), ids, batch["kind"].to_numpy(np.int64), np.arange(len(ids)), [size],
+                         np.frombuffer(b"".join(texts), dtype=np.uint8), size)
 
     return run
 
 
 def _texts_of(values: pd.Series) -> dict[tuple[int, int], bytes]:
+    """Texts of a block by id and kind."""
     out = {}
     for value in values:
-        ids, hashes, lengths, data = unpack(value)
+        ids, kinds, count, _, size, data = unpack(value)
         raw, at = data.tobytes(), 0
-        for i, h, n in zip(ids.tolist(), hashes.tolist(), lengths.tolist()):
-            out[i, h] = raw[at:at + n]
+        for i, k, n in zip(np.repeat(np.cumsum(ids), count).tolist(), np.repeat(kinds, count).tolist(), size.tolist()):
+            out[i, k] = raw[at:at + n]
             at += n
     return out
 
 
-def block_suffixes(texts: dict[tuple[int, int], bytes], keys: list[tuple[int, int]], first: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Settle the windows to check within a block.
-
-    Returns, for every window: the number of its run, its start, whether an
-    earlier document of the block has it, and its 128-bit hash.
-    """
-    stretches = [np.frombuffer(texts[key], dtype=np.uint8)[f:f + m + LENGTH] for key, f, m in zip(keys, first.tolist(), more.tolist())]
-    sizes = np.array([len(x) for x in stretches])
-    data = np.concatenate(stretches)
-    run = np.repeat(np.arange(len(sizes)), sizes)
-    offset = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    window = offset + LENGTH <= sizes[run]
-    ids = np.array([i for i, _ in keys])
-    document = np.unique(ids, return_inverse=True)[1][run]
-    order, rank = suffix_array(data, LENGTH)
-    order = order[window[order]]  # a suffix that begins a window lies within its stretch
-    copied = np.zeros(len(data), dtype=bool)
-    seen = previous_factors(np.arange(len(order)), rank[order], document[order])
-    copied[order] = seen
-    _, long = gram_hashes(data)
-    at = np.flatnonzero(window)
-    return run[at], first[run[at]] + offset[at], copied[at], long[at], long[at + 18]
-
-
 def _suffixes_dealt(buckets: int):
+    """The bytes of the runs to check, dealt by anchor, or by window where an anchor has very many runs."""
+    nothing = pd.DataFrame({"bucket": [], "packed": []})
+
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(answers) or not len(texts):
-            return pd.DataFrame({"bucket": [], "packed": []})
-        state, ids, hashes, first, more = _joined(answers["packed"])
-        check = np.flatnonzero(state == _CHECK)
+            return nothing
+        ids, kinds, first, state, more = _entries(answers["packed"])
+        check = np.flatnonzero((state == _CHECK) | (state == _SPLIT))
         if not len(check):
-            return pd.DataFrame({"bucket": [], "packed": []})
-        ids, hashes, first, more = (x[check] for x in (ids, hashes, first, more))
-        run, start, copied, x, y = block_suffixes(_texts_of(texts["packed"]), list(zip(ids.tolist(), hashes.tolist())), first, more)
-        # Of equal windows only those of the block's first document are asked about; later ones are settled.
-        x, y = np.where(copied, np.uint64(0), x), np.where(copied, np.uint64(0), y)
-        bucket = np.where(copied, run % buckets, (_mixed(x * _A + y) % np.uint64(buckets)).astype(np.int64))
-        return _dealt(bucket, [copied.astype(np.uint8), x, y, ids[run], hashes[run], start.astype(np.int32)])
+            return nothing
+        ids, kinds, first, split, more = (x[check] for x in (ids, kinds, first, state == _SPLIT, more.astype(np.int64)))
+        own = _texts_of(texts["packed"])
+        data = np.frombuffer(b"".join(own[i, k][f:f + m + LENGTH] for i, k, f, m in zip(
+            ids.tolist(), kinds.tolist(), first.tolist(), more.tolist())), dtype=np.uint8)
+        size = more + LENGTH
+        start = np.cumsum(size) - size
+        short, long = gram_hashes(data)
+        keyed = (short & ~_PLACE)
+        least = np.minimum.reduceat(keyed, np.stack([start, start + SPAN], axis=1).ravel()[: 2 * len(start) - (start[-1] + SPAN >= len(keyed))])[::2]
+        bucket = ((least >> np.uint64(21)) % np.uint64(buckets)).astype(np.int64)
+        parts = [_dealt(bucket[~split], ids[~split], kinds[~split], first[~split], [np.zeros(int((~split).sum()), dtype=np.uint8), more[~split].astype(np.uint8)],
+                        data[_stretches(start[~split], size[~split])], size[~split])]
+        if split.any():
+            windows = _stretches(start[split], more[split] + 1)
+            run_of = np.repeat(np.flatnonzero(split), more[split] + 1)
+            at = first[run_of] + windows - start[run_of]
+            order, rank = suffix_array(data, windows, LENGTH)
+            copied = previous_factors(order, rank, np.unique(ids[run_of], return_inverse=True)[1])
+            # Later copies within the block are settled; the first ones are asked about elsewhere.
+            width = np.where(copied, 0, LENGTH)
+            bucket = (_mixed(long[windows] * _A + long[windows + 18]) % np.uint64(buckets)).astype(np.int64)
+            parts.append(_dealt(bucket, ids[run_of], kinds[run_of], at, [copied.astype(np.uint8), np.zeros(len(at), dtype=np.uint8)],
+                                data[_stretches(windows[~copied], width[~copied])], width))
+        return pd.concat(parts)
 
     return run
 
 
 def _suffixes_settled(blocks: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        copied, x, y, ids, hashes, start = _joined(group["packed"])
-        open_ = np.flatnonzero(copied == 0)
-        order = open_[np.lexsort((ids[open_], y[open_], x[open_]))]
-        rank = np.cumsum(_firsts(x[order], y[order]))
-        document = np.unique(ids[order], return_inverse=True)[1]
-        earlier = previous_factors(np.arange(len(order)), rank, document)
-        state = np.where(copied == 1, _COPY, _DEALT)
-        state[order[earlier]] = _COPY
-        # Neighbouring windows of one text travel as one stretch.
-        gone = np.flatnonzero(state == _COPY)
-        gone = gone[np.lexsort((start[gone], hashes[gone], ids[gone]))]
-        i, h, s = ids[gone], hashes[gone], start[gone].astype(np.int64)
-        return _answers(np.full(len(gone), _COPY), i, h, s, np.zeros(len(gone)), blocks)
+        ids, kinds, first, copied, more, data = _entries(group["packed"])
+        asked = np.flatnonzero(copied == 0)
+        count = more[asked].astype(np.int64) + 1
+        start = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
+        windows = _stretches(start, count)
+        of = np.repeat(asked, count)
+        order, rank = suffix_array(data, windows, LENGTH)
+        earlier = previous_factors(order, rank, np.unique(ids[of], return_inverse=True)[1] if len(of) else of)
+        # Copied windows that stand together in a run travel as one stretch.
+        within = windows - np.repeat(start, count)
+        begins = np.flatnonzero(earlier & ~(np.concatenate([[False], earlier[:-1]]) & (within > 0))) if len(of) else of
+        ends = np.flatnonzero(earlier & ~(np.concatenate([earlier[1:], [False]]) & np.concatenate([within[1:] > 0, [False]]))) if len(of) else of
+        known = np.flatnonzero(copied == 1)
+        who = np.concatenate([of[begins], known])
+        at = np.concatenate([first[of[begins]] + within[begins], first[known]])
+        further = np.concatenate([ends - begins, np.zeros(len(known), dtype=np.int64)]).astype(np.uint8)
+        return _dealt(block_of(ids[who], blocks), ids[who], kinds[who], at, [np.full(len(who), _COPY, dtype=np.uint8), further])
 
     return run
 
@@ -434,20 +457,20 @@ def _whole_letters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
 
 
 def _texts_finished(text_too: bool):
-    names = ["id", "hash", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * text_too
+    names = ["id", "kind", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * text_too
 
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows = []
         own = _texts_of(texts["packed"]) if len(texts) else {}
         found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         if len(answers):
-            state, ids, hashes, first, more = _joined(answers["packed"])
+            ids, kinds, first, state, more = _entries(answers["packed"])
             keep = np.flatnonzero(state == _COPY)
-            order = keep[np.lexsort((hashes[keep], ids[keep]))]
-            ids, hashes, first, more = ids[order], hashes[order], first[order].astype(np.int64), more[order]
-            cuts = np.flatnonzero(_firsts(ids, hashes)) if len(ids) else np.zeros(0, dtype=np.int64)
+            order = keep[np.lexsort((kinds[keep], ids[keep]))]
+            ids, kinds, first, more = ids[order], kinds[order], first[order].astype(np.int64), more[order]
+            cuts = np.flatnonzero(_firsts(ids, kinds)) if len(ids) else np.zeros(0, dtype=np.int64)
             for a, b in zip(cuts, np.append(cuts[1:], len(ids))):
-                found[int(ids[a]), int(hashes[a])] = (first[a:b], more[a:b])
+                found[int(ids[a]), int(kinds[a])] = (first[a:b], more[a:b])
         for (i, h), raw in own.items():
             if (i, h) in found:
                 data = np.frombuffer(raw, dtype=np.uint8)
@@ -465,46 +488,53 @@ def _texts_finished(text_too: bool):
     return run
 
 
+def _kind(text: Column) -> Column:
+    """24 bits of a text's hash, to tell rows of one id apart."""
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << 24) - 1))
+
+
 def removals(docs: DataFrame, text_too: bool = False) -> DataFrame:
-    """(id, hash, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every distinct text of a non-NULL id.
+    """(id, kind, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every distinct text of a non-NULL id.
 
-    ``hash`` is xxhash64 of the text, which tells rows of one id apart.  Eager
-    up to the settled runs, which are written to the shared folder.
+    Eager up to the settled runs, which are written to the shared folder.
     """
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).filter("id IS NOT NULL").select(
-        "id", F.xxhash64("text").alias("hash"), "text")
+        "id", _kind(F.col("text")).alias("kind"), "text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(8, -(-size // BLOCK_BYTES))
-    kind = "bucket long, packed binary"
-    settled = stored(texts.mapInPandas(_runs_dealt(parts), kind).groupBy("bucket").applyInPandas(_runs_settled(parts), kind))
-    blocked = texts.mapInPandas(_blocked(parts), kind)
-    suffixes = blocked.groupBy("bucket").cogroup(settled.groupBy("bucket")).applyInPandas(_suffixes_dealt(parts), kind)
-    more = suffixes.groupBy("bucket").applyInPandas(_suffixes_settled(parts), kind)
+    row = "bucket long, packed binary"
+    settled = stored(texts.mapInPandas(_runs_dealt(parts), row).groupBy("bucket").applyInPandas(_runs_settled(parts), row))
+    blocked = texts.mapInPandas(_blocked(parts), row)
+    suffixes = blocked.groupBy("bucket").cogroup(settled.groupBy("bucket")).applyInPandas(_suffixes_dealt(parts), row)
+    more = suffixes.groupBy("bucket").applyInPandas(_suffixes_settled(parts), row)
     answers = settled.union(more).groupBy("bucket")
-    out = "id long, hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * text_too
+    out = "id long, kind long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * text_too
     return blocked.groupBy("bucket").cogroup(answers).applyInPandas(_texts_finished(text_too), out)
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``."""
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"),
-                       F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("whole"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", _kind(text).alias("kind"), F.octet_length(text).cast("long").alias("size"),
+                       F.when(F.col("doc_id").isNull(), F.sha2(text, 256)).alias("whole"))
     found = removals(docs)
-    return rows.join(found, (rows["doc_id"] == found["id"]) & (rows["hash"] == found["hash"]), "left").select(
-        "doc_id", F.coalesce("n_bytes", "size").alias("n_bytes"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    none = F.lit(0).cast("long")
+    return rows.join(found, (rows["doc_id"] == found["id"]) & (rows["kind"] == found["kind"]), "left").select(
+        "doc_id", F.coalesce("n_bytes", "size").alias("n_bytes"), F.coalesce("n_removed", none).alias("n_removed"),
+        F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with repeated passages cut from ``text`` (letters whole) and ``n_chars`` put right."""
     found = removals(docs, text_too=True).filter("n_removed > 0").select(
-        F.col("id").alias("_own_id"), F.col("hash").alias("_own_hash"), F.col("kept").alias("_own_kept"))
-    joined = docs.join(found, (docs["doc_id"] == found["_own_id"]) & (F.xxhash64(docs["text"]) == found["_own_hash"]), "left")
-    text = F.coalesce(found["_own_kept"], docs["text"])
-    changed = {"text": text, "n_chars": F.when(found["_own_kept"].isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
-    return joined.select(*[changed[c].alias(c) if changed.get(c) is not None else docs[c] for c in docs.columns])
+        F.col("id").alias("_own_id"), F.col("kind").alias("_own_kind"), F.col("kept").alias("_own_kept"))
+    joined = docs.join(found, (docs["doc_id"] == found["_own_id"]) & (_kind(docs["text"]) == found["_own_kind"]), "left")
+    changed = {"text": F.coalesce(found["_own_kept"], docs["text"])}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(found["_own_kept"].isNull(), docs["n_chars"]).otherwise(F.length("_own_kept").cast("long"))
+    return joined.select(*[changed.get(c, docs[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
