@@ -48,8 +48,8 @@ from tidemark.session import stored
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # gram places in a window
-BLOCK_BYTES = 12_000_000  # text in a block of documents, and about that much in each bucket
-SHARD_BYTES = 12_000_000  # text whose runs are packed together
+BLOCK_BYTES = 6_000_000  # text in a block of documents, and about that much in each bucket
+SHARD_BYTES = 8_000_000  # text whose runs are packed together
 PIECE = 1 << 20  # window starts handled at once
 MANY = 16  # different runs of one anchor in one shard, beyond which they are all checked on, window by window, without being dealt
 MANY_IN_ALL = 512  # the same for all shards together
