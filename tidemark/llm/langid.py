@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import fold, on_text, sampled, ship, tables
 
 TRAIN_ROWS = 8_000
-MOST_WORDS, MOST_GRAMS = 150_000, 250_000
+MOST_WORDS, MOST_GRAMS = 100_000, 120_000
 LONGEST = 5
 ABSENT = 0.1  # count of an entry that a language does not have
-_REMEMBERED = 400_000
+_REMEMBERED = 250_000
 _EVEN = 20  # words after which the score no longer sharpens
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
