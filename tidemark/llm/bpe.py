@@ -28,6 +28,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm.common import on_text
 
@@ -37,6 +38,8 @@ _END = "Ā"  # stands for the mark of a word's end; bytes are U+0000 to U+00FF
 _NEVER = 1 << 60
 _WORDS, _PAIRS = 400_000, 1_000_000  # entries a task remembers before it starts anew
 
+# Letters of which all Unicode versions say the same; a text with others is split by the library's own tables.
+_UNSETTLED = regex.compile(r"[^\0-\u024f\u0370-\u052f\u2000-\u206f\u3040-\u30ff\u4e00-\u9fbf\uac00-\ud7a3]")
 # Letters, digits and the rest, as byte-level vocabularies split text (fixed pattern).
 _BYTE_LEVEL = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
                r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -108,6 +111,7 @@ class Bpe:
         splits = [x for x in (spec["pre_tokenizer"].get("pretokenizers") or [spec["pre_tokenizer"]]) if x["type"] == "Split"]
         pattern = splits[0]["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}") if splits else _BYTE_LEVEL
         self.pieces = regex.compile(pattern)
+        self.library = Tokenizer.from_str(content.decode("utf-8"))  # its tables of letters only
         self.bytewise = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.unletter = {letter: byte for byte, letter in enumerate(letters)}
         self._words = _Remembered(self.word)
@@ -120,6 +124,18 @@ class Bpe:
             text = text.replace("Σ", "σ").lower()
         return text
 
+    @staticmethod
+    def unsettled(text: str) -> bool:
+        return not text.isascii() and _UNSETTLED.search(text) is not None
+
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special tokens."""
+        if not self.unsettled(text):
+            return self.pieces.findall(self.normal(text))
+        if self.library.normalizer is not None:
+            text = self.library.normalizer.normalize_str(text)
+        return [bytes(self.unletter[c] for c in piece).decode("utf-8") for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def _edge(self, token: int, side: int) -> list[int]:
         """The tokens along one edge of ``token``, the shortest first."""
         chain = [token]
@@ -187,7 +203,7 @@ class Bpe:
             elif part:
                 if len(self._words) >= _WORDS:
                     self._words.clear()
-                out += map(self._words.__getitem__, self.pieces.findall(self.normal(part)))
+                out += map(self._words.__getitem__, self.split(part))
         return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:

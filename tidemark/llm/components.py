@@ -21,9 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select(
         "node", F.least("node", "least").alias("label")))
     while True:
-        near = (both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node"))
-                .agg(F.min("label").alias("near")))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
+        near = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("before"))
+        lower = (labels.select("node", "label", F.col("label").alias("before")).union(near).groupBy("node")
+                 .agg(F.min("label").alias("label"), F.max("before").alias("before")))
         roots = lower.select(F.col("node").alias("root"), F.col("label").alias("root_label"))
         after = stored(lower.join(roots, lower["label"] == roots["root"]).select("node", "before", F.col("root_label").alias("label")))
         labels = after.select("node", "label")

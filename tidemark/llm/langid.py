@@ -65,7 +65,7 @@ def _counted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for size in range(1, LONGEST + 1):
                     for gram in grams_of(word, size):
                         grams[f" {gram}"] += n
-            for counts in (words, grams):
+            for counts in (words, grams) if words else ():
                 yield pd.DataFrame({"lang": lang, "entry": list(counts), "n": list(counts.values())})
 
 

@@ -102,8 +102,9 @@ class Counted:
         at = start
         while at < len(text):
             end = special.start() if special else len(text)
-            for found in self.bpe.pieces.finditer(text, at, end) if end > at else ():
-                yield found.end(), found[0]
+            for piece in self._pieces(text, at, end) if end > at else ():
+                at += len(piece)
+                yield at, piece
             if special:
                 yield special.end(), special[0]
                 at = special.end()
@@ -111,6 +112,11 @@ class Counted:
             else:
                 at = len(text)
 
+    def _pieces(self, text: str, start: int, end: int) -> Iterator[str]:
+        """Pre-tokens, which together are the text: byte-level vocabularies change and drop nothing."""
+        part = text[start:end]
+        return iter(self.bpe.split(part)) if self.bpe.unsettled(part) else (m[0] for m in self.bpe.pieces.finditer(part))
+
     def _leaves(self, text: str, start: int, end: int) -> list[tuple[str, int]]:
         return [(piece, self._tokens(piece)) for stop, piece in self._split(text, start) if stop <= end]
 

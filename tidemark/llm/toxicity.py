@@ -44,7 +44,7 @@ from tidemark.session import stored
 TRAIN_ROWS = 10_000
 MOST_CANDIDATES, MOST_TERMS, MOST_CONTEXT = 20_000, 2_000, 5_000
 LEAST_DOCS, LEAST_SHARE = 3, 0.02  # toxic documents that a term has to add, at least this many and this share
-LEAST_ODDS = math.log(8)
+LEAST_ODDS = math.log(3)
 DEPTH = 4  # terms that a toxic document may bring in
 SHORTEST = 4  # letters of a term
 FUZZY_WORD, FUZZY_STEM = 5, 8  # letters from which one edit is allowed
@@ -191,11 +191,11 @@ def choose(postings: dict[str, set[int]], clean: dict[str, int], per_toxic: floa
     times = Counter()
     done: set[int] = set()
     while left and len(chosen) < most:
-        gain = {term: len(docs - done) for term, docs in left.items()}
+        gain = {term: len(docs - done) - per_toxic * clean[term] for term, docs in left.items()}
         left = {term: docs for term, docs in left.items() if gain[term] >= least}
         if not left:
             break
-        best = min(left, key=lambda t: (-(gain[t] - per_toxic * clean[t]), -len(t.rstrip("*")), t))
+        best = min(left, key=lambda t: (-gain[t], -len(t.rstrip("*")), t))
         chosen.append(best)
         times.update(left.pop(best))
         done = {doc for doc, n in times.items() if n >= DEPTH}
@@ -227,6 +227,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
                 counts = Counter()
                 for text in texts:
                     counts.update(entries_of(text))
+                if not counts:
+                    continue
                 yield pd.DataFrame({"entry": list(counts), "t": [n * kind for n in counts.values()],
                                     "c": [n * (not kind) for n in counts.values()]})
 
@@ -240,7 +242,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             pairs = [(i, e) for i, text in zip(batch["doc_id"], batch["text"]) for e in entries_of(text) & names.value]
-            yield pd.DataFrame(pairs, columns=["doc_id", "entry"])
+            if pairs:
+                yield pd.DataFrame(pairs, columns=["doc_id", "entry"])
 
     postings: dict[str, set[int]] = {}
     for doc, entry in rows.filter("toxic").select("doc_id", "text").mapInPandas(posted, "doc_id long, entry string").toPandas().itertuples(index=False):
@@ -258,7 +261,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
                 for term, edits, around in matches(text, found):
                     counts["fuzzy" if edits else "exact", term, bool(is_toxic)] += 1
                     counts.update((f"context {'fuzzy' if edits else 'exact'} {term}", token, bool(is_toxic)) for token in around)
-        yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["kind", "key", "toxic", "n"])
+        if counts:
+            yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["kind", "key", "toxic", "n"])
 
     told = stored(rows.select("text", "toxic").mapInPandas(judged, "kind string, key string, toxic boolean, n long")
             .groupBy("kind", "key").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("t"),
