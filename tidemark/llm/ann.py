@@ -39,7 +39,7 @@ from tidemark.llm.common import ship, tables
 from tidemark.session import stored
 
 NEAREST = 20
-TABLES, PROBES, PER_BUCKET = 4, 24, 400
+TABLES, PROBES, PER_BUCKET = 6, 24, 400
 PART = 4_000
 ROUNDS, SEED = 3, 20_11
 _SPARE = 4  # vectors ranked beyond those asked for before the exact scores are taken
