@@ -180,34 +180,37 @@ def signer(spark: SparkSession, bands: int = BANDS, rows: int = ROWS):
     return on_text(spark, make, "content binary, keys array<long>, code binary")
 
 
-def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Exact similarity of the two texts of every row; weighted sets are remembered up to ``_HELD`` elements."""
-    known = _Hashes()
-    sets: dict[int, tuple] = {}
-    held = 0
-
-    def weighted(node: int, text: str) -> tuple:
-        nonlocal held
-        if node not in sets:
-            if held > _HELD:
-                sets.clear()
-                held = 0
-            sets[node] = shingles(word_hashes(text, known))
-            held += len(sets[node][0])
-        return sets[node]
-
-    for batch in batches:
-        values = [similarity(weighted(i, x), weighted(j, y)) for i, j, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"])]
-        yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similar": values}, columns=["a", "b", "similar"])
-
-
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similar) of candidate pairs; ``texts`` (id, text) has one row per id."""
+def _compared(similar: float):
+    """Rows whose two texts are similar, exactly; weighted sets are remembered up to ``_HELD`` elements."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Hashes()
+        sets: dict[int, tuple] = {}
+        held = 0
+
+        def weighted(node: int, text: str) -> tuple:
+            nonlocal held
+            if node not in sets:
+                if held > _HELD:
+                    sets.clear()
+                    held = 0
+                sets[node] = shingles(word_hashes(text, known))
+                held += len(sets[node][0])
+            return sets[node]
+
+        for batch in batches:
+            rows = zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"])
+            yield pd.DataFrame([(i, j) for i, j, x, y in rows if similarity(weighted(i, x), weighted(j, y)) >= similar], columns=["a", "b"])
+
+    return run
+
+
+def compared(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The candidate pairs (a, b) that are similar; ``texts`` (id, text) has one row per id."""
     ship(pairs.sparkSession)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return (pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-            .mapInPandas(_compared, "a long, b long, similar double"))
+            .mapInPandas(_compared(similar), "a long, b long"))
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -221,27 +224,24 @@ def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows:
     known = signed.filter("id IS NOT NULL AND content IS NOT NULL")
     # One representative for equal word sequences, combined before the shuffle.
     groups = stored(known.groupBy("content").agg(F.min("id").alias("rep"), F.min_by(F.struct("keys", "code"), "id").alias("s")).select("content", "rep", "s.keys", "s.code"))
-    banded = groups.select("rep", F.explode("keys").alias("key"))
+    banded = groups.select("rep", F.posexplode("keys").alias("band", "key"))
     buckets = (banded.groupBy("key").agg(
         F.array(*[F.min_by("rep", F.xxhash64(F.col("rep"), F.lit(k))) if k else F.min("rep") for k in range(PIVOTS)]).alias("pivots"),
-        F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     # Members of buckets of two or more, each beside its pivots.
     members = stored(banded.join(buckets, "key"))
     pivots = F.explode("pivots").alias("b")
     pairs = members.select(F.col("rep").alias("a"), pivots).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     # An id that repeats with several texts is stood for by the first of them in text order.
     needed = stored(texts.join(members.select(F.col("rep").alias("id")).distinct(), "id").groupBy("id").agg(F.min("text").alias("text")))
-    checked = stored(compared(pairs, needed))
-    links = checked.filter(F.col("similar") >= similar).select("a", "b")
+    links = stored(compared(pairs, needed, similar))
     labels = components(links)
     # What is left: members of one bucket in different components that the signatures do not tell apart.
-    rest = stored(_undecided(members, labels, groups.select("rep", "code")))
-    if not rest.isEmpty():
-        more = (rest.groupBy("key", "i", "j").applyInPandas(_plausible(_floor(similar, bands * rows)), "a long, b long").distinct()
-                .join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-        found = stored(compared(more, needed).filter(F.col("similar") >= similar).select("a", "b"))
-        if not found.isEmpty():
-            labels = components(links.union(found))
+    rest = _undecided(members, labels, groups.select("rep", "code"), needed)
+    kind = _far_links(similar, _floor(similar, bands * rows), bands)
+    found = stored(rest.groupBy("key", "i", "j").applyInPandas(kind, "a long, b long"))
+    if not found.isEmpty():
+        labels = components(links.union(found))
     named = groups.select("content", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
         "content", F.coalesce("label", "rep").alias("class_id"))
     return signed.join(named, "content", "left").select(
@@ -253,8 +253,8 @@ def _floor(similar: float, coordinates: int) -> float:
     return similar - 4 * math.sqrt(similar * (1 - similar) / coordinates)
 
 
-def _undecided(members: DataFrame, labels: DataFrame, codes: DataFrame) -> DataFrame:
-    """(key, i, j, part, rep, label, code) of members, other than pivots, of buckets that hold several components.
+def _undecided(members: DataFrame, labels: DataFrame, codes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, band, i, j, part, rep, label, code, text) of members, other than pivots, of buckets that hold several components.
 
     A bucket is cut into parts of about ``PART`` members, and each pair of parts
     is a group of its own.  Pivots have been compared with all of their bucket.
@@ -263,23 +263,36 @@ def _undecided(members: DataFrame, labels: DataFrame, codes: DataFrame) -> DataF
         "label", F.coalesce("label", "rep"))
     several = (inner.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
                .filter("low <> high").select("key", "parts"))
-    left = inner.select("key", "rep", "label").join(several, "key").join(codes, "rep")
+    left = inner.select("key", "band", "rep", "label").join(several, "key").join(codes, "rep").join(texts.select(F.col("id").alias("rep"), "text"), "rep")
     part, other = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    return left.select("key", "rep", "label", "code", part.alias("part"), other.alias("other")).select(
-        "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "label", "code")
+    return left.select("key", "band", "rep", "label", "code", "text", part.alias("part"), other.alias("other")).select(
+        "key", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "label", "code", "text")
+
 
+def _far_links(similar: float, floor: float, bands: int):
+    """Links between members of different components, among pairs with at least the share ``floor`` of equal coordinates.
 
-def _plausible(floor: float):
-    """Pairs of different components of which at least the share ``floor`` of the coordinates is equal."""
+    A pair that shares several buckets is compared in the first one only.
+    """
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        codes = np.stack([np.frombuffer(x, dtype=np.uint8) for x in group["code"]])
-        label, rep = group["label"].to_numpy(), group["rep"].to_numpy()
+        codes = np.stack([np.frombuffer(x, dtype=np.uint8) for x in group["code"]]).reshape(len(group), bands, -1)
+        label, rep, text, band = group["label"].to_numpy(), group["rep"].to_numpy(), group["text"].to_numpy(), group["band"].iloc[0]
         first, second = (np.flatnonzero((group["part"] == group[side]).to_numpy()) for side in ("i", "j"))
+        known = _Hashes()
+        sets: dict[int, tuple] = {}
         out = []
         for x in first:
-            apart = second[(label[second] != label[x]) & (rep[second] != rep[x])]
-            near = apart[(codes[apart] == codes[x]).mean(axis=1) >= floor] if len(apart) else apart
-            out += [(max(rep[x], rep[y]), min(rep[x], rep[y])) for y in near]
+            apart = second[(label[second] != label[x]) & ((rep[second] > rep[x]) | (group["i"].iloc[0] != group["j"].iloc[0]))]
+            if not len(apart):
+                continue
+            equal = codes[apart] == codes[x]
+            near = apart[(equal.mean(axis=(1, 2)) >= floor) & (equal.all(axis=2).argmax(axis=1) == band)]
+            for y in near:
+                for z in (x, y):
+                    if z not in sets:
+                        sets[z] = shingles(word_hashes(text[z], known))
+                if similarity(sets[x], sets[y]) >= similar:
+                    out.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return run
