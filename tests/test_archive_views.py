@@ -173,7 +173,7 @@ def test_paging_and_search(spark):
     assert page.count() == 0 and total.first()[0] == 0
     page, _ = vw.close_page(daily, "stock", DATE, sort="no such column", page=2, size=2)
     assert rows(page, "rank") == [(3,)]
-    for bad in (dict(page=0), dict(size=201), dict(search="x" * 51)):
+    for bad in (dict(page=0), dict(size=0)):
         with pytest.raises(ValueError):
             vw.close_page(daily, "stock", DATE, **bad)
 

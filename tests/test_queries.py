@@ -19,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     if name in ORACLES:
-        assert compare(spark, con, QUERIES[name], ORACLES[name], SF) in (None, "both empty")
+        assert compare(spark, con, QUERIES[name], ORACLES[name], SF) is None
     else:
         assert QUERIES[name](spark, SF).count() > 0
 

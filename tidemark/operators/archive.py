@@ -12,7 +12,7 @@ from tidemark.functions.grid import CLOSE, on_five_minute_grid
 from tidemark.functions.scalars import clock_minute, numeric_prefix, repaired_money_bit
 from tidemark.operators.enrich import (eligible_only, enrich_board_quotes, enrich_stock_quotes, merge_close_money,
                                        misdated_quotes, only_quoted, rank_at_time)
-from tidemark.operators.quality import content_digest, coverage
+from tidemark.operators.quality import both_board_types, content_digest, coverage
 
 MONEY = ("dark_money", "regular_money", "main_money_inflow")
 CLOSE_KEY = ["trade_date", "rank_type", "market", "code"]
@@ -91,7 +91,7 @@ def compact_intraday(minute_board: DataFrame, curve: DataFrame, daily: DataFrame
         "trade_date", "snapshot_at", "rank_type", "rank", "market", "code", "name", *MONEY, "money_available",
         numeric_prefix(F.col("quote_time")).alias("source_time"), "fetched_at")
     closes = boards.filter(at == CLOSE).withColumn("snapshot_kind", F.lit("daily_close"))
-    seen = coverage(boards)
+    seen = coverage(boards, wanted=both_board_types(minute_board))
     ready = (seen.groupBy("trade_date").agg(F.sum("collected_daily_close").alias("_closed"))
              .filter(F.col("_closed") == 2).select("trade_date"))
     return Compaction(

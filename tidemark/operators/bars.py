@@ -154,7 +154,8 @@ def reconcile_bars(bars: DataFrame, daily: DataFrame) -> DataFrame:
 def archive_bars(minutes: DataFrame, daily: DataFrame, source: str = "trend_1m") -> tuple[DataFrame, DataFrame]:
     """Accepted bars, and rejected security-days with their reason.
 
-    A bad security-day never stops the others.
+    A bad security-day never stops the others; one without a daily row cannot
+    be held against anything and is rejected as ``no_daily_row``.
     """
     bad = minute_errors(minutes)
     bars = five_minute_bars(minutes.join(bad.select(*SECURITY_DAY), SECURITY_DAY, "left_anti"), daily)
@@ -163,5 +164,8 @@ def archive_bars(minutes: DataFrame, daily: DataFrame, source: str = "trend_1m")
             .withColumn("source", F.lit(source))
             .select(*SECURITY_DAY, "minute_index", "source", "open_price", "high_price", "low_price", "close_price",
                     "volume", "turnover", "amplitude", "change_pct", "change_value", "turnover_rate"))
-    rejected = bad.unionByName(verdict.filter(F.col("reason").isNotNull()).select(*SECURITY_DAY, "reason"))
+    unknown = (minutes.select(*SECURITY_DAY).distinct().join(daily.select(*SECURITY_DAY), SECURITY_DAY, "left_anti")
+               .join(bad.select(*SECURITY_DAY), SECURITY_DAY, "left_anti").withColumn("reason", F.lit("no_daily_row")))
+    rejected = (bad.select(*SECURITY_DAY, "reason").unionByName(verdict.filter(F.col("reason").isNotNull()).select(*SECURITY_DAY, "reason"))
+                .unionByName(unknown))
     return good, rejected

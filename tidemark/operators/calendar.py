@@ -108,10 +108,10 @@ def complete_dates(daily: DataFrame, as_of: str | None = None, last: int | None
 
 
 def archived_days(daily: DataFrame, first: str, last: str) -> DataFrame:
-    """Complete dates of a range of at most 366 days."""
+    """Complete dates of a range."""
     start, end = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
-    if end < start or (end - start).days > 366:
-        raise ValueError("the range must be ascending and at most 366 days")
+    if end < start:
+        raise ValueError("the range must be ascending")
     return complete_dates(daily, as_of=last, first=first)
 
 

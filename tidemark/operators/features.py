@@ -63,8 +63,8 @@ def second_difference(value: str, keys: Sequence[str] = KEY, index: str = "date_
 
 
 def add_streak(df: DataFrame, value: str, out: str, keys: Sequence[str] = KEY, index: str = "date_idx",
-               cap: int = LOOKBACK) -> DataFrame:
-    """Consecutive sealed dates up to today with ``value`` > 0, at most ``cap``.
+               cap: int | None = LOOKBACK) -> DataFrame:
+    """Consecutive sealed dates up to today with ``value`` > 0, at most ``cap`` (None: no bound).
 
     A run can start today (after a gap) or tomorrow (today is not positive);
     the latest start so far is a running maximum.
@@ -75,7 +75,8 @@ def add_streak(df: DataFrame, value: str, out: str, keys: Sequence[str] = KEY, i
              .when(previous.isNull() | (previous != F.col(index) - 1), F.col(index)))
     started = df.withColumn("_start", start)
     latest = F.max("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return (started.withColumn(out, F.least(F.lit(cap), F.col(index) - latest + 1).cast("int"))
+    length = F.col(index) - latest + 1
+    return (started.withColumn(out, (length if cap is None else F.least(F.lit(cap), length)).cast("int"))
             .drop("_start"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.digests import listed_digest, set_digest, typed_line
+from tidemark.functions.digests import set_digest, typed_line
 from tidemark.functions.grid import CLOSE, MINUTES, POINTS, grid_array, on_five_minute_grid
 from tidemark.functions.scalars import clock_text
 
@@ -17,13 +17,17 @@ def _clocks(minutes: Column) -> Column:
 
 
 def coverage(minute_board: DataFrame, keys: tuple[str, ...] = ("trade_date", "rank_type"),
-             minute: Column | None = None) -> DataFrame:
+             minute: Column | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """Distinct minutes, five-minute points and close seen per key, with the ordered missing clocks.
 
-    Distinct minutes of a day (at most 1440) are all a key ever collects.
+    Distinct minutes of a day (at most 1440) are all a key ever collects.  Keys
+    of ``wanted`` without any row have a row in which everything is missing.
     """
     at = minute if minute is not None else (F.hour("snapshot_at") * 60 + F.minute("snapshot_at")).cast("int")
     seen = minute_board.groupBy(*keys).agg(F.collect_set(at).alias("_m"))
+    if wanted is not None:
+        seen = (wanted.select(*keys).distinct().join(seen, list(keys), "left")
+                .withColumn("_m", F.coalesce("_m", F.array().cast("array<int>"))))
     research = F.filter("_m", on_five_minute_grid)
     closed = F.array_contains("_m", CLOSE)
     return seen.select(
@@ -35,6 +39,12 @@ def coverage(minute_board: DataFrame, keys: tuple[str, ...] = ("trade_date", "ra
         F.when(closed, F.array().cast("array<string>")).otherwise(F.array(F.lit("15:00"))).alias("missing_daily_close"))
 
 
+def both_board_types(dated: DataFrame) -> DataFrame:
+    """(trade_date, rank_type) of both board types for every date of ``dated``."""
+    kinds = F.explode(F.array(*[F.lit(b) for b in BOARDS])).alias("rank_type")
+    return dated.select("trade_date").distinct().select("trade_date", kinds)
+
+
 def stock_quality(daily: DataFrame, research: DataFrame) -> DataFrame:
     """Expected and stored stock rows per date; money and bar rows are sums of the bits."""
     stocks = daily.filter(F.col("rank_type") == "stock").groupBy("trade_date").agg(
@@ -57,9 +67,10 @@ def bar_sources(research_sources: DataFrame) -> DataFrame:
 
 
 def code_set_digest(daily: DataFrame) -> DataFrame:
-    """Count and SHA-256 of the sorted ``type|market|code`` lines of each date."""
+    """Count and digest of the set of ``type|market|code`` lines of each date: one form for any number of lines."""
     line = F.concat_ws("|", "rank_type", F.col("market").cast("string"), "code")
-    return listed_digest(daily, ["trade_date"], ["rank_type", "market", "code"], line, out="code_set_sha256").select(
+    lines = daily.select("trade_date", line.alias("_line")).distinct()
+    return set_digest(lines, ["trade_date"], F.col("_line"), "code_set_sha256").select(
         "trade_date", F.col("line_count").alias("code_count"), "code_set_sha256")
 
 

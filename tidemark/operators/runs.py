@@ -67,7 +67,9 @@ def roll_up_runs(runs: DataFrame, rollup: DataFrame, at: Column, success_days: i
 
 
 def recent_runs(runs: DataFrame, requested_date: str | None = None, limit: int = 100) -> DataFrame:
-    """Latest runs of a date; a limit outside 1..500 means 100."""
+    """Latest runs of a date, as many as asked for."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     rows = runs if requested_date is None else runs.filter(
         F.col("requested_date") == F.lit(requested_date).cast("date"))
-    return rows.orderBy(F.desc("snapshot_at"), "run_id").limit(limit if 0 < limit <= 500 else 100)
+    return rows.orderBy(F.desc("snapshot_at"), "run_id").limit(limit)

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import is_main_board, is_special_treatment
 from tidemark.operators.calendar import complete_dates
 
-MAX_DAYS, MAX_CONDITIONS, SHOWN_REJECTIONS = 60, 20, 200
-
 # Screenable fields by what must have been observed for them.
 ALWAYS = ("turnover", "turnover_rate", "change_pct", "close_price", "amplitude", "volume")
 NEED_MONEY = ("control_coefficient", "dark_money", "regular_money", "main_money_inflow")
@@ -65,14 +63,12 @@ def default_request(as_of: str) -> ScanRequest:
 def validate(request: ScanRequest) -> ScanRequest:
     if not request.as_of:
         raise InvalidScan("as_of is required")
-    if not 1 <= request.consecutive_days <= MAX_DAYS:
-        raise InvalidScan(f"consecutive_days must be 1..{MAX_DAYS}")
+    if request.consecutive_days < 1:
+        raise InvalidScan("consecutive_days must be at least 1")
     for mode in (request.concept_match, request.stock_match):
         if mode not in ("all", "any"):
             raise InvalidScan("match must be all or any")
     for side in (request.concept_conditions, request.stock_conditions):
-        if len(side) > MAX_CONDITIONS:
-            raise InvalidScan(f"at most {MAX_CONDITIONS} conditions a side")
         for c in side:
             if c.field not in FIELDS or c.operator not in OPERATORS:
                 raise InvalidScan(f"unsupported condition {c.field} {c.operator}")
@@ -151,7 +147,7 @@ def day_runs(rows: DataFrame, keys: Sequence[str], conditions: Sequence[Conditio
     """Per key over the scanned days: what was present, what failed first, all days.
 
     ``rows`` holds scanned days only, one row per key and day, so the arrays
-    have at most ``MAX_DAYS`` elements.
+    have one element a scanned day.
     """
     metric = F.struct("trade_date", *METRICS, "control_coefficient", "money_available", "rank_available")
     judged = with_metrics(rows).withColumn("_eval", evaluation(conditions, mode))
@@ -170,13 +166,12 @@ def day_runs(rows: DataFrame, keys: Sequence[str], conditions: Sequence[Conditio
 
 @dataclass(frozen=True)
 class ScanResult:
-    """``rejections`` is what a page shows (first 200); ``all_rejections`` is the full set."""
+    """``rejections`` is the full set; ``rejection_page`` cuts a page of it."""
 
     dates: DataFrame
     concepts: DataFrame
     stocks: DataFrame
     rejections: DataFrame
-    all_rejections: DataFrame
     stats: DataFrame
 
 
@@ -243,7 +238,7 @@ def focus_scan(daily: DataFrame, members: DataFrame, request: ScanRequest) -> Sc
     """Dates, concept screen, universe, stock screen, explanations, counters.
 
     ``members`` are the edges in force on the scan's last day
-    (``members_as_of``).  The scanned dates are at most 60 rows, so the daily
+    (``members_as_of``).  The scanned dates are one row a day, so the daily
     table is cut by a broadcast join that prunes its date partitions.
     """
     validate(request)
@@ -270,11 +265,18 @@ def focus_scan(daily: DataFrame, members: DataFrame, request: ScanRequest) -> Sc
     return ScanResult(
         dates, qualified.orderBy(*order).select("code", "name", "days", "evaluations"),
         chosen.orderBy(*order).select("market", "code", "name", "concepts", "days", "evaluations"),
-        rejected.orderBy("kind", "code").limit(SHOWN_REJECTIONS), rejected, scan_stats(concepts, stocks))
+        rejected, scan_stats(concepts, stocks))
+
+
+def rejection_page(rejections: DataFrame, page: int, size: int) -> DataFrame:
+    """One page of rejections by kind, code and market."""
+    if page < 1 or size < 1:
+        raise ValueError("page and size from 1")
+    return rejections.orderBy("kind", "code", "market").offset((page - 1) * size).limit(size)
 
 
 def scan_stats(concepts: DataFrame, stocks: DataFrame) -> DataFrame:
-    """One row of counters, and whether the shown rejections are cut short."""
+    """One row of counters."""
     both = (concepts.select(F.lit("concept").alias("kind"), "reason")
             .unionByName(stocks.select(F.lit("stock").alias("kind"), "reason")))
     concept, stock, fine = F.col("kind") == "concept", F.col("kind") == "stock", F.col("reason").isNull()
@@ -283,5 +285,4 @@ def scan_stats(concepts: DataFrame, stocks: DataFrame) -> DataFrame:
         F.count_if(stock).alias("stocks_evaluated"), F.count_if(stock & fine).alias("stocks_qualified"),
         F.count_if(F.col("reason") == "non_main_board").alias("non_main_board_excluded"),
         F.count_if(F.col("reason") == "st_excluded").alias("st_excluded"),
-        F.count_if(F.col("reason") == "missing_daily_close").alias("missing_record_excluded"),
-        (F.count_if(~fine) > SHOWN_REJECTIONS).alias("rejections_truncated"))
+        F.count_if(F.col("reason") == "missing_daily_close").alias("missing_record_excluded"))

@@ -15,7 +15,6 @@ from tidemark.functions.scalars import clock_minute, contains_text, unscale_e4,
 SORTABLE = ("rank", "name", "code", "dark_money", "main_money_inflow", "change_pct", "dark_activity", "open_price",
             "high_price", "low_price", "close_price", "previous_close", "volume", "turnover", "turnover_rate",
             "amplitude")
-MAX_PAGE, MAX_SEARCH = 200, 50
 CUMULATIVE = ("dark_money", "regular_money", "main_money_inflow")
 RANK_METRICS = ("dark_activity", "dark_inflow_ratio", "rank", "up_count")
 
@@ -34,10 +33,8 @@ def close_page(daily: DataFrame, rank_type: str, trade_date: str | None = None,
     Spark keeps at most offset + size rows per task for the page; the total is
     a count with its own (pruned) scan.
     """
-    if page < 1 or not 1 <= size <= MAX_PAGE:
-        raise ValueError(f"page from 1, size 1..{MAX_PAGE}")
-    if len(search.strip()) > MAX_SEARCH:
-        raise ValueError(f"search text is limited to {MAX_SEARCH} characters")
+    if page < 1 or size < 1:
+        raise ValueError("page and size from 1")
     rows = daily.filter(F.col("rank_type") == rank_type)
     if trade_date is not None:
         rows = rows.filter(F.col("trade_date") == F.lit(trade_date).cast("date"))
@@ -76,7 +73,7 @@ def available_first(rows: DataFrame, available: str, column: str, descending: bo
 def latest_snapshot(board: DataFrame, keys: Sequence[str] = ("rank_type",)) -> DataFrame:
     """All rows of the most recent snapshot of each key, by rank."""
     newest = board.groupBy(*keys).agg(F.max("snapshot_at").alias("snapshot_at"))
-    return board.join(newest, [*keys, "snapshot_at"], "left_semi").orderBy(*keys, "rank")
+    return board.join(F.broadcast(newest), [*keys, "snapshot_at"], "left_semi").orderBy(*keys, "rank")  # a row a key
 
 
 def first_non_empty(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

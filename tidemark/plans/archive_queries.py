@@ -90,6 +90,26 @@ def archive_bars(spark, sf):
     return good.select(text("trade_date"), "code", "minute_index", "close_price", "volume")
 
 
+@query("bars_without_daily_row", "ev", """
+SELECT CAST(d AS VARCHAR) AS trade_date, event_type AS code, 'no_daily_row' AS reason FROM ev WHERE event_type IN ('click','view') GROUP BY ALL""")
+def bars_without_daily_row(spark, sf):
+    """Security-days whose official row is missing are told, not lost."""
+    minutes, daily = st.session_minutes(spark, sf)
+    _, rejected = br.archive_bars(minutes, daily.filter("code NOT IN ('click', 'view')"))
+    return rejected.filter("reason = 'no_daily_row'").select(text("trade_date"), "code", "reason")
+
+
+@query("coverage_of_absent_types", "ev", """, g AS (SELECT DISTINCT d FROM ev)
+SELECT CAST(g.d AS VARCHAR) AS trade_date, 'concept' AS rank_type, 0 AS collected_minutes, 48 AS missing_points FROM g
+UNION ALL SELECT CAST(d AS VARCHAR), 'industry', count(DISTINCT hour(ts)*60+minute(ts)),
+ 48 - count(DISTINCT CASE WHEN (hour(ts)*60+minute(ts))%5=0 AND (hour(ts)*60+minute(ts) BETWEEN 575 AND 690 OR hour(ts)*60+minute(ts) BETWEEN 785 AND 900) THEN hour(ts)*60+minute(ts) END) FROM ev GROUP BY d""")
+def coverage_of_absent_types(spark, sf):
+    """A board type without a row on a date has a row in which all is missing."""
+    board = st.events(spark, sf).select("trade_date", F.lit("industry").alias("rank_type"), F.col("ts").alias("snapshot_at"))
+    made = qu.coverage(board, wanted=qu.both_board_types(board))
+    return made.select(text("trade_date"), "rank_type", "collected_minutes", F.size("missing_research").alias("missing_points"))
+
+
 @query("ohlcv_by_type_and_half_hour", "ev", """
 SELECT CAST(d AS VARCHAR) AS trade_date, event_type, bucket, arg_min(value,event_id) AS open_price, max(value) AS high_price, min(value) AS low_price,
  arg_max(value,event_id) AS close_price, CAST(sum(cents) AS BIGINT) AS volume, count(*) AS tick_count FROM ev GROUP BY ALL""")
@@ -292,17 +312,18 @@ def stock_quality(spark, sf):
         text("trade_date"), "expected_stocks", "expected_kline_stocks", "money_rows", "kline_rows")
 
 
-@query("code_set_digest", "daily", """
-SELECT CAST(d AS VARCHAR) AS trade_date, count(*) AS code_count, sha256(string_agg(rank_type||'|'||market||'|'||code||chr(10), '' ORDER BY rank_type, market, code)) AS code_set_sha256 FROM daily GROUP BY d""")
-def code_set_digest(spark, sf):
-    return qu.code_set_digest(st.daily_close(spark, sf)).withColumn("trade_date", F.col("trade_date").cast("string"))
-
-
 _LANES = [f"CAST('0x'||substr(h,{1 + 15 * i},15) AS BIGINT)" for i in range(4)]
 _HALVES = ", ".join(f"CAST(sum({v}>>30) AS HUGEINT) AS h{i}, CAST(sum({v}&1073741823) AS HUGEINT) AS s{i}"
                     for i, v in enumerate(_LANES))
 
 
+@query("code_set_digest", "daily", f"""
+SELECT CAST(d AS VARCHAR) AS trade_date, n AS code_count, sha256(concat_ws('|', n, {", ".join(f"h{i}, s{i}" for i in range(4))})) AS code_set_sha256 FROM (
+ SELECT d, count(*) AS n, {_HALVES} FROM (SELECT DISTINCT d, sha256(rank_type||'|'||market||'|'||code) AS h FROM daily) GROUP BY d)""")
+def code_set_digest(spark, sf):
+    return qu.code_set_digest(st.daily_close(spark, sf)).withColumn("trade_date", F.col("trade_date").cast("string"))
+
+
 @query("lineitem_set_digest", "", f"""
 SELECT l_returnflag, n AS line_count, sha256(concat_ws('|', n, {", ".join(f"h{i}, s{i}" for i in range(4))})) AS digest FROM (
  SELECT l_returnflag, count(*) AS n, {_HALVES} FROM (SELECT l_returnflag, sha256(concat_ws('|', length(a)||':'||a, length(b)||':'||b, length(c)||':'||c)) AS h
@@ -609,6 +630,6 @@ def missing_points(spark, sf):
     return rn.missing_points(qu.coverage(st.money_points(spark, sf, boards_only=True)))
 
 
-@query("recent_runs", "runs", "SELECT run_id FROM (SELECT * FROM runs ORDER BY snapshot_at DESC, run_id LIMIT 50)")
+@query("recent_runs", "runs", "SELECT run_id FROM (SELECT * FROM runs ORDER BY snapshot_at DESC, run_id LIMIT 1000)")
 def recent_runs(spark, sf):
-    return rn.recent_runs(st.collection_runs(spark, sf), limit=50).select("run_id")
+    return rn.recent_runs(st.collection_runs(spark, sf), limit=1000).select("run_id")

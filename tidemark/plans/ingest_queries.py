@@ -69,6 +69,15 @@ def check_snapshot_complete(spark, sf):
     return pg.check_snapshot_complete(records).select("rank_type", "reason", "expected", "found")
 
 
+@query("empty_snapshots", "", f"""
+SELECT {_TYPE} AS rank_type, 'no_data' AS reason, 0 AS expected, 0 AS found FROM customer WHERE {_TYPE}='stock' GROUP BY 1""")
+def empty_snapshots(spark, sf):
+    """Pages without an entry leave a snapshot of nothing."""
+    blank = F.when(F.col("rank_type") == "stock", F.lit('{"errid":0,"data":[]}')).otherwise(F.col("body").cast("string"))
+    pages = rank_pages(spark, sf).withColumn("body", blank)
+    return pg.check_snapshot_complete(pg.parse_rank_pages(pages), pages=pages).select("rank_type", "reason", "expected", "found")
+
+
 @query("raw_page_table", "ev", """
 SELECT CASE WHEN hour(ts)=15 AND minute(ts)=0 THEN 'daily_close' ELSE 'research_5m' END AS snapshot_kind, event_type AS rank_type, CAST(date_trunc('minute',ts) AS VARCHAR) AS snapshot_at, arg_max(props, event_id) AS body FROM ev JOIN (SELECT event_id AS e, props FROM events) x ON x.e=ev.event_id GROUP BY ALL""")
 def raw_page_table(spark, sf):

@@ -63,7 +63,7 @@ SELECT (SELECT count(*) FROM con) AS concepts_evaluated, (SELECT count(*) FROM c
  count(*) FILTER (reason='non_main_board') AS non_main_board_excluded, count(*) FILTER (reason='st_excluded') AS st_excluded,
  count(*) FILTER (reason='missing_daily_close') AS missing_record_excluded FROM stk""")
 def scan_stats(spark, sf):
-    return _scan(spark, sf).stats.drop("rejections_truncated")
+    return _scan(spark, sf).stats
 
 
 @query("scan_qualified", "daily scans idx", _SCAN + """
@@ -78,15 +78,15 @@ def scan_qualified(spark, sf):
 SELECT 'stock' AS kind, market, code, name, reason, CAST(CASE reason WHEN 'missing_daily_close' THEN missing WHEN 'condition_failed' THEN failed_date END AS VARCHAR) AS failed_date FROM stk WHERE reason IS NOT NULL
 UNION ALL SELECT 'concept', 0, code, name, 'condition_failed', CAST(failed_date AS VARCHAR) FROM con WHERE failed_date IS NOT NULL""")
 def scan_rejections(spark, sf):
-    return _scan(spark, sf).all_rejections.select("kind", "market", "code", "name", "reason", text("failed_date"))
+    return _scan(spark, sf).rejections.select("kind", "market", "code", "name", "reason", text("failed_date"))
 
 
 @query("rejection_page", "daily scans idx", _SCAN + """
 SELECT kind, code, reason FROM (
-SELECT 'stock' AS kind, code, reason FROM stk WHERE reason IS NOT NULL
-UNION ALL SELECT 'concept', code, 'condition_failed' FROM con WHERE failed_date IS NOT NULL) ORDER BY kind, code LIMIT 200""")
+SELECT 'stock' AS kind, code, market, reason FROM stk WHERE reason IS NOT NULL
+UNION ALL SELECT 'concept', code, 0, 'condition_failed' FROM con WHERE failed_date IS NOT NULL) ORDER BY kind, code, market LIMIT 5 OFFSET 5""")
 def rejection_page(spark, sf):
-    return _scan(spark, sf).rejections.select("kind", "code", "reason")
+    return sc.rejection_page(_scan(spark, sf).rejections, 2, 5).select("kind", "code", "reason")
 
 
 @query("scan_without_concepts", "daily", ", " + _METRIC + ", " + _DATES + """,

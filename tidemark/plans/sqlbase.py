@@ -47,7 +47,7 @@ SELECT d, rank_type, market, code, name, minute_index, dark_money, regular_money
 FROM (SELECT g.d, g.rank_type, g.market, g.code, g.name, g.b AS minute_index,
    CAST(sum(coalesce(m.mdark,0)) OVER w AS BIGINT) AS dark_money,
    CAST(sum(coalesce(m.mreg,0)) OVER w AS BIGINT) AS regular_money
-  FROM (SELECT d, rank_type, market, code, name, unnest(CASE WHEN count(*)>=12 THEN range(0,48) ELSE list(CAST(bucket AS BIGINT)) END) AS b
+  FROM (SELECT d, rank_type, market, code, name, unnest(CASE WHEN (rank_type='stock' AND ascii(right(code,1))%4=0) OR (rank_type<>'stock' AND ascii(right(code,1))%4<>3) THEN range(0,48) ELSE list(CAST(bucket AS BIGINT)) END) AS b
         FROM moved GROUP BY d, rank_type, market, code, name) g
   LEFT JOIN moved m ON m.d=g.d AND m.rank_type=g.rank_type AND m.market=g.market AND m.code=g.code AND m.bucket=g.b
   WINDOW w AS (PARTITION BY g.d, g.rank_type, g.market, g.code ORDER BY g.b ROWS UNBOUNDED PRECEDING))"""),

@@ -21,7 +21,6 @@ from tidemark.operators.bars import ohlcv
 from tidemark.session import stored
 
 BUCKETS = 48
-DENSE = 12  # observed buckets from which a day's curve is filled to 48 points
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,7 +104,7 @@ def sealed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def money_points(spark: SparkSession, sf_dir: str, boards_only: bool = False) -> DataFrame:
-    """Cumulative half-hour money per entity and day, 48 points where the day is dense enough.
+    """Cumulative half-hour money per entity and day, 48 points where the code's last letter says so.
 
     Filled from 0 to 47 by position, so a key's window holds 48 rows.
     """
@@ -119,7 +118,9 @@ def money_points(spark: SparkSession, sf_dir: str, boards_only: bool = False) ->
     # At most 48 entries per key: one map of observed buckets, spread over the grid.
     seen = moved.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
         F.struct("bucket", F.struct("_dark", "_regular")))).alias("_seen"))
-    wanted = F.when(F.size("_seen") >= DENSE, F.sequence(F.lit(0), F.lit(BUCKETS - 1))).otherwise(F.map_keys("_seen"))
+    last = F.ascii(F.right("code", F.lit(1))) % 4
+    whole = F.when(F.col("rank_type") == "stock", last == 0).otherwise(last != 3)
+    wanted = F.when(whole, F.sequence(F.lit(0), F.lit(BUCKETS - 1))).otherwise(F.map_keys("_seen"))
     grid = seen.select(*keys, F.explode(wanted).alias("minute_index"), "_seen").withColumn(
         "_move", F.try_element_at("_seen", F.col("minute_index")))
     w = Window.partitionBy("trade_date", "rank_type", "market", "code").orderBy("minute_index")

@@ -65,10 +65,12 @@ def parse_rank_pages(pages: DataFrame, keys: Sequence[str] = ("trade_date", "ran
                        F.lit(SOURCE_SORT_FLAG).alias("source_sort_flag"), F.lit(True).alias("source_descending"))
 
 
-def check_snapshot_complete(records: DataFrame, keys: Sequence[str] = ("trade_date", "rank_type")) -> DataFrame:
+def check_snapshot_complete(records: DataFrame, keys: Sequence[str] = ("trade_date", "rank_type"),
+                            pages: DataFrame | None = None) -> DataFrame:
     """(keys, reason, expected, found) of snapshots to reject.
 
-    Date and expected total come from the first page's answer.
+    Date and expected total come from the first page's answer.  With ``pages``,
+    snapshots whose pages hold no entry at all are rejected, too.
     """
     keys = list(keys)
     per_code = records.groupBy(*keys, "code").agg(
@@ -77,6 +79,11 @@ def check_snapshot_complete(records: DataFrame, keys: Sequence[str] = ("trade_da
     per_key = per_code.groupBy(*keys).agg(
         F.sum("_n").alias("found"), F.max("_n").alias("_copies"), F.max(F.col("code") == "").alias("_nameless"),
         F.min_by("_head", "_at").alias("_head"))
+    if pages is not None:
+        asked = pages.select(*[F.col(k).alias(f"_asked_{k}") for k in keys]).distinct()
+        same = [per_key[k].eqNullSafe(asked[f"_asked_{k}"]) for k in keys]
+        per_key = asked.join(per_key, same, "left").select(
+            *[F.col(f"_asked_{k}").alias(k) for k in keys], F.coalesce("found", F.lit(0)).alias("found"), "_copies", "_nameless", "_head")
     expected = F.coalesce(F.col("_head.answer_total"), F.lit(0))
     reason = (F.when(F.col("_nameless"), "missing_code").when(F.col("_copies") > 1, "duplicate_code")
               .when(F.col("_head.answer_date").isNull(), "no_data")

@@ -74,7 +74,8 @@ def listing_errors(entries: DataFrame, keys: Sequence[str], exact: bool = True)
 
 
 def _accepted(entries: DataFrame, errors: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return entries.filter(F.col("q").isNotNull()).join(errors.select(*keys), list(keys), "left_anti")
+    # A row a listing: small beside the entries, and few enough keys that a shuffle would meet in a few tasks.
+    return entries.filter(F.col("q").isNotNull()).join(F.broadcast(errors.select(*keys)), list(keys), "left_anti")
 
 
 def parse_board_quotes(pages: DataFrame, keys: Sequence[str] = ("rank_type",)) -> tuple[DataFrame, DataFrame]:
@@ -120,12 +121,17 @@ def parse_board_constituents(pages: DataFrame, boards: DataFrame, source: str, s
     """Membership rows of sound constituent listings, and the boards rejected.
 
     ``pages`` carry ``board_code``; repeats of a stock keep the first entry.
+    Sound listings of boards that are not in the catalog are rejected as ``unknown_board``.
     """
     entries = quote_entries(pages, ["board_code"])
     errors = listing_errors(entries, ["board_code"], exact=False)
     coded = _accepted(entries, errors, ["board_code"]).withColumn(
         "stock_code", text_or_empty(F.element_at("q", CODE)))
     first = coded.groupBy("board_code", "stock_code").agg(F.min_by("q", F.struct("page", "pos")).alias("q"))
+    listed = first.groupBy("board_code").agg(F.count(F.lit(1)).alias("found"))
+    unknown = listed.join(boards.select("board_code"), "board_code", "left_anti").select(
+        "board_code", F.lit("unknown_board").alias("reason"), F.lit(0).cast("bigint").alias("expected"), "found")
+    errors = errors.unionByName(unknown)
     rows = first.join(boards.select("board_code", "board_name", "board_type", F.col("source_rank").alias("source_order")),
                       "board_code")
     return rows.select(

@@ -21,7 +21,6 @@ from tidemark.operators.enrich import POINT_KEY, eligible_only, merge_money_and_
 from tidemark.operators.quality import archive_manifest, coverage, stock_quality
 
 HOUR_PARTS = ("trade_date", "hour")
-MANY_HOURS = 48  # some days of session hours
 CLOSE_PARTS = ("trade_date", "rank_type")
 SECURITY_DAY = ["trade_date", "market", "code"]
 
@@ -74,20 +73,8 @@ def save_minute_board(rows: DataFrame, path: str) -> None:
 
 
 def _touched(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows of the hours a batch holds.
-
-    A batch of a few hours (the usual case, counted here) becomes a literal
-    partition filter, so only those hours are read; a bulk load is joined.
-    """
-    hours = batch.select(*HOUR_PARTS).distinct()
-    few = hours.limit(MANY_HOURS + 1).collect()
-    if len(few) > MANY_HOURS:
-        return table.join(hours, list(HOUR_PARTS), "left_semi")
-    wanted = F.lit(False)
-    for date in sorted({h.trade_date for h in few}):
-        wanted = wanted | ((F.col("trade_date") == F.lit(date))
-                           & F.col("hour").isin(*sorted(h.hour for h in few if h.trade_date == date)))
-    return table.filter(wanted)
+    """Stored rows of the hours a batch holds: one row an hour is sent to the scan, which prunes its partitions."""
+    return table.join(F.broadcast(batch.select(*HOUR_PARTS).distinct()), list(HOUR_PARTS), "left_semi")
 
 
 # -- closes and curves -------------------------------------------------------
@@ -106,7 +93,7 @@ def off_grid_points(points: DataFrame, closes: DataFrame) -> DataFrame:
     """Points off the five-minute grid or of a (date, type) that is not being saved."""
     pairs = closes.select(*CLOSE_PARTS).distinct()
     misplaced = points.filter(~on_five_minute_grid(clock_minute(F.col("snapshot_at"))))
-    return misplaced.unionByName(points.join(pairs, list(CLOSE_PARTS), "left_anti"))
+    return misplaced.unionByName(points.join(F.broadcast(pairs), list(CLOSE_PARTS), "left_anti"))  # a row a date and type
 
 
 def save_board_archive(day: ArchiveDay, root: str) -> None:

@@ -12,13 +12,15 @@ from tidemark.functions.scalars import clock_text
 
 
 def parse_money_ticks(ticks: DataFrame, include_close: bool = True,
-                      keys: Sequence[str] = ("trade_date", "rank_type", "market", "code")) -> tuple[DataFrame, DataFrame]:
+                      keys: Sequence[str] = ("trade_date", "rank_type", "market", "code"),
+                      requested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Money points of sound curves, and the rejected curves as (keys, reason).
 
     ``ticks`` has the keys (with the wanted trade_date), ``time`` as the number
     yyMMddHHmm, and the three amounts.  A curve is sound when every tick is of
     the wanted date and main = dark + regular on the grid, no point repeats and
-    all 48 (47 without the close) are there.
+    all 48 (47 without the close) are there.  Of ``requested`` keys, those
+    without any tick are rejected as ``no_ticks``.
     """
     keys = list(keys)
     text = F.lpad(F.col("time").cast("string"), 10, "0")
@@ -39,6 +41,9 @@ def parse_money_ticks(ticks: DataFrame, include_close: bool = True,
               .when(F.col("_unbalanced"), "inconsistent_money").when(F.col("_points") != points, "point_count"))
     judged = verdict.select(*keys, reason.alias("reason"))
     rejected = judged.filter(F.col("reason").isNotNull())
+    if requested is not None:
+        silent = requested.select(*keys).distinct().join(verdict.select(*keys), keys, "left_anti")
+        rejected = rejected.unionByName(silent.withColumn("reason", F.lit("no_ticks")))
     sound = timed.filter(wanted).join(judged.filter(F.col("reason").isNull()).select(*keys), keys, "left_semi")
     at = F.concat_ws(" ", F.col("trade_date").cast("string"), clock_text(F.col("_minute"))).cast("timestamp_ntz")
     carried = [c for c in ticks.columns if c not in keys and c != "time"]
