@@ -143,8 +143,8 @@ def only_quoted(spark, sf):
 
 
 def _board_quotes(spark, sf):
-    """Concept quotes per day: none where the close is unquoted, misdated where money flowed out."""
-    rows = st.daily_close(spark, sf).filter(F.col("rank_type") == "concept")
+    """Board quotes per day: none where the close is unquoted, misdated where money flowed out."""
+    rows = st.daily_close(spark, sf).filter(F.col("rank_type") != "stock")
     stamp = F.when(F.col("dark_money") < 0, F.date_sub("trade_date", 1)).otherwise(F.col("trade_date"))
     return rows, rows.filter("quote_available").select(
         "trade_date", "code", F.col("close_price").alias("latest_price"), *en.QUOTE_FIELDS, "change_pct",
@@ -152,7 +152,7 @@ def _board_quotes(spark, sf):
 
 
 @query("enrich_board_quotes", "daily", """
-SELECT CAST(d AS VARCHAR) AS trade_date, code, close_price, strftime(d,'%Y-%m-%d')||' 15:00:00' AS quote_time FROM daily WHERE rank_type='concept' AND quote_available AND dark_money>=0""")
+SELECT CAST(d AS VARCHAR) AS trade_date, code, close_price, strftime(d,'%Y-%m-%d')||' 15:00:00' AS quote_time FROM daily WHERE rank_type<>'stock' AND quote_available AND dark_money>=0""")
 def enrich_board_quotes(spark, sf):
     rows, quotes = _board_quotes(spark, sf)
     good, _ = en.enrich_board_quotes(rows.withColumn("quote_time", F.lit("")), quotes, ["trade_date", "code"])
@@ -160,7 +160,7 @@ def enrich_board_quotes(spark, sf):
 
 
 @query("board_quote_errors", "daily", """
-SELECT code, CASE WHEN NOT quote_available THEN 'missing_quote' ELSE 'wrong_date' END AS reason FROM daily WHERE rank_type='concept' AND (NOT quote_available OR dark_money<0)""")
+SELECT code, CASE WHEN NOT quote_available THEN 'missing_quote' ELSE 'wrong_date' END AS reason FROM daily WHERE rank_type<>'stock' AND (NOT quote_available OR dark_money<0)""")
 def board_quote_errors(spark, sf):
     rows, quotes = _board_quotes(spark, sf)
     _, errors = en.enrich_board_quotes(rows.withColumn("quote_time", F.lit("")), quotes, ["trade_date", "code"])
@@ -168,7 +168,7 @@ def board_quote_errors(spark, sf):
 
 
 @query("misdated_quotes", "daily", """
-SELECT CAST(d AS VARCHAR) AS trade_date, code FROM daily WHERE rank_type='concept' AND quote_available AND dark_money<0""")
+SELECT CAST(d AS VARCHAR) AS trade_date, code FROM daily WHERE rank_type<>'stock' AND quote_available AND dark_money<0""")
 def misdated_quotes(spark, sf):
     _, quotes = _board_quotes(spark, sf)
     return en.misdated_quotes(quotes, F.col("trade_date")).select(text("trade_date"), "code")

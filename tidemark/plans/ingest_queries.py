@@ -91,15 +91,15 @@ def raw_page_table(spark, sf):
 # -- ticks and minute text ---------------------------------------------------
 
 def raw_ticks(spark, sf):
-    """Board points as raw ticks; where an industry lost money main does not add up."""
-    points = st.money_points(spark, sf, boards_only=True)
+    """All points as raw ticks; where an industry lost money main does not add up."""
+    points = st.money_points(spark, sf)
     off = F.when((F.col("rank_type") == "industry") & (F.col("dark_money") < -20000), 1).otherwise(0)
     return points.select("trade_date", "rank_type", "market", "code", "dark_money", "regular_money",
                          (F.col("main_money_inflow") + off).alias("main_money_inflow"),
                          F.date_format("snapshot_at", "yyMMddHHmm").cast("bigint").alias("time"))
 
 
-_TICKS = """bad AS (SELECT d, rank_type, code, CASE WHEN bool_or(rank_type='industry' AND dark_money < -20000) THEN 'inconsistent_money' WHEN count(*)<>48 THEN 'point_count' END AS reason FROM points WHERE rank_type<>'stock' GROUP BY d, rank_type, code)"""
+_TICKS = """bad AS (SELECT d, rank_type, code, CASE WHEN bool_or(rank_type='industry' AND dark_money < -20000) THEN 'inconsistent_money' WHEN count(*)<>48 THEN 'point_count' END AS reason FROM points GROUP BY d, rank_type, code)"""
 
 
 @query("parse_money_ticks", "points", ", " + _TICKS + """

@@ -84,9 +84,9 @@ def scan_rejections(spark, sf):
 @query("rejection_page", "daily scans idx", _SCAN + """
 SELECT kind, code, reason FROM (
 SELECT 'stock' AS kind, code, market, reason FROM stk WHERE reason IS NOT NULL
-UNION ALL SELECT 'concept', code, 0, 'condition_failed' FROM con WHERE failed_date IS NOT NULL) ORDER BY kind, code, market LIMIT 5 OFFSET 5""")
+UNION ALL SELECT 'concept', code, 0, 'condition_failed' FROM con WHERE failed_date IS NOT NULL) ORDER BY kind, code, market LIMIT 2 OFFSET 2""")
 def rejection_page(spark, sf):
-    return sc.rejection_page(_scan(spark, sf).rejections, 2, 5).select("kind", "code", "reason")
+    return sc.rejection_page(_scan(spark, sf).rejections, 2, 2).select("kind", "code", "reason")
 
 
 @query("scan_without_concepts", "daily", ", " + _METRIC + ", " + _DATES + """,
@@ -168,13 +168,13 @@ def present_all_days(spark, sf):
 
 
 @query("consecutive_screen", "daily", """
-SELECT market, code, CAST(min(d) FILTER (NOT ok) AS VARCHAR) AS first_failed, bool_and(ok) AS qualified FROM (
- SELECT *, turnover>300 AND rank>0 AND dark_activity<=0.999 AS ok FROM daily WHERE rank_type='stock') GROUP BY market, code""")
+SELECT rank_type, market, code, CAST(min(d) FILTER (NOT ok) AS VARCHAR) AS first_failed, bool_and(ok) AS qualified FROM (
+ SELECT *, turnover>300 AND rank>0 AND dark_activity<=0.999 AS ok FROM daily) GROUP BY rank_type, market, code""")
 def consecutive_screen(spark, sf):
-    rows = st.daily_close(spark, sf).filter(F.col("rank_type") == "stock")
+    rows = st.daily_close(spark, sf)
     wanted = (sc.Condition("turnover", "gt", 300.0), sc.Condition("dark_activity", "lte", 0.999))
-    return sc.day_runs(rows, ["market", "code"], wanted, "all").select(
-        "market", "code", text("_failed_date", "first_failed"), F.col("_failed_date").isNull().alias("qualified"))
+    return sc.day_runs(rows, ["rank_type", "market", "code"], wanted, "all").select(
+        "rank_type", "market", "code", text("_failed_date", "first_failed"), F.col("_failed_date").isNull().alias("qualified"))
 
 
 @query("stocks_of_concepts", "scans", """
