@@ -65,7 +65,7 @@ class _Remembered(dict):
         super().__init__()
         self.make = make
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: str):
         out = self[piece] = self.make(piece)
         return out
 
@@ -115,6 +115,7 @@ class Bpe:
         self.bytewise = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.unletter = {letter: byte for byte, letter in enumerate(letters)}
         self._words = _Remembered(self.word)
+        self.sizes = _Remembered(lambda piece: 1 if piece in self.special else len(self.word(piece)) // 4)  # tokens of a pre-token
         self._pairs: dict[int, bool] = {}
 
     def normal(self, text: str) -> str:

@@ -81,7 +81,8 @@ class Counted:
     def __init__(self, text: str, bpe: Bpe):
         self.bpe = bpe
         self.encoded = 0  # characters encoded since
-        leaves = self._leaves(text, 0, len(text))
+        pieces = [piece for _, piece in self._split(text, 0)] if bpe.cut and bpe.cut.search(text) else list(self._pieces(text, 0, len(text)))
+        leaves = list(zip(pieces, map(bpe.sizes.__getitem__, pieces)))
         self.chunks = [leaves[i:i + CHUNK] for i in range(0, len(leaves), CHUNK)] or [[]]
         self._plant()
 
@@ -90,11 +91,14 @@ class Counted:
 
     @staticmethod
     def _sum(chunk: list[tuple[str, int]]) -> tuple[int, int]:
-        return sum(len(piece) for piece, _ in chunk), sum(n for _, n in chunk)
+        if not chunk:
+            return 0, 0
+        pieces, counts = zip(*chunk)
+        return sum(map(len, pieces)), sum(counts)
 
     def _tokens(self, piece: str) -> int:
         self.encoded += len(piece)
-        return 1 if piece in self.bpe.special else len(self.bpe._words[piece]) // 4
+        return self.bpe.sizes[piece]
 
     def _split(self, text: str, start: int) -> Iterator[tuple[int, str]]:
         """(end, pre-token) of ``text`` from ``start``, a border, on."""
@@ -115,10 +119,7 @@ class Counted:
     def _pieces(self, text: str, start: int, end: int) -> Iterator[str]:
         """Pre-tokens, which together are the text: byte-level vocabularies change and drop nothing."""
         part = text[start:end]
-        return iter(self.bpe.split(part)) if self.bpe.unsettled(part) else (m[0] for m in self.bpe.pieces.finditer(part))
-
-    def _leaves(self, text: str, start: int, end: int) -> list[tuple[str, int]]:
-        return [(piece, self._tokens(piece)) for stop, piece in self._split(text, start) if stop <= end]
+        return iter(self.bpe.split(part) if self.bpe.unsettled(part) else self.bpe.pieces.findall(part))
 
     @property
     def tokens(self) -> int:
@@ -245,8 +246,8 @@ def counter(spark: SparkSession, path: str | None = None, name: str = BYTE_FILE)
                     if change is not None:
                         counted.edit(int(change["start"] or 0), int(change["length"] or 0), change["replacement"] or "")
                 out.append((before, counted.tokens, counted.characters, counted.encoded))
-                if len(bpe._words) > 400_000:
-                    bpe._words.clear()
+                if len(bpe.sizes) > 600_000:
+                    bpe.sizes.clear()
             yield pd.DataFrame(out, columns=["n_before", "n_after", "n_chars_after", "n_encoded"])
 
     return run
