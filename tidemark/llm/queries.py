@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import ann, bpe, decontam, html_extract, langid, lm_score, minhash, suffix_dedup, token_counts, toxicity
 from tidemark.llm.common import tables
+from tidemark.llm.oracles import ORACLES
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,4 +26,5 @@ QUERIES = {
     "op9_cross_entropy": lm_score.query,
     "op10_html": html_extract.query,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
