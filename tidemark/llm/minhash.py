@@ -241,7 +241,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows:
     kind = _far_links(similar, _floor(similar, bands * rows), bands)
     found = stored(rest.groupBy("key", "i", "j").applyInPandas(kind, "a long, b long"))
     if not found.isEmpty():
-        labels = components(links.union(found))
+        labels = components(found, labels)
     named = groups.select("content", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
         "content", F.coalesce("label", "rep").alias("class_id"))
     return signed.join(named, "content", "left").select(
