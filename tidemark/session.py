@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,8 +41,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     target = spark.conf.get("spark.checkpoint.dir", None)
+    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
     if not target:
-        if not context.master.startswith("local"):
+        if not local:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         target = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     context.setCheckpointDir(target)
@@ -59,3 +62,19 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def held(*frames: DataFrame) -> Iterator[None]:
+    """Keep frames that several steps of a writer use, so that each is computed once.
+
+    Lost parts are computed again from their inputs; nothing outlives the block.
+    """
+    own = [frame for frame in frames if not frame.is_cached]
+    for frame in own:
+        frame.persist()
+    try:
+        yield
+    finally:
+        for frame in own:
+            frame.unpersist()
