@@ -16,7 +16,7 @@ from tidemark.session import build_session  # noqa: E402
 HEADLINE = ["daily_features", "future_labels", "scan_qualified", "cross_section_percentile", "price_percentile_by_flag",
             "self_percentile", "inflow_streak", "curve_shape", "members_by_date", "supplier_of_part_changes",
             "parse_board_constituents", "parse_rank_pages", "bars_5m", "merge_money_and_bars", "rank_orders_by_priority",
-            "archive_manifest", "coverage", "lineitem_set_digest", "stitch_cumulative", "roll_up_runs", "close_page"]
+            "archive_manifest", "coverage", "lineitem_set_digest", "stitch_cumulative", "roll_up_runs", "close_page", "export_files", "save_daily_close"]
 
 
 def main() -> None:

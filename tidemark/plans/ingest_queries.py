@@ -116,6 +116,15 @@ def rejected_curves(spark, sf):
     return rejected.select(text("trade_date"), "rank_type", "code", "reason")
 
 
+@query("silent_curves", "points", """
+SELECT DISTINCT CAST(d AS VARCHAR) AS trade_date, rank_type, code, 'no_ticks' AS reason FROM points WHERE right(code,1)='5'""")
+def silent_curves(spark, sf):
+    """Curves that were asked for and sent no tick."""
+    ticks = raw_ticks(spark, sf)
+    _, rejected = tk.parse_money_ticks(ticks.filter(F.right("code", F.lit(1)) != "5"), requested=ticks)
+    return rejected.filter("reason = 'no_ticks'").select(text("trade_date"), "rank_type", "code", "reason")
+
+
 @query("parse_minute_bars", "", """
 SELECT l_orderkey, l_linenumber, strftime(l_shipdate,'%Y-%m-%d') AS trade_date, 9*60+30+l_linenumber AS minute, l_extendedprice AS open_price, l_discount AS close_price, CAST(trunc(l_quantity) AS BIGINT) AS cumulative_volume, l_partkey AS cumulative_turnover FROM lineitem""")
 def parse_minute_bars(spark, sf):
@@ -221,6 +230,18 @@ def parse_board_constituents(spark, sf):
     return good.select("board_code", "stock_code", "stock_name", "source_order")
 
 
+@query("unknown_boards", "", """
+SELECT 'BK'||l_suppkey AS board_code, 'unknown_board' AS reason, count(DISTINCT l_partkey) AS found FROM lineitem JOIN supplier ON s_suppkey=l_suppkey WHERE s_acctbal<5000 GROUP BY l_suppkey""")
+def unknown_boards(spark, sf):
+    """Listings of suppliers with a low balance, which the catalog leaves out."""
+    boards = st.table(spark, sf, "supplier").filter("s_acctbal >= 5000").select(
+        F.concat(F.lit("BK"), F.col("s_suppkey").cast("string")).alias("board_code"), F.col("s_name").alias("board_name"),
+        F.lit("concept").alias("board_type"), F.col("s_suppkey").alias("source_rank"))
+    _, errors = qt.parse_board_constituents(_constituent_pages(spark, sf), boards, "feed", "list",
+                                            F.lit("2024-01-17 16:00:00").cast("timestamp_ntz"))
+    return errors.filter("reason = 'unknown_board'").select("board_code", "reason", "found")
+
+
 @query("listing_errors", "", """
 SELECT 'BK'||l_suppkey AS board_code, 'duplicate_code' AS reason, count(*) AS expected, count(*) AS found FROM lineitem GROUP BY l_suppkey HAVING count(*)>count(DISTINCT l_partkey)""")
 def listing_errors(spark, sf):
