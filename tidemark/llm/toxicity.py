@@ -9,9 +9,9 @@ the size of the lexicon.  A beginning matches whatever follows it.
 
 Matches (term, with or without an edit) are weighed by two rates: how many a
 toxic document has, and how many come about by chance per word of clean ones.
-With n matches of a kind among N words, the evidence is that of a Poisson count
-with the chance rate times N, against the same plus the toxic documents' own
-matches.  The context window moves each match: a word or quotation mark within
+Among N words, a match of a kind weighs by the odds of the own rate against the
+chance rate times N; how many matches a toxic document has varies geometrically
+around their mean, so one clear match can do and its lack tells little.  The context window moves each match: a word or quotation mark within
 ``REACH`` tokens adds its log odds between matches in toxic and in clean
 documents, so quotation and abuse part as far as the labels show it.  The score
 is the probability that results from the share of toxic documents and all evidence.
@@ -45,10 +45,12 @@ TRAIN_ROWS = 10_000
 MOST_CANDIDATES, MOST_TERMS, MOST_CONTEXT = 20_000, 2_000, 5_000
 LEAST_DOCS, LEAST_SHARE = 3, 0.02  # toxic documents that a term has to add, at least this many and this share
 LEAST_ODDS = math.log(3)
+CLEAN_COST = 0.5  # toxic documents that a clean one weighs up when terms are chosen
 DEPTH = 4  # terms that a toxic document may bring in
 SHORTEST = 4  # letters of a term
 FUZZY_WORD, FUZZY_STEM = 5, 8  # letters from which one edit is allowed
 REACH = 6
+MISSPELT = 0.05  # misspelled matches to a right one, at least
 PREDICT = 0.7
 CONTEXT_MOST, CONTEXT_SEEN = 3.0, 5  # most that a window moves a match; matches a context entry must be seen at
 _REMEMBERED = 400_000
@@ -248,7 +250,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     postings: dict[str, set[int]] = {}
     for doc, entry in rows.filter("toxic").select("doc_id", "text").mapInPandas(posted, "doc_id long, entry string").toPandas().itertuples(index=False):
         postings.setdefault(entry, set()).add(doc)
-    model["terms"] = choose(postings, dict(zip(candidates["entry"], candidates["c"])), toxic / max(1, clean),
+    model["terms"] = choose(postings, dict(zip(candidates["entry"], candidates["c"])), max(CLEAN_COST, toxic / max(1, clean)),
                             max(LEAST_DOCS, LEAST_SHARE * toxic))
     sent = spark.sparkContext.broadcast(pickle.dumps(model["terms"]))
 
@@ -274,6 +276,10 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
         if kind != "words":
             chance = (c + 0.5) / (words_c + 1)
             model["rates"][kind, key] = (max(0.0, t - chance * words_t) / toxic, chance)
+    for (kind, key), (own, _) in list(model["rates"].items()):  # a misspelling that was never seen is still one
+        if kind == "exact":
+            seen_own, chance = model["rates"].get(("fuzzy", key), (0.0, 0.5 / (words_c + 1)))
+            model["rates"]["fuzzy", key] = (max(seen_own, MISSPELT * own), chance)
     # What a token tells beyond the term it stands by: its toxic matches against those its terms lead to expect.
     shares = [(f"context {kind} {key}", t / (t + c)) for (kind, key), (t, c) in seen.items() if kind != "words"]
     if shares:
@@ -292,11 +298,14 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
 
 def probability(model: dict, words: int, hits: list[tuple[str, int, set[str]]]) -> float:
     """Score of a text of ``words`` words with these matches."""
-    odds = model["prior"] - model["own"]
+    odds, meant = model["prior"], 0
     for term, edits, around in hits:
         own, chance = model["rates"].get(("fuzzy" if edits else "exact", term), (0.0, 1.0))
         moved = sum(model["context"].get(token, 0.0) for token in around)
-        odds += math.log1p(own / (chance * max(1, words))) + max(-CONTEXT_MOST, min(CONTEXT_MOST, moved))
+        ratio = own / (chance * max(1, words))
+        meant += ratio > 1
+        odds += math.log1p(ratio) + max(-CONTEXT_MOST, min(CONTEXT_MOST, moved))
+    odds += math.lgamma(meant + 1) - (meant + 1) * math.log1p(model["own"])
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))) if odds > -math.inf else 0.0
 
 
