@@ -19,7 +19,9 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     if name in ORACLES:
-        assert compare(spark, con, QUERIES[name], ORACLES[name], SF) is None
+        found = compare(spark, con, QUERIES[name], ORACLES[name], SF)
+        # The smallest tables leave some results empty; larger ones must not.
+        assert found is None or (found == "both empty" and SF.endswith("sf0.001"))
     else:
         assert QUERIES[name](spark, SF).count() > 0
 
