@@ -149,6 +149,25 @@ def test_neighbour_recall(spark):
     assert found["query_id"].nunique() == (ids % 20 == 0).sum() and hits / len(found) >= 0.9
 
 
+LENGTHS = {"outlier": lambda rng, n: np.where(np.arange(n) == 3, 100.0, 1.0), "uniform": lambda rng, n: rng.uniform(0.5, 1.5, n),
+           "log-normal": lambda rng, n: rng.lognormal(size=n)}
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("lengths", sorted(LENGTHS))
+@pytest.mark.parametrize("sizes", [{}, {"scanned": 40}])
+def test_neighbour_recall_with_unequal_lengths(spark, lengths, sizes):
+    v = np.stack(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pandas()["embedding"]).astype(float)
+    v *= LENGTHS[lengths](np.random.default_rng(4), len(v))[:, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    found, hits = ann.search(df, df.filter("vec_id % 20 = 0"), **sizes).toPandas(), 0
+    for q in range(0, len(v), 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(found["vec_id"][found["query_id"] == q]))
+    assert len(found) == len(v) and hits / len(found) >= (0.9 if sizes else 1)
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))

@@ -6,15 +6,19 @@ Hadamard transform, and assigns a unit vector to its nearest signed axis;
 nearest (``PROBES`` per function), and all vectors found there are ranked by
 their exact inner product in double precision.
 
-For the largest inner product among vectors of different lengths, a further
-coordinate brings every vector to the greatest length, which leaves inner
-products with queries as they are.
+The largest inner products are wanted among vectors of different lengths.
+Vectors are therefore split into bands of similar length (powers of ``BAND``);
+every band has buckets of its own on the unit sphere, and every query probes all bands,
+so the order within a band is that of the angles but for a factor of ``BAND``.
+
+Bands of at most ``SCANNED`` vectors are not hashed: every query is ranked against
+all of them, in parts of vectors and blocks of queries.
 
 Equal vectors are made one first (a vector answers with its smallest ids, more
 than a result can hold are never needed), so copies cost nothing.  Buckets are
 dealt in parts of about ``PART`` vectors by a hash; queries visit every part, so no
-bucket is capped and none is a single task.  The number of functions follows
-the number of vectors (``per_bucket`` of them in a bucket), and the number of
+bucket is capped and none is a single task.  The number of functions of a band follows
+its number of vectors (``per_bucket`` of them in a bucket), and the number of
 tables follows the functions.
 
 Cases: vectors that are NULL, empty, zero or hold NULL or non-finite numbers,
@@ -40,7 +44,9 @@ from tidemark.session import stored
 
 NEAREST = 20
 TABLES, PROBES, PER_BUCKET = 6, 24, 400
-PART = 4_000
+PART, SCANNED = 4_000, 4_000
+BLOCK = 2_000  # queries ranked against a part at once
+BAND = 1.2
 ROUNDS, SEED = 3, 20_11
 _SPARE = 4  # vectors ranked beyond those asked for before the exact scores are taken
 
@@ -67,16 +73,13 @@ def rotated(x: np.ndarray, turns: np.ndarray) -> np.ndarray:
     return x
 
 
-def padded(vectors: pd.Series, width: int, longest: float | None) -> np.ndarray:
-    """Rows of the unit sphere: vectors padded with zeros, the last place filled up to the greatest length if asked."""
+def padded(vectors: pd.Series, width: int) -> np.ndarray:
+    """Rows of the unit sphere: vectors padded with zeros and brought to length 1."""
     out = np.zeros((len(vectors), width))
     for i, vector in enumerate(vectors):
         out[i, : len(vector)] = vector
-    norms = np.linalg.norm(out, axis=1)
-    if longest is not None:
-        out[:, -1] = np.sqrt(np.maximum(longest**2 - norms**2, 0.0))
-        norms = np.maximum(np.linalg.norm(out, axis=1), 1e-300)
-    return out / norms[:, None]
+    out /= np.abs(out).max(axis=1)[:, None]  # squares of very large or small numbers stay finite
+    return out / np.linalg.norm(out, axis=1)[:, None]
 
 
 def probes_of(y: list[np.ndarray], probes: int) -> np.ndarray:
@@ -91,20 +94,25 @@ def probes_of(y: list[np.ndarray], probes: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _hashed(count: int, functions: int, width: int, longest: float | None, probes: int | None):
-    """Rows (t, bucket, id, vector): each vector in its bucket, or each query in those it probes."""
-    turns = [[signs(t, f, width) for f in range(functions)] for t in range(count)]
+def _hashed(counts: dict[int, int], width: int, probes: int | None):
+    """Rows (functions, band, t, bucket, id, vector): each vector in its bucket, or each query in those it probes.
+
+    ``counts`` has the number of tables by number of functions.  A vector has the
+    functions of its band; a query is hashed once for each number of them.
+    """
+    turns = {functions: [[signs(t, f, width) for f in range(functions)] for t in range(count)] for functions, count in counts.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 2_000):
-                rows = batch.iloc[at:at + 2_000]
-                unit = padded(rows["vector"], width, longest if probes is None else None)
-                for t in range(count):
-                    y = [rotated(unit, turn) for turn in turns[t]]
-                    buckets = probes_of(y, probes or 1)
+            parts = [(f, batch if probes else batch[batch["functions"] == f]) for f in counts]
+            for functions, rows in ((f, mine.iloc[at:at + 2_000]) for f, mine in parts for at in range(0, len(mine), 2_000)):
+                unit = padded(rows["vector"], width)
+                for t, table in enumerate(turns[functions]):
+                    buckets = probes_of([rotated(unit, turn) for turn in table], probes or 1)
                     visits = buckets.shape[1]
                     yield pd.DataFrame({
+                        "functions": np.full(len(rows) * visits, functions, dtype=np.int32),
+                        "band": np.repeat(rows["band"].to_numpy(dtype=np.int32), visits),
                         "t": np.full(len(rows) * visits, t, dtype=np.int32), "bucket": buckets.ravel().astype(np.int64),
                         "id": np.repeat(rows["id"].to_numpy(), visits),
                         "vector": [x for x in rows["vector"] for _ in range(visits)]})
@@ -155,12 +163,44 @@ def _merged(most: int):
     return run
 
 
+_LISTS = "query long, ids array<long>, scores array<double>"
+
+
+def _scanned(vectors: DataFrame, n: int, wanted: DataFrame, asked: int, most: int) -> DataFrame:
+    """The best of all ``vectors`` (id, vector; ``n`` of them) for each of the ``asked`` queries, a list for each part."""
+    parts, blocks = max(1, -(-n // PART)), max(1, -(-asked // BLOCK))
+
+    def dealt(column: str, count: int):
+        return F.pmod(F.xxhash64(column, F.lit(7)), F.lit(count)).cast("int")
+
+    def each(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    left = wanted.select(each(parts).alias("part"), dealt("query", blocks).alias("block"), F.col("query").alias("id"), "vector")
+    right = vectors.select(dealt("id", parts).alias("part"), each(blocks).alias("block"), "id", "vector")
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(_ranked(most), _LISTS)
+
+
+def _probed(vectors: DataFrame, counts: dict[int, int], width: int, wanted: DataFrame, probes: int, most: int) -> DataFrame:
+    """The best of the ``vectors`` (id, vector, band, functions) in the buckets each query probes, a list for each part of a bucket."""
+    kind = f"functions int, band int, t int, bucket long, id long, vector {vectors.schema['vector'].dataType.simpleString()}"
+    index = stored(vectors.mapInPandas(_hashed(counts, width, None), kind))
+    place = ["functions", "t", "bucket"]
+    parts = index.groupBy("band", *place).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    index = index.join(parts, ["band", *place]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    visits = (wanted.select(F.col("query").alias("id"), "vector", F.lit(0).alias("band")).mapInPandas(_hashed(counts, width, probes), kind).drop("band")
+              .join(parts.withColumnRenamed("band", "found"), place).withColumn("band", F.col("found")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    key = ["band", "functions", "t", "bucket", "part"]
+    return visits.select(*key, "id", "vector").groupBy(*key).cogroup(index.select(*key, "id", "vector").groupBy(*key)).applyInPandas(
+        _ranked(most), _LISTS)
+
+
 def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, tables_: int = TABLES, probes: int = PROBES,
-           per_bucket: int = PER_BUCKET) -> DataFrame:
+           per_bucket: int = PER_BUCKET, scanned: int = SCANNED) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the nearest vectors other than its own id.
 
-    Both frames have vec_id and embedding.  Eager: two small aggregates, and
-    the hashed vectors are written to the shared folder.
+    Both frames have vec_id and embedding.  Eager: small aggregates (one row a
+    band), and the hashed vectors and what was found are written to the shared folder.
     """
     ship(vectors.sparkSession)
 
@@ -172,31 +212,34 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, table
     rows, asked = usable(vectors), usable(queries)
     # The smallest ids of each distinct vector; Spark applies the rank limit before it shuffles, too.
     ranked = rows.selectExpr("id", "vector", "row_number() OVER (PARTITION BY vector ORDER BY id) AS place").filter(f"place <= {most}")
-    distinct = stored(ranked.groupBy("vector").agg(F.min("id").alias("rep"), F.array_sort(F.collect_set("id")).alias("ids")))
+    widest = F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double"))))
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / F.col("widest")) * (x / F.col("widest")))
+    distinct = stored(ranked.groupBy("vector").agg(F.min("id").alias("rep"), F.array_sort(F.collect_set("id")).alias("ids")).withColumn("widest", widest)
+                      .withColumn("band", F.round((F.log("widest") + F.log(squares) / 2) / math.log(BAND)).cast("int")).drop("widest"))
     wanted = asked.groupBy("vector").agg(F.min("id").alias("query"))
-    shape = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("size"), *[
-        f(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))).alias(name) for f, name in ((F.max, "most"), (F.min, "least"))]).first()
-    size = max(shape["size"] or 1, wanted.agg(F.max(F.size("vector")).alias("size")).first()["size"] or 1)
-    alike = (shape["most"] or 0.0) - (shape["least"] or 0.0) <= 1e-6 * (shape["most"] or 1.0)
-    width = 1 << max(1, (size + (not alike) - 1).bit_length())
-    functions = max(1, round(math.log(max(1, shape["n"] / per_bucket), 2 * width)))
-    count = tables_ * 3 ** (functions - 1)
-    kind = f"t int, bucket long, id long, vector {distinct.schema['vector'].dataType.simpleString()}"
-    index = stored(distinct.select(F.col("rep").alias("id"), "vector").mapInPandas(
-        _hashed(count, functions, width, None if alike else shape["most"], None), kind))
-    parts = index.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    index = index.join(parts, ["t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    visits = (wanted.select(F.col("query").alias("id"), "vector").mapInPandas(_hashed(count, functions, width, None, probes), kind)
-              .join(parts, ["t", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
-    key = ["t", "bucket", "part"]
-    lists = visits.select(*key, "id", "vector").groupBy(*key).cogroup(index.select(*key, "id", "vector").groupBy(*key)).applyInPandas(
-        _ranked(most), "query long, ids array<long>, scores array<double>")
-    best = lists.groupBy("query").applyInPandas(_merged(most), "query long, id long, score double")
-    # Distinct vectors become ids again; at most ``most`` times ``most`` of them stand by a query.
-    named = (best.join(distinct.select(F.col("rep").alias("id"), "ids"), "id").select("query", "score", F.explode("ids").alias("vec_id"))
-             .groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near")))
+    bands = distinct.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("size")).collect()
+    shape = wanted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("size")).first()
+    width = 1 << max(1, (max([shape["size"] or 1, *(b["size"] for b in bands)]) - 1).bit_length())
+    hashed = {b["band"]: max(1, round(math.log(b["n"] / per_bucket, 2 * width))) for b in bands if b["n"] > scanned}
+    few = sum(b["n"] for b in bands if b["band"] not in hashed)
+    points = distinct.select(F.col("rep").alias("id"), "vector", "band")
+    lists = []
+    if few or not bands:
+        lists.append(_scanned(points.filter(~F.col("band").isin(list(hashed))), few, wanted, shape["n"], most))
+    if hashed:
+        functions = F.element_at(F.create_map(*[F.lit(x) for pair in hashed.items() for x in pair]), F.col("band"))
+        counts = {f: tables_ * 3 ** (f - 1) for f in sorted(set(hashed.values()))}
+        lists.append(_probed(points.filter(F.col("band").isin(list(hashed))).withColumn("functions", functions), counts, width, wanted, probes, most))
+
+    def named(lists: DataFrame) -> DataFrame:
+        """Distinct vectors become ids again; at most ``most`` times ``most`` of them stand by a query."""
+        best = lists.groupBy("query").applyInPandas(_merged(most), "query long, id long, score double")
+        return (best.join(distinct.select(F.col("rep").alias("id"), "ids"), "id").select("query", "score", F.explode("ids").alias("vec_id"))
+                .groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near")))
+
+    near = named(lists[0] if len(lists) == 1 else lists[0].union(lists[1]))
     own = asked.join(wanted, "vector").select(F.col("id").alias("query_id"), "query").distinct()
-    found = own.join(named, "query").select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, nearest).alias("near"))
+    found = own.join(near, "query").select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, nearest).alias("near"))
     return found.select("query_id", F.posexplode("near").alias("rank", "x")).select(
         "query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
