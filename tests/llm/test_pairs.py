@@ -168,6 +168,14 @@ def test_neighbour_recall_with_unequal_lengths(spark, lengths, sizes):
     assert len(found) == len(v) and hits / len(found) >= (0.9 if sizes else 1)
 
 
+@pytest.mark.parametrize("n, sizes", [(12, {}), (25, {}), (25, {"scanned": 0})])
+def test_neighbours_are_never_too_few(spark, n, sizes):
+    v = np.random.default_rng(8).normal(size=(n, 64))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    found = ann.search(df, df, **sizes).toPandas()
+    assert (found.groupby("query_id").size() == min(20, n - 1)).all() and found["query_id"].nunique() == n
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))

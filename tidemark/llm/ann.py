@@ -12,7 +12,8 @@ every band has buckets of its own on the unit sphere, and every query probes all
 so the order within a band is that of the angles but for a factor of ``BAND``.
 
 Bands of at most ``SCANNED`` vectors are not hashed: every query is ranked against
-all of them, in parts of vectors and blocks of queries.
+all of them, in parts of vectors and blocks of queries.  So is every query for which
+the buckets gave fewer vectors than asked for, against the whole table.
 
 Equal vectors are made one first (a vector answers with its smallest ids, more
 than a result can hold are never needed), so copies cost nothing.  Buckets are
@@ -238,6 +239,14 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, table
                 .groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near")))
 
     near = named(lists[0] if len(lists) == 1 else lists[0].union(lists[1]))
+    if hashed:
+        near = stored(near)
+        enough = rows.select("id").distinct().limit(most).count()
+        full = near.filter(F.size(F.array_distinct("near.vec_id")) >= enough)
+        short = stored(wanted.join(full.select("query"), "query", "left_anti").select("query", "vector"))
+        left = short.count()
+        if left:
+            near = full.union(named(_scanned(points, sum(b["n"] for b in bands), short, left, most)))
     own = asked.join(wanted, "vector").select(F.col("id").alias("query_id"), "query").distinct()
     found = own.join(near, "query").select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, nearest).alias("near"))
     return found.select("query_id", F.posexplode("near").alias("rank", "x")).select(
