@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -94,6 +95,38 @@ def test_near_duplicates_odd_tables(spark, docs_of):
     assert rows_of(minhash.classes(docs_of([(5, text), (5, text), (6, text)])), "doc_id", "class_id") == [(5, 5), (5, 5), (6, 5)]
 
 
+def signed(text):
+    """Band keys and bytes of a text, as the signer makes them."""
+    values = minhash.dart_signature(*minhash.shingles(minhash.word_hashes(text, minhash._Hashes()))).reshape(minhash.BANDS, minhash.ROWS)
+    keys = np.arange(1, minhash.BANDS + 1, dtype=np.uint64) * minhash._MULT
+    for i in range(minhash.ROWS):
+        keys = minhash.mixed(keys * minhash._MIX2 + values[:, i])
+    return keys.view(np.int64), (minhash.mixed(values) & np.uint64(255)).astype(np.uint8)
+
+
+def test_far_links_where_only_the_bytes_of_an_earlier_band_agree(spark, docs_of):
+    rng, number, met = random.Random(17), 0, 0
+    while met < 2:  # about 6 of 1,000 such pairs
+        number += 1
+        assert number < 5_000
+        x = prose(rng, 60)
+        y = changed(rng, x, 1)
+        (keys_x, code_x), (keys_y, code_y) = signed(x), signed(y)
+        shared = np.flatnonzero(keys_x == keys_y)
+        if not len(shared) or (code_x == code_y).all(axis=1).argmax() == shared[0]:
+            continue
+        met += 1
+        if met == 1:
+            r = docs_of([(1, x)]).select(minhash.signer(spark)("text").alias("s")).first()["s"]
+            assert r["keys"] == keys_x.tolist() and bytes(r["code"]) == code_x.tobytes()
+        found = []
+        for band in shared:
+            group = pd.DataFrame({"key": keys_x[band], "band": band, "i": 0, "j": 0, "part": 0, "rep": [1, 2], "label": [1, 2], "keys": [keys_x, keys_y],
+                                  "code": [code_x.tobytes(), code_y.tobytes()], "text": [x, y]})
+            found += minhash._far_links(0.8, minhash._floor(0.8, minhash.COORDINATES))(group).to_numpy().tolist()
+        assert found == [[2, 1]]  # once, however many buckets it shares
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 501), (501, 501)], "a long, b long")
     labels = {r["node"]: r["label"] for r in components(edges).collect()}

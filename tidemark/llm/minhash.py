@@ -18,7 +18,7 @@ buckets of the same documents mostly have the same pivots.  Every comparison is
 links found are numbered.  Of buckets that then still hold several components,
 members of different components are compared, part by part of the bucket, where
 their signatures agree in enough coordinates (all but 3 of 100,000 linked pairs
-do).  No candidate of the bands is dropped otherwise; a linked pair of similarity 0.8 shares no band in about
+do), in the first bucket they share.  No candidate of the bands is dropped otherwise; a linked pair of similarity 0.8 shares no band in about
 5 of a million cases.
 
 Cases: texts of fewer than five words are one shingle; NULL texts and texts
@@ -237,8 +237,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows:
     links = stored(compared(pairs, needed, similar))
     labels = components(links)
     # What is left: members of one bucket in different components that the signatures do not tell apart.
-    rest = _undecided(members, labels, groups.select("rep", "code"), needed)
-    kind = _far_links(similar, _floor(similar, bands * rows), bands)
+    rest = _undecided(members, labels, groups.select("rep", "keys", "code"), needed)
+    kind = _far_links(similar, _floor(similar, bands * rows))
     found = stored(rest.groupBy("key", "i", "j").applyInPandas(kind, "a long, b long"))
     if not found.isEmpty():
         labels = components(found, labels)
@@ -254,7 +254,7 @@ def _floor(similar: float, coordinates: int) -> float:
 
 
 def _undecided(members: DataFrame, labels: DataFrame, codes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, band, i, j, part, rep, label, code, text) of members, other than pivots, of buckets that hold several components.
+    """(key, band, i, j, part, rep, label, keys, code, text) of members, other than pivots, of buckets that hold several components.
 
     A bucket is cut into parts of about ``PART`` members, and each pair of parts
     is a group of its own.  Pivots have been compared with all of their bucket.
@@ -265,17 +265,19 @@ def _undecided(members: DataFrame, labels: DataFrame, codes: DataFrame, texts: D
                .filter("low <> high").select("key", "parts"))
     left = inner.select("key", "band", "rep", "label").join(several, "key").join(codes, "rep").join(texts.select(F.col("id").alias("rep"), "text"), "rep")
     part, other = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    return left.select("key", "band", "rep", "label", "code", "text", part.alias("part"), other.alias("other")).select(
-        "key", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "label", "code", "text")
+    return left.select("key", "band", "rep", "label", "keys", "code", "text", part.alias("part"), other.alias("other")).select(
+        "key", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "label", "keys", "code", "text")
 
 
-def _far_links(similar: float, floor: float, bands: int):
+def _far_links(similar: float, floor: float):
     """Links between members of different components, among pairs with at least the share ``floor`` of equal coordinates.
 
-    A pair that shares several buckets is compared in the first one only.
+    A pair that shares several buckets is compared in the first one only.  The band keys tell which that is:
+    the bytes of a whole band can agree where its values, and so its buckets, differ.
     """
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        codes = np.stack([np.frombuffer(x, dtype=np.uint8) for x in group["code"]]).reshape(len(group), bands, -1)
+        codes = np.stack([np.frombuffer(x, dtype=np.uint8) for x in group["code"]])
+        keys = np.stack(list(group["keys"]))
         label, rep, text, band = group["label"].to_numpy(), group["rep"].to_numpy(), group["text"].to_numpy(), group["band"].iloc[0]
         first, second = (np.flatnonzero((group["part"] == group[side]).to_numpy()) for side in ("i", "j"))
         known = _Hashes()
@@ -285,8 +287,8 @@ def _far_links(similar: float, floor: float, bands: int):
             apart = second[(label[second] != label[x]) & ((rep[second] > rep[x]) | (group["i"].iloc[0] != group["j"].iloc[0]))]
             if not len(apart):
                 continue
-            equal = codes[apart] == codes[x]
-            near = apart[(equal.mean(axis=(1, 2)) >= floor) & (equal.all(axis=2).argmax(axis=1) == band)]
+            apart = apart[(codes[apart] == codes[x]).mean(axis=1) >= floor]
+            near = apart[(keys[apart] == keys[x]).argmax(axis=1) == band]
             for y in near:
                 for z in (x, y):
                     if z not in sets:
