@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
@@ -12,9 +13,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
+from compare import compare
 from conftest import rows_of
 from tidemark.llm import ann, decontam, minhash, suffix_dedup
 from tidemark.llm.components import components
+from tidemark.llm.oracles import CONTAMINATION
 
 SF = "/root/testdata/sf0.001"
 
@@ -333,6 +336,24 @@ def test_contamination_brute_force(spark, docs_of, sizes):
     assert {r["n_hit"] for r in decontam.contamination(docs_of(docs), bench.limit(0)).collect()} == {0}
 
 
+def test_benchmark_items_without_an_id_are_searched(spark, docs_of, root):
+    rng = random.Random(5)
+    nameless, named = prose(rng, 14), prose(rng, 12)
+    bench = spark.createDataFrame([(None, nameless), (3, named)], "item_id long, text string")
+    docs = docs_of([(1, "so " + nameless + " on"), (2, nameless + " " + named), (3, prose(rng, 20))])
+    got = {r["doc_id"]: r for r in decontam.contamination(docs, bench).collect()}
+    assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [(14, 1, True), (26, 2, True), (0, 0, False)]
+    assert got[1]["items_sha256"] == hashlib.sha256(b"").hexdigest() and got[2]["items_sha256"] == hashlib.sha256(b"3").hexdigest()
+    bench.coalesce(1).write.parquet(f"{root}/benchmark.parquet")
+    docs.coalesce(1).write.parquet(f"{root}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{root}/{name}.parquet/*.parquet'")
+    assert compare(spark, con, decontam.query, CONTAMINATION, root) is None
+    assert [tuple(m) for m in got[2]["matches"]] == [(None, 0, 14), (3, 14, 12)]
+    assert [r["doc_id"] for r in decontam.clean_documents(docs, bench).collect()] == [3]
+
+
 def test_longest_matches_join():
     assert decontam.longest([(1, 5, 10), (1, 6, 10), (1, 7, 10), (1, 30, 10), (2, 6, 10)]) == [(1, 5, 12), (1, 30, 10), (2, 6, 10)]
 

@@ -16,7 +16,7 @@ A match is a run of ``window`` words of an item found in a document, or a
 whole item that is shorter than that.
 
 Cases: a NULL or word-less document has no words and no hits; an item without
-words is skipped, one with a NULL id takes no part; equal items are reported each under its own id;
+words is skipped, one with a NULL id counts like others but has no name; equal items are reported each under its own id;
 repeated rows give equal rows; empty tables give empty or hit-free results.
 """
 
@@ -156,16 +156,16 @@ def longest(found: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list:
     """Broadcasts of the benchmark in blocks of about ``block_words`` words (eager: one count, one read a block).
 
-    The items are dealt to blocks by a hash of their id; a block is the
+    The items are dealt to blocks by a hash of their id and text; a block is the
     largest thing the driver holds.
     """
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")).filter("item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     count = max(1, -(-size // (block_words * 6)))
     blocks = []
     for k in range(count):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", F.lit(31)), F.lit(count)) == k) if count > 1 else items
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text", F.lit(31)), F.lit(count)) == k) if count > 1 else items
         block = Block([(item, words_of(text)) for item, text in mine.distinct().collect()], window)
         blocks.append(spark.sparkContext.broadcast(pickle.dumps(block)))
     return blocks
@@ -186,9 +186,11 @@ def finder(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, bloc
                 found[document].setdefault(block.ids[owner], []).append((start, length))
         out = []
         for words, hit, matched in zip(shard, hits, found):
-            runs = longest([(item, start, length) for item, places in matched.items() for start, length in places])
+            n_items = len(matched)
+            nameless = [(None, start, length) for _, start, length in longest([(0, *place) for place in matched.pop(None, [])])]
+            runs = nameless + longest([(item, start, length) for item, places in matched.items() for start, length in places])
             names = sorted(str(item) for item in matched)
-            out.append({"n_words": len(words), "n_hit": int(hit.sum()), "n_items": len(names),
+            out.append({"n_words": len(words), "n_hit": int(hit.sum()), "n_items": n_items,
                         "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(),
                         "matches": [{"item_id": i, "start": s, "length": n} for i, s, n in runs]})
         return out
