@@ -20,5 +20,5 @@ def test_query_equals_sql(spark, name):
 def test_every_operator_and_the_pipeline_are_registered():
     names = set(__spark_entry__.queries())
     assert {*QUERIES, "pipeline"} <= names
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+from tidemark.llm import sharding
 from tidemark.llm.lm_score import WORDS
 
 _LOWERED = f"translate(coalesce(text,''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -32,6 +33,35 @@ SELECT d.doc_id, d.n AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(k.n_ite
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named k USING (doc_id)"""
 
 
+def _mixed(x: str) -> str:
+    """The 32-bit finalizer of an unsigned expression."""
+    for shift, factor in ((16, sharding.FIRST), (13, sharding.SECOND)):
+        x = f"list_transform([{x}], lambda h: (xor(h, h >> {shift}) * {factor}::UBIGINT) & {sharding.LOW}::UBIGINT)[1]"
+    return f"list_transform([{x}], lambda h: xor(h, h >> 16))[1]"
+
+
+def _rounds(source: str) -> str:
+    """One application of the permutation to ``x`` of ``source``, whose halves are ``a`` and ``b`` bits wide."""
+    step = f"SELECT *, x >> b AS l, x & ((1::UBIGINT << b) - 1) AS r FROM {source}"
+    for k, key in enumerate(sharding.Feistel(2).keys):
+        width = "a" if k % 2 == 0 else "b"
+        step = f"SELECT * EXCLUDE (l, r), r AS l, xor(l, {_mixed(f'xor(r, {key}::UBIGINT)')} & ((1::UBIGINT << {width}) - 1)) AS r FROM ({step})"
+    return f"SELECT row_no, n, a, b, (l << b) | r AS x FROM ({step})"
+
+
+SHARDING = f"""
+WITH RECURSIVE crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(0, 256) s(i))),
+sized AS (SELECT doc_id, text, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crcs AS (SELECT doc_id, text, n + 1 AS size, xor(list_reduce(list_transform(range(0, n), lambda i: ('0x' || substr(h, 2*i+1, 2))::BIGINT), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM sized, crc_table),
+rows_no AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text) - 1 AS row_no FROM crcs),
+domain AS (SELECT n, bits // 2 AS a, bits - bits // 2 AS b FROM (SELECT n, greatest(2, CASE WHEN n <= 1 THEN 0 ELSE length(bin(n - 1)) END) AS bits FROM (SELECT count(*) AS n FROM documents))),
+start AS (SELECT row_no, n, a, b, row_no::UBIGINT AS x FROM rows_no, domain),
+walk AS ({_rounds("start")} UNION ALL {_rounds("(SELECT * FROM walk WHERE x >= n)")}),
+places AS (SELECT row_no, x::BIGINT AS place FROM walk WHERE x < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {sharding.SHARDS})::INTEGER AS shard, place // {sharding.SHARDS} AS slot, NULL::INTEGER AS grown_shard
+FROM rows_no JOIN places USING (row_no)"""
+
+
 def _model(name: str, rows: str) -> str:
     """Tables of one bigram model: pair, follower and word counts."""
     return f"""
@@ -65,4 +95,4 @@ SELECT d.doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(t, 0.0), 6) AS loss_
  round(coalesce(t - g, 0.0), 6) AS difference
 FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n, avg(t) AS t, avg(g) AS g FROM pairs JOIN losses USING (a, b) GROUP BY doc_id) USING (doc_id)"""
 
-ORACLES = {"op7_repeats": REPEATS, "op8_decontaminate": CONTAMINATION, "op9_cross_entropy": CROSS_ENTROPY}
+ORACLES = {"op7_repeats": REPEATS, "op8_decontaminate": CONTAMINATION, "op9_cross_entropy": CROSS_ENTROPY, "op11_sharding": SHARDING}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, decontam, html_extract, langid, lm_score, minhash, suffix_dedup, token_counts, toxicity
+from tidemark.llm import ann, bpe, decontam, html_extract, langid, lm_score, minhash, sharding, suffix_dedup, token_counts, toxicity
 from tidemark.llm.common import tables
 from tidemark.llm.oracles import ORACLES
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_decontaminate": decontam.query,
     "op9_cross_entropy": lm_score.query,
     "op10_html": html_extract.query,
+    "op11_sharding": sharding.query,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
