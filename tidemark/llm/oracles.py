@@ -49,10 +49,21 @@ def _rounds(source: str) -> str:
     return f"SELECT row_no, n, a, b, (l << b) | r AS x FROM ({step})"
 
 
+# Fixed value: the reversed polynomial of CRC-32.
+_CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8),
+ lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(0, 256) s(i)))"""
+
+
+def _crc(n: str, hexed: str) -> str:
+    """CRC-32 of ``n`` bytes in hexadecimal digits, with the table ``t``."""
+    byte = f"list_transform(range(0, {n}), lambda i: ('0x' || substr({hexed}, 2*i+1, 2))::BIGINT)"
+    return f"xor(list_reduce({byte}, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295)"
+
+
 SHARDING = f"""
-WITH RECURSIVE crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(0, 256) s(i))),
+WITH RECURSIVE {_CRC_TABLE},
 sized AS (SELECT doc_id, text, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
-crcs AS (SELECT doc_id, text, n + 1 AS size, xor(list_reduce(list_transform(range(0, n), lambda i: ('0x' || substr(h, 2*i+1, 2))::BIGINT), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM sized, crc_table),
+crcs AS (SELECT doc_id, text, n + 1 AS size, {_crc("n", "h")} AS text_crc32 FROM sized, crc_table),
 rows_no AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text) - 1 AS row_no FROM crcs),
 domain AS (SELECT n, bits // 2 AS a, bits - bits // 2 AS b FROM (SELECT n, greatest(2, CASE WHEN n <= 1 THEN 0 ELSE length(bin(n - 1)) END) AS bits FROM (SELECT count(*) AS n FROM documents))),
 start AS (SELECT row_no, n, a, b, row_no::UBIGINT AS x FROM rows_no, domain),
@@ -62,6 +73,26 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {sharding.SHARDS})::INT
 FROM rows_no JOIN places USING (row_no)"""
 
 
+TRIE = rf"""
+WITH {_CRC_TABLE},
+turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+  sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS e, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(e ORDER BY p) AS es, list(words ORDER BY p) AS ws FROM turns GROUP BY c),
+heads AS (SELECT *, c - c % 20 AS base, {_crc("length(c::VARCHAR)", "hex(c::VARCHAR)")} % 4 AS h FROM own, crc_table),
+whole AS (SELECT a.c, list_concat(coalesce(b.es, [])[1:a.h], a.es[a.h+1:]) AS es, list_concat(coalesce(b.ws, [])[1:a.h], a.ws[a.h+1:]) AS ws
+  FROM heads a LEFT JOIN own b ON a.base = b.c),
+members AS (SELECT c, d, len(es) AS n, array_to_string(es[1:d], '') AS k, CASE WHEN d = 0 THEN 0 ELSE ws[d] END AS words
+  FROM (SELECT *, unnest(range(0, len(es) + 1)) AS d FROM whole)),
+nodes AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = n) AS ends FROM members GROUP BY k, d),
+kids AS (SELECT substr(k, 1, 64 * (d - 1)) AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+counted AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (k)),
+below AS (SELECT substr(k, 1, 64 * j) AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM counted) GROUP BY 1)
+SELECT a.conv_id, a.d AS depth, b.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM counted a JOIN below USING (k) LEFT JOIN nodes b ON a.d > 0 AND b.k = substr(a.k, 1, 64 * (a.d - 1))"""
+
+
 def _model(name: str, rows: str) -> str:
     """Tables of one bigram model: pair, follower and word counts."""
     return f"""
@@ -95,4 +126,5 @@ SELECT d.doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(t, 0.0), 6) AS loss_
  round(coalesce(t - g, 0.0), 6) AS difference
 FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n, avg(t) AS t, avg(g) AS g FROM pairs JOIN losses USING (a, b) GROUP BY doc_id) USING (doc_id)"""
 
-ORACLES = {"op7_repeats": REPEATS, "op8_decontaminate": CONTAMINATION, "op9_cross_entropy": CROSS_ENTROPY, "op11_sharding": SHARDING}
+ORACLES = {"op7_repeats": REPEATS, "op8_decontaminate": CONTAMINATION, "op9_cross_entropy": CROSS_ENTROPY, "op11_sharding": SHARDING,
+           "op13_prefix_trie": TRIE}
