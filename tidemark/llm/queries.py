@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, decontam, html_extract, langid, lm_score, minhash, prefix_trie, sharding, suffix_dedup, token_counts, toxicity
+from tidemark.llm import alignment, ann, bpe, decontam, html_extract, langid, lm_score, minhash, prefix_trie, sharding, suffix_dedup, token_counts, toxicity
 from tidemark.llm.common import tables
 from tidemark.llm.oracles import ORACLES
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op9_cross_entropy": lm_score.query,
     "op10_html": html_extract.query,
     "op11_sharding": sharding.query,
+    "op12_alignment": alignment.query,
     "op13_prefix_trie": prefix_trie.query,
 }
 
