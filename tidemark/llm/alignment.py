@@ -45,6 +45,7 @@ BLOCK_BYTES = 16 << 20  # of text whose pairs are counted together
 SLICE_BYTES = 2 << 20  # of text that is encoded and aligned at once
 MOST_LINKS = 1 << 22  # made at once
 _PAIR_BITS = 15  # of a pair's code, for the second id
+_CODE_BITS = 31  # of a pair's code
 _END_BITS = 32  # of a key, for the place inside a document
 _DOCS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, block long, pairs array<int>, times array<long>"
 
@@ -138,30 +139,28 @@ def _counted(group: pa.Array, ids: pa.Array) -> pa.Table:
 
 
 def links(first: pa.Table, second: pa.Table, doc_of: pa.Array, most: int = MOST_LINKS) -> pa.Table:
-    """(doc, pair, times): all pairs of ids that share a group, with how many pairs of occurrences each stands for.
+    """(key, times): (document, pair of ids that share a group), with how many pairs of occurrences each stands for.
 
     ``first`` and ``second`` hold (group, id, count_all).  Rows of ``first`` are
     taken in slices that meet at most ``most`` rows of ``second``, or one row.
     """
-    width = pc.value_counts(second["group"].combine_chunks())
-    per_group = np.zeros(len(doc_of), dtype=np.int64)
-    per_group[width.field("values").to_numpy()] = width.field("counts").to_numpy()
-    reach = np.cumsum(per_group[first["group"].to_numpy()])
+    width = np.bincount(second["group"].to_numpy(), minlength=len(doc_of))
+    reach = np.cumsum(width[first["group"].to_numpy()])
     made, at = [], 0
     while at < len(reach):
         base = reach[at - 1] if at else 0
         upto = max(at + 1, int(np.searchsorted(reach, base + most, side="right")))
         met = first.slice(at, upto - at).join(second, "group", join_type="inner", right_suffix="_b", use_threads=False)
         pair = pc.bit_wise_or(pc.shift_left(met["id"].cast(pa.int64()), _PAIR_BITS), met["id_b"].cast(pa.int64()))
-        rows = pa.table({"doc": doc_of.take(met["group"].combine_chunks()), "pair": pair.cast(pa.int32()),
-                         "times": pc.multiply(met["count_all"], met["count_all_b"])})
-        made.append(rows.group_by(["doc", "pair"], use_threads=False).aggregate([("times", "sum")]))
+        doc = doc_of.take(met["group"].combine_chunks())
+        rows = pa.table({"key": pc.bit_wise_or(pc.shift_left(doc, _CODE_BITS), pair), "times": pc.multiply(met["count_all"], met["count_all_b"])})
+        made.append(rows.group_by("key", use_threads=False).aggregate([("times", "sum")]))
         at = upto
     if not made:
-        return pa.table({"doc": pa.array([], pa.int64()), "pair": pa.array([], pa.int32()), "times": pa.array([], pa.int64())})
+        return pa.table({"key": pa.array([], pa.int64()), "times": pa.array([], pa.int64())})
     if len(made) == 1:
         return made[0].rename_columns({"times_sum": "times"})
-    again = pa.concat_tables(made).group_by(["doc", "pair"], use_threads=False).aggregate([("times_sum", "sum")])
+    again = pa.concat_tables(made).group_by("key", use_threads=False).aggregate([("times_sum", "sum")])
     return again.rename_columns({"times_sum_sum": "times"})
 
 
@@ -193,8 +192,10 @@ def align(texts: Sequence[str | None], a: Side, b: Side, most: int = MOST_LINKS)
     joined = pc.binary_join_element_wise(_strings(flat_a, last_a, a), _strings(flat_b, last_b, b), "|")
     strings = pc.binary_join(_listed(doc_of.to_numpy(), joined, size), ";")
     made = links(_counted(group_a, flat_a), _counted(group_b, flat_b), doc_of, most)
-    made = made.take(pc.sort_indices(made, sort_keys=[("doc", "ascending"), ("pair", "ascending")]))
-    doc, times = made["doc"].to_numpy(), made["times"].combine_chunks()
+    key = made["key"].to_numpy()
+    order = np.argsort(key)
+    key, times = key[order], made["times"].combine_chunks().take(pa.array(order))
+    doc, pair = key >> _CODE_BITS, pa.array((key & ((1 << _CODE_BITS) - 1)).astype(np.int32))
     n_links = np.zeros(size, dtype=np.int64)
     np.add.at(n_links, doc, times.to_numpy())
     # Documents without tokens get zeros and empty lists.
@@ -214,7 +215,7 @@ def align(texts: Sequence[str | None], a: Side, b: Side, most: int = MOST_LINKS)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), taken.flatten())
 
     return {"n_a": counts(doc_a.to_numpy()), "n_b": counts(doc_b.to_numpy()), "n_groups": counts(doc_of.to_numpy()),
-            "n_links": full(pa.array(n_links), 0), "groups": full(strings, ""), "pairs": lists(made["pair"].combine_chunks()),
+            "n_links": full(pa.array(n_links), 0), "groups": full(strings, ""), "pairs": lists(pair),
             "times": lists(times)}
 
 
@@ -275,7 +276,7 @@ def aligned(docs: DataFrame, first: str | None = None, second: str | None = None
 def read_sides(first: bytes, second: bytes) -> tuple[Side, Side]:
     """Both tokenizers from the contents of their files, once per worker."""
     a, b = byte_level(first), pieces(second)
-    if len(b.contents) > 1 << _PAIR_BITS or len(a.contents) > 1 << (31 - _PAIR_BITS):
+    if len(b.contents) > 1 << _PAIR_BITS or len(a.contents) > 1 << (_CODE_BITS - _PAIR_BITS):
         raise ValueError("vocabularies too large for pairs of 31 bits")
     return a, b
 

@@ -7,10 +7,11 @@ which at least one is known, from ``LONGEST`` letters down to one, and takes
 their mean.  The language with the highest sum over the words is predicted.
 
 The labelled rows learned from are at most about ``TRAIN_ROWS`` (all of them, if
-there are no more), chosen by a hash of the id; the model keeps the
-``MOST_WORDS`` and ``MOST_GRAMS`` most frequent entries.  These are the bounds
-of the fitted model, which is therefore small enough to be sent to all tasks.
-Every text is scored whole.
+there are no more), chosen by a hash of the id; the model keeps every word and
+n-gram seen at least ``LEAST`` times in them.  The rows learned from are the
+bound of the fitted model, which is therefore small enough to be sent to all
+tasks: as one array of entries and one matrix of their logarithms, from which
+only tasks make a look-up table.  Every text is scored whole.
 
 Cases: NULL text or text without a letter is ``und`` with score 0; letters of
 which nothing is known get the language with the most training rows (then the
@@ -21,21 +22,23 @@ give equal rows.
 
 from __future__ import annotations
 
-import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold, on_text, sampled, ship, tables
+from tidemark.session import stored
 
 TRAIN_ROWS = 8_000
-MOST_WORDS, MOST_GRAMS = 100_000, 120_000
+LEAST = 2  # times an entry must have been seen
 LONGEST = 5
 ABSENT = 0.1  # count of an entry that a language does not have
 _REMEMBERED = 250_000
@@ -69,10 +72,30 @@ def _counted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "entry": list(counts), "n": list(counts.values())})
 
 
-def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> dict:
+class Table:
+    """Entries and their log frequencies a language, held as two arrays; looked up only in tasks."""
+
+    def __init__(self, entries: pa.Array, logs: np.ndarray):
+        self.entries, self.logs, self.places = entries, logs, None
+
+    def __getstate__(self):
+        return self.entries, self.logs
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def get(self, entry: str) -> tuple[float, ...] | None:
+        if self.places is None:
+            self.places = dict(zip(self.entries.to_pylist(), range(len(self.entries))))
+        place = self.places.get(entry)
+        return None if place is None else tuple(self.logs[place].tolist())
+
+
+def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS, least: int = LEAST) -> dict:
     """The model: languages by weight, and per-language log frequencies of words and n-grams (eager).
 
-    ``labelled`` has text, lang and the id that samples it.
+    ``labelled`` has text, lang and the id that samples it.  Counts are stored
+    once; the driver gets those of the entries kept as Arrow arrays.
     """
     ship(labelled.sparkSession)
     rows = labelled.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.col("lang").alias("lang")).filter(
@@ -82,24 +105,19 @@ def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS, most_words: int = M
     langs = sorted(weights, key=lambda x: (-weights[x], x))
     if not langs:
         return {"langs": [], "words": {}, "grams": {}}
-    counts = (rows.select("lang", "text").mapInPandas(_counted, "lang string, entry string, n long")
-              .groupBy("entry", "lang").agg(F.sum("n").alias("n")))
-    wide = counts.groupBy("entry").agg(*[
-        F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(langs)],
-        F.sum("n").alias("total"))
+    names = [f"n{k}" for k in range(len(langs))]
+    kind = F.when(F.col("entry").startswith(" "), F.length("entry") - 1).otherwise(0)  # 0 for words, else the n of an n-gram
+    counts = stored(rows.select("lang", "text").mapInPandas(_counted, "lang string, entry string, n long").groupBy("entry").agg(*[
+        F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(name) for name, lang in zip(names, langs)],
+        F.sum("n").alias("total")).withColumn("kind", kind))
+    totals = {r["kind"]: [max(1, r[name]) for name in names] for r in counts.groupBy("kind").agg(*[F.sum(c).alias(c) for c in names]).collect()}
     model: dict = {"langs": langs}
-    grams = F.col("entry").startswith(" ")
-    # One pass leaves the totals for every n beside the entries kept.
-    kind = F.when(grams, F.length("entry") - 1).otherwise(0)
-    totals = {r["kind"]: r for r in wide.groupBy(kind.alias("kind")).agg(
-        *[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(langs))]).collect()}
-    for name, keep, most in (("words", ~grams, most_words), ("grams", grams, most_grams)):
-        top = wide.filter(keep).orderBy(F.desc("total"), "entry").limit(most).drop("total").toPandas()
-        kinds = top["entry"].map(lambda x: len(x) - 1 if x.startswith(" ") else 0).to_numpy()
-        values = top[[f"n{k}" for k in range(len(langs))]].to_numpy(dtype=float)
-        sums = np.array([[max(1, totals[i][f"n{k}"]) for k in range(len(langs))] for i in kinds]).reshape(values.shape)
-        logs = np.log(np.maximum(values, ABSENT) / sums)
-        model[name] = dict(zip(top["entry"].str.lstrip(" "), map(tuple, logs)))
+    for part, wanted in (("words", F.col("kind") == 0), ("grams", F.col("kind") > 0)):
+        kept = counts.filter(wanted & (F.col("total") >= least)).select("entry", "kind", *names).toArrow().combine_chunks()
+        values = np.stack([kept[name].to_numpy() for name in names], axis=1).astype(float)
+        sums = np.array([totals[k] for k in kept["kind"].to_pylist()], dtype=float).reshape(values.shape)
+        entries = pc.utf8_ltrim(kept["entry"], " ").combine_chunks()
+        model[part] = Table(entries, np.log(np.maximum(values, ABSENT) / sums))
     return model
 
 
