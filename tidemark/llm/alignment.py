@@ -1,7 +1,9 @@
 """Alignment of two tokenizers over every text, as an Arrow pipeline in tasks.
 
-A block of texts is encoded by both vocabularies.  Its token lists are
-flattened, parent indices say which text a token is of, and a running sum of
+A block of texts is encoded by both vocabularies.  Neither ever joins a token
+over a space that follows other than white space, so texts are cut there, the
+dictionary of distinct stretches is encoded once, and the token lists of texts
+are taken from it.  They are flattened, parent indices say which text a token is of, and a running sum of
 token bytes, taken anew for every text, gives the place where each token ends.
 A hash join of the two sets of (document, end) keys leaves the common ends,
 which cut the tokens into groups; a second hash join on the group makes the
@@ -27,8 +29,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +48,12 @@ FIRST_FILE, SECOND_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_BYTES = 16 << 20  # of text whose pairs are counted together
 SLICE_BYTES = 2 << 20  # of text that is encoded and aligned at once
 MOST_LINKS = 1 << 22  # made at once
+ROW = 5_000  # stretches encoded in a row
 _PAIR_BITS = 15  # of a pair's code, for the second id
 _CODE_BITS = 31  # of a pair's code
 _END_BITS = 32  # of a key, for the place inside a document
+# A single space between other than white space: a border of pre-tokens for the one side, and one no piece spans for the other.
+_CUT = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
 _DOCS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, block long, pairs array<int>, times array<long>"
 
 
@@ -60,7 +67,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: texts to lists of ids, and what each id stands for."""
+    """One tokenizer: stretches of text, each with a space before it, to lists of ids, and what each id stands for."""
 
     def __init__(self, encode, contents: Sequence[bytes]):
         self.encode = encode
@@ -68,8 +75,32 @@ class Side:
         self.sizes = pc.binary_length(self.contents).cast(pa.int64())
         self.names = pa.array([str(i) for i in range(len(contents))])
 
-    def ids(self, texts: Sequence[str]) -> pa.ListArray:
-        return pa.array(self.encode(texts), pa.list_(pa.int32()))
+    def _lists(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, end to end, and where those of each text start, with the end of the last."""
+        lists = self.encode(texts)
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))])
+        return np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(offsets[-1])), offsets
+
+    def ids(self, stretches: Sequence[str], sizes: np.ndarray) -> pa.ListArray:
+        """Ids of stretches without white space at their ends; ``sizes`` are their bytes.
+
+        They are encoded in a row, as they stand in texts, and told apart by
+        where their bytes end; should an end be inside a token, one by one.
+        """
+        rows = [" ".join(stretches[k:k + ROW]) for k in range(0, len(stretches), ROW)]
+        flat, offsets = self._lists(rows)
+        ends = np.cumsum(self.sizes.take(pa.array(flat)).to_numpy())
+        wanted = np.cumsum(sizes + 1)
+        at = np.searchsorted(ends, wanted)
+        if len(wanted) and (at[-1] != len(ends) - 1 or (ends[at] != wanted).any()):
+            flat, offsets = self._lists(stretches)
+        else:
+            offsets = np.concatenate([[0], at + 1])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+
+    def alone(self, stretches: Sequence[str]) -> pa.ListArray:
+        flat, offsets = self._lists(stretches)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
 
 
 def byte_level(content: bytes) -> Side:
@@ -101,7 +132,7 @@ def pieces(content: bytes) -> Side:
 # -- a slice of texts --------------------------------------------------------
 
 def _whole(ids: pa.ListArray, side: Side, wanted: Sequence[bytes]) -> np.ndarray:
-    """Which texts the bytes of their tokens spell out."""
+    """Which stretches the bytes of their tokens spell out."""
     flat = ids.flatten()
     joined = side.contents.take(flat)
     ends = np.concatenate([[0], np.cumsum(side.sizes.take(flat).to_numpy())])[ids.offsets.to_numpy()]
@@ -109,6 +140,36 @@ def _whole(ids: pa.ListArray, side: Side, wanted: Sequence[bytes]) -> np.ndarray
     return np.array([data[s:e] == w for s, e, w in zip(ends, ends[1:], wanted)], dtype=bool)
 
 
+def encoded(texts: Sequence[str], a: Side, b: Side) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
+    """Which texts both sides spell out, and the token lists of those."""
+    parts = [_CUT.split(t) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))])
+    stretches = pa.array(chain.from_iterable(parts), pa.large_string(), size=int(offsets[-1])).dictionary_encode()
+    kinds = stretches.dictionary.to_pylist()
+    # Stretches at the ends of texts may have white space there, and the sign for a space is not its own bytes.
+    odd = np.fromiter((not k or k[0].isspace() or k[-1].isspace() or "▁" in k for k in kinds), dtype=bool, count=len(kinds))
+    order = np.argsort(odd, kind="stable")
+    kinds = [kinds[k] for k in order]
+    wanted = [f" {k}".encode() for k in kinds]
+    plain = len(kinds) - int(odd.sum())
+    sizes = np.fromiter(map(len, wanted), dtype=np.int64, count=len(wanted))[:plain] - 1
+    lists = [pa.concat_arrays([side.ids(kinds[:plain], sizes), side.alone(kinds[plain:])]) for side in (a, b)]
+    whole = np.logical_and.reduce([_whole(ids, side, wanted) for ids, side in zip(lists, (a, b))])
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    index = place[stretches.indices.to_numpy()]
+    bad = np.concatenate([[0], np.cumsum(~whole[index])])[offsets]
+    good = bad[1:] == bad[:-1]
+    kept = np.repeat(good, np.diff(offsets))
+    taken = pa.array(index[kept])
+    starts = np.concatenate([[0], np.cumsum(np.diff(offsets)[good])])
+    out = []
+    for ids in lists:
+        own = ids.take(taken)
+        out.append(pa.ListArray.from_arrays(pa.array(own.offsets.to_numpy()[starts]), own.flatten()))
+    return good, *out
+
+
 def _ends(ids: pa.ListArray, side: Side) -> tuple[pa.Array, pa.Array, pa.Array]:
     """Flat ids, the document of each, and its (document, end) key: a running sum of bytes less that before the document."""
     flat, doc = pc.list_flatten(ids), pc.list_parent_indices(ids).cast(pa.int64())
@@ -120,11 +181,19 @@ def _ends(ids: pa.ListArray, side: Side) -> tuple[pa.Array, pa.Array, pa.Array]:
     return flat, doc, pc.add(pc.shift_left(doc, _END_BITS), end)
 
 
-def _groups(key: pa.Array, common: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Whether each token ends a group, and the number of its group in the slice."""
-    last = pc.is_in(key, value_set=common)
-    ones = last.cast(pa.int64())
-    return last, pc.subtract(pc.cumulative_sum(ones), ones)
+def _groups(key_a: pa.Array, key_b: pa.Array) -> tuple[pa.Array, ...]:
+    """For both sides whether each token ends a group, and the number of its group in the slice.
+
+    The ends that both sides have come from a hash join of their keys.
+    """
+    sides = [pa.table({"end": key, name: pa.array(np.arange(len(key)))}) for key, name in ((key_a, "at_a"), (key_b, "at_b"))]
+    common = sides[0].join(sides[1], "end", join_type="inner", use_threads=False)
+    out = []
+    for key, name in ((key_a, "at_a"), (key_b, "at_b")):
+        last = np.zeros(len(key), dtype=bool)
+        last[common[name].to_numpy()] = True
+        out += [pa.array(last), pc.subtract(pc.cumulative_sum(pa.array(last.astype(np.int64))), pa.array(last.astype(np.int64)))]
+    return tuple(out)
 
 
 def _strings(ids: pa.Array, last: pa.Array, side: Side) -> pa.Array:
@@ -176,18 +245,12 @@ def align(texts: Sequence[str | None], a: Side, b: Side, most: int = MOST_LINKS)
     asked = np.array([bool(t) for t in texts])
     places = np.flatnonzero(asked)
     some = [texts[i] for i in places]
-    wanted = [f" {t}".encode() for t in some]
-    ids_a, ids_b = a.ids(some), b.ids(some)
-    good = _whole(ids_a, a, wanted) & _whole(ids_b, b, wanted)
-    if not good.all():
-        keep = pa.array(good)
-        ids_a, ids_b, places = ids_a.filter(keep), ids_b.filter(keep), places[good]
+    good, ids_a, ids_b = encoded(some, a, b)
+    places = places[good]
     size = len(places)
     flat_a, doc_a, key_a = _ends(ids_a, a)
     flat_b, doc_b, key_b = _ends(ids_b, b)
-    common = pa.table({"end": key_a}).join(pa.table({"end": key_b}), "end", join_type="inner", use_threads=False)["end"].combine_chunks()
-    last_a, group_a = _groups(key_a, common)
-    last_b, group_b = _groups(key_b, common)
+    last_a, group_a, last_b, group_b = _groups(key_a, key_b)
     doc_of = doc_a.filter(last_a)
     joined = pc.binary_join_element_wise(_strings(flat_a, last_a, a), _strings(flat_b, last_b, b), "|")
     strings = pc.binary_join(_listed(doc_of.to_numpy(), joined, size), ";")
