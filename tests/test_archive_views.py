@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tidemark.operators import quality as qu
 from tidemark.operators import runs as rn
 from tidemark.operators import views as vw
 from tidemark.sources import exports as ex
+from tidemark.sources import minutes as mn
 from tidemark.sources import tables as tb
 
 DATE, NEXT = "2026-08-14", "2026-08-17"
@@ -98,17 +100,58 @@ def minute_rows(spark, values, date=DATE, fetched=0):
     return records(spark, data)
 
 
+def minutes_read(spark, path):
+    return sorted((r.snapshot_at.minute, r.code, r.dark_money) for r in mn.read_minute_board(spark, path).collect())
+
+
 def test_minute_boards_are_upserted(spark, root):
     path = f"{root}/minute"
+    assert mn.read_minute_board(spark, path) is None and mn.fold_minute_board(spark, path, at(DATE, 23, 0)) == 0
     first = minute_rows(spark, [(571, "industry", "A", 1), (571, "industry", "B", 2), (572, "industry", "A", 3)])
-    tb.save_minute_board(first, path)
-    tb.save_minute_board(minute_rows(spark, [(571, "industry", "A", 9)], fetched=5), path)
-    tb.save_minute_board(minute_rows(spark, [(571, "industry", "B", 7)], fetched=-5), path)  # older copy
-    tb.save_minute_board(first, path)  # replay
-    got = sorted((r.snapshot_at.minute, r.code, r.dark_money) for r in spark.read.parquet(path).collect())
-    assert got == [(31, "A", 9), (31, "B", 2), (32, "A", 3)]
+    mn.append_minute_board(first, path, "1")
+    mn.append_minute_board(minute_rows(spark, [(571, "industry", "A", 9)], fetched=5), path, "2")
+    mn.append_minute_board(minute_rows(spark, [(571, "industry", "B", 7)], fetched=-5), path, "3")  # older copy
+    mn.append_minute_board(first, path, "1")  # replay
+    want = [(31, "A", 9), (31, "B", 2), (32, "A", 3)]
+    assert minutes_read(spark, path) == want
     with pytest.raises(ValueError):
-        tb.save_minute_board(minute_rows(spark, [(571, "stock", "A", 1)]), path)
+        mn.append_minute_board(minute_rows(spark, [(571, "stock", "A", 1)]), path, "4")
+    assert mn.fold_minute_board(spark, path, at(DATE, 9, 59)) == 0  # the hour is still open
+    assert mn.fold_minute_board(spark, path, at(DATE, 10, 0)) == 1
+    assert os.listdir(f"{path}/trade_date={DATE}/hour=9") == ["batch=folded-000001"]
+    assert minutes_read(spark, path) == want
+    mn.append_minute_board(first, path, "1")  # a replay after the fold
+    mn.append_minute_board(minute_rows(spark, [(572, "industry", "A", 4)], fetched=60), path, "5")
+    assert minutes_read(spark, path) == [(31, "A", 9), (31, "B", 2), (32, "A", 4)]
+    assert mn.fold_minute_board(spark, path, at(DATE, 12, 0)) == 1
+    assert minutes_read(spark, path) == [(31, "A", 9), (31, "B", 2), (32, "A", 4)]
+    today = spark.createDataFrame([(day(NEXT),)], "trade_date date")
+    assert mn.read_minute_board(spark, path, today).count() == 0
+
+
+def test_a_fold_that_dies_loses_nothing(spark, root, monkeypatch):
+    path = f"{root}/minute"
+    mn.append_minute_board(minute_rows(spark, [(571, "industry", "A", 1), (572, "industry", "A", 3)]), path, "1")
+    mn.append_minute_board(minute_rows(spark, [(571, "industry", "A", 9)], fetched=5), path, "2")
+    with monkeypatch.context() as broken:
+        broken.setattr(mn.Folder, "remove", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            mn.fold_minute_board(spark, path, at(DATE, 12, 0))
+    assert minutes_read(spark, path) == [(31, "A", 9), (32, "A", 3)]
+    assert mn.fold_minute_board(spark, path, at(DATE, 12, 0)) == 1
+    assert os.listdir(f"{path}/trade_date={DATE}/hour=9") == ["batch=folded-000002"]
+    assert minutes_read(spark, path) == [(31, "A", 9), (32, "A", 3)]
+
+
+def test_an_append_that_dies_leaves_other_batches_alone(spark, root):
+    path = f"{root}/minute"
+    mn.append_minute_board(minute_rows(spark, [(571, "industry", "A", 1)]), path, "1")
+    rows = minute_rows(spark, [(571, "industry", "B", 2), (572, "industry", "B", 3)])
+    with pytest.raises(Exception, match="stop here"):
+        mn.append_minute_board(rows.withColumn("code", F.when(F.col("dark_money") == 3, F.raise_error(F.lit("stop here"))).otherwise(F.col("code"))), path, "2")
+    assert minutes_read(spark, path) == [(31, "A", 1)]
+    mn.append_minute_board(rows, path, "2")
+    assert minutes_read(spark, path) == [(31, "A", 1), (31, "B", 2), (32, "B", 3)]
 
 
 def test_compaction(spark):

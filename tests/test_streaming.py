@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from builders import at, day, records
 from tidemark import schemas
+from tidemark.sources.minutes import read_minute_board
 from tidemark.streaming import boards as sb
 
 DATE = "2026-08-14"
@@ -34,7 +35,7 @@ def test_upsert_stream_survives_a_replay(spark, root):
     for run in ("one", "two"):  # the second run replays everything into the same table
         stream = sb.read_stream(spark, source, schemas.RANK_RECORD, 1)
         drain(sb.upsert_minute_boards(stream, f"{root}/out", f"{root}/cp-{run}").start())
-        got = sorted((r.snapshot_at.minute, r.dark_money) for r in spark.read.parquet(f"{root}/out").collect())
+        got = sorted((r.snapshot_at.minute, r.dark_money) for r in read_minute_board(spark, f"{root}/out").collect())
         assert got == [(31, 5), (32, 2)]
 
 
@@ -46,6 +47,9 @@ def test_late_rows_go_aside(spark, root):
     drain(sb.upsert_with_late_table(stream, f"{root}/out", f"{root}/late", f"{root}/sealed", f"{root}/cp").start())
     assert [r.dark_money for r in spark.read.parquet(f"{root}/out").collect()] == [2]
     assert [r.dark_money for r in spark.read.parquet(f"{root}/late").collect()] == [1]
+    assert sb.fold_late_rows(spark, f"{root}/late", f"{root}/out") == [DATE]
+    assert sorted(r.dark_money for r in read_minute_board(spark, f"{root}/out").collect()) == [1, 2]
+    assert sb.fold_late_rows(spark, f"{root}/late", f"{root}/out") == []
 
 
 def stream_to_memory(df, name, mode):

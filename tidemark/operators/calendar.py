@@ -84,23 +84,30 @@ def with_date_index(df: DataFrame, index: DataFrame, date: str = "trade_date") -
     return df.join(F.broadcast(index), date)
 
 
-def complete_dates(daily: DataFrame, as_of: str | None = None, last: int | None = None,
-                   first: str | None = None) -> DataFrame:
+def date_completeness(daily: DataFrame) -> DataFrame:
+    """Concepts, quoted concepts and stocks of each date: what writers store per date so that scans need no history."""
+    concept = F.col("rank_type") == "concept"
+    return daily.filter(F.col("rank_type").isin("concept", "stock")).groupBy("trade_date").agg(
+        F.count_if(concept).alias("concepts"), F.count_if(concept & F.col("quote_available")).alias("quoted_concepts"),
+        F.count_if(F.col("rank_type") == "stock").alias("stocks"))
+
+
+def complete_dates(daily: DataFrame | None, as_of: str | None = None, last: int | None = None,
+                   first: str | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Dates on which every concept is quoted and at least one stock is present.
 
-    ``last`` keeps the most recent N; the result is ascending either way.
+    ``counts`` is ``date_completeness`` as the writers keep it, one row a date;
+    with it the closes are not read.  ``last`` keeps the most recent N; the
+    result is ascending either way.
     """
-    rows = daily.filter(F.col("rank_type").isin("concept", "stock"))
+    rows = daily if counts is None else counts
     if as_of is not None:
         rows = rows.filter(F.col("trade_date") <= F.lit(as_of).cast("date"))
     if first is not None:
         rows = rows.filter(F.col("trade_date") >= F.lit(first).cast("date"))
-    concept = F.col("rank_type") == "concept"
-    good = (rows.groupBy("trade_date")
-            .agg(F.count_if(concept).alias("_concepts"),
-                 F.count_if(concept & F.col("quote_available")).alias("_quoted"),
-                 F.count_if(F.col("rank_type") == "stock").alias("_stocks"))
-            .filter((F.col("_concepts") > 0) & (F.col("_quoted") == F.col("_concepts")) & (F.col("_stocks") > 0))
+    if counts is None:
+        rows = date_completeness(rows)
+    good = (rows.filter((F.col("concepts") > 0) & (F.col("quoted_concepts") == F.col("concepts")) & (F.col("stocks") > 0))
             .select("trade_date"))
     if last is not None:
         good = good.orderBy(F.desc("trade_date")).limit(last)

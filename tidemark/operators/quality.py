@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.digests import set_digest, typed_line
+from tidemark.functions.digests import digest_of_sums, merged_sums, set_digest, set_sums, typed_line
 from tidemark.functions.grid import CLOSE, MINUTES, POINTS, grid_array, on_five_minute_grid
 from tidemark.functions.scalars import clock_text
 
@@ -39,6 +41,20 @@ def coverage(minute_board: DataFrame, keys: tuple[str, ...] = ("trade_date", "ra
         F.when(closed, F.array().cast("array<string>")).otherwise(F.array(F.lit("15:00"))).alias("missing_daily_close"))
 
 
+def archive_coverage(closes: DataFrame, points: DataFrame, minutes: DataFrame | None = None) -> DataFrame:
+    """Coverage of every (date, type) of archived closes: minutes from the minute boards, points from the curves.
+
+    Each is what its own table holds, 0 where it holds nothing; the close is there, as it is being archived.
+    """
+    keys = ["trade_date", "rank_type"]
+    seen = coverage(points, wanted=closes)
+    none = points.limit(0) if minutes is None else minutes
+    work = coverage(none, wanted=closes).select(*keys, *[F.col(f).alias(f"_{f}") for f in ("collected_minutes", "missing_minutes")])
+    columns = {"collected_minutes": F.col("_collected_minutes"), "missing_minutes": F.col("_missing_minutes"),
+               "collected_daily_close": F.lit(1), "missing_daily_close": F.array().cast("array<string>")}
+    return seen.join(work, keys).withColumns(columns).select(*seen.columns)
+
+
 def both_board_types(dated: DataFrame) -> DataFrame:
     """(trade_date, rank_type) of both board types for every date of ``dated``."""
     kinds = F.explode(F.array(*[F.lit(b) for b in BOARDS])).alias("rank_type")
@@ -201,6 +217,47 @@ def inconsistent_quality(quality: DataFrame, daily: DataFrame) -> DataFrame:
             .select("trade_date", "expected_kline_stocks", "close_stocks", "expected_points"))
 
 
+DIGEST_PARTS = 16
+NOT_CONTENT = ("fetched_at", "run_id", "created_at", "updated_at")
+
+
+def content_leaves(tables: dict[str, DataFrame], date: str = "trade_date", key: str = "code",
+                   without: Sequence[str] = NOT_CONTENT) -> DataFrame:
+    """Leaves of the digest tree: sums of line hashes per (date, table, part of the keys).
+
+    A leaf is mergeable, so a node of the tree (a table of a date, a date, an
+    archive) is the sum of its leaves and need not read a row again.  Leaves are
+    kept per date; sealing a date anew makes that date's leaves only.  Fetch
+    stamps do not count.  Tables without ``key`` are split by all of a line.
+    """
+    leaves = None
+    for name, table in tables.items():
+        columns = [(c, kind) for c, kind in table.dtypes if c not in without]
+        # Maps have no text form of their own, and bytes need not be text.
+        line = typed_line([F.to_json(F.col(c)) if kind.startswith("map") else F.base64(c) if kind == "binary"
+                           else F.col(c).cast("string") for c, kind in columns])
+        spread = F.col(key) if key in table.columns else line
+        rows = table.select(date, F.lit(name).alias("table"), F.pmod(F.xxhash64(spread), F.lit(DIGEST_PARTS)).cast("int").alias("part"),
+                            line.alias("_line"))
+        made = set_sums(rows, [date, "table", "part"], F.col("_line"))
+        leaves = made if leaves is None else leaves.unionByName(made)
+    return leaves
+
+
+def content_nodes(leaves: DataFrame, level: Sequence[str]) -> DataFrame:
+    """Digests of the tree's nodes at a level, e.g. (trade_date, table): a root is the sum of what is below it."""
+    return merged_sums(leaves, level).select(*level, "line_count", digest_of_sums().alias("digest"))
+
+
+def content_differences(left: DataFrame, right: DataFrame, date: str = "trade_date") -> DataFrame:
+    """(date, table, part) in which two archives differ, and their line counts; leaves are compared, not rows."""
+    level = [date, "table", "part"]
+    a, b = (content_nodes(x, level).withColumnsRenamed({"line_count": f"{side}_lines", "digest": f"_{side}"})
+            for side, x in (("left", left), ("right", right)))
+    return (a.join(b, level, "full_outer").filter(~F.col("_left").eqNullSafe(F.col("_right")))
+            .select(*level, *[F.coalesce(f"{side}_lines", F.lit(0)).alias(f"{side}_lines") for side in ("left", "right")]))
+
+
 def content_digest(tables: dict[str, DataFrame], date: str = "trade_date",
                    without: tuple[str, ...] = ("fetched_at", "run_id", "created_at", "updated_at")) -> DataFrame:
     """One digest per date over all rows of several tables, independent of row order.

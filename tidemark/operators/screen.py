@@ -175,9 +175,9 @@ class ScanResult:
     stats: DataFrame
 
 
-def scan_dates(daily: DataFrame, request: ScanRequest) -> DataFrame:
-    """The last n complete dates, or no row at all when there are fewer."""
-    chosen = complete_dates(daily, request.as_of, request.consecutive_days)
+def scan_dates(daily: DataFrame, request: ScanRequest, counts: DataFrame | None = None) -> DataFrame:
+    """The last n complete dates, or no row at all when there are fewer; with ``counts`` the closes are not read."""
+    chosen = complete_dates(daily, request.as_of, request.consecutive_days, counts=counts)
     listed = chosen.agg(F.array_sort(F.collect_list("trade_date")).alias("_d"))
     return (listed.filter(F.size("_d") == request.consecutive_days)
             .select(F.explode("_d").alias("trade_date")))
@@ -234,15 +234,17 @@ def screen_stocks(rows: DataFrame, universe: DataFrame, dates: DataFrame, reques
         F.when(failing, F.col("_failed_eval")).alias("evaluation"))
 
 
-def focus_scan(daily: DataFrame, members: DataFrame, request: ScanRequest) -> ScanResult:
+def focus_scan(daily: DataFrame, members: DataFrame, request: ScanRequest, counts: DataFrame | None = None) -> ScanResult:
     """Dates, concept screen, universe, stock screen, explanations, counters.
 
     ``members`` are the edges in force on the scan's last day
     (``members_as_of``).  The scanned dates are one row a day, so the daily
-    table is cut by a broadcast join that prunes its date partitions.
+    table is cut by a broadcast join that prunes its date partitions.  With
+    ``counts`` (``date_completeness``, as the writers keep it) finding the dates
+    reads a row a date, and no other partition of the closes is ever read.
     """
     validate(request)
-    dates = scan_dates(daily, request)
+    dates = scan_dates(daily, request, counts)
     rows = daily.join(F.broadcast(dates), "trade_date", "left_semi")
     concepts = screen_concepts(rows, request)
     qualified = concepts.filter(F.col("reason").isNull())

@@ -5,6 +5,7 @@ Every run writes to its own folder under the shared checkpoint folder.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import SparkSession
@@ -16,6 +17,7 @@ from tidemark.plans.ingest_queries import _export_tables
 from tidemark.plans.registry import instant, query, text
 from tidemark.session import checkpoint_dir, stored
 from tidemark.sources import exports as ex
+from tidemark.sources import minutes as mn
 from tidemark.sources import tables as tb
 from tidemark.streaming import boards as sb
 
@@ -40,9 +42,27 @@ def save_minute_board(spark, sf):
     """The newer fetch of each minute is stored first; the older one then must not replace it."""
     path, rows = _folder(spark), _minute_rows(spark, sf)
     older = rows.withColumns({"dark_money": F.col("first_money"), "fetched_at": F.col("first_id")})
-    for batch in (rows, older):
-        tb.save_minute_board(batch.drop("first_money", "first_id"), path)
-    return spark.read.parquet(path).select(instant("snapshot_at"), "code", "dark_money")
+    for name, batch in (("new", rows), ("old", older)):
+        mn.append_minute_board(batch.drop("first_money", "first_id"), path, name)
+    return mn.read_minute_board(spark, path).select(instant("snapshot_at"), "code", "dark_money")
+
+
+@query("fold_minute_board", "ev", """
+SELECT CAST(date_trunc('minute',ts) AS VARCHAR) AS snapshot_at, 'BK'||event_type AS code, arg_max(cents,event_id) AS dark_money FROM ev GROUP BY date_trunc('minute',ts), event_type""")
+def fold_minute_board(spark, sf):
+    """Every fourth minute in a batch, one batch replayed, closed hours folded between and after: nothing is lost."""
+    path, rows = _folder(spark), stored(_minute_rows(spark, sf))
+    older = rows.withColumns({"dark_money": F.col("first_money"), "fetched_at": F.col("first_id")})
+    closed = dt.datetime(2024, 1, 16)
+    for k in range(4):
+        part = F.minute("snapshot_at") % 4 == k
+        mn.append_minute_board(rows.filter(part).drop("first_money", "first_id"), path, f"b{k}")
+        mn.append_minute_board(older.filter(part).drop("first_money", "first_id"), path, f"b{k}-older")
+        if k == 1:
+            mn.fold_minute_board(spark, path, closed)
+            mn.append_minute_board(rows.filter(part).drop("first_money", "first_id"), path, f"b{k}")
+    mn.fold_minute_board(spark, path, closed)
+    return mn.read_minute_board(spark, path).select(instant("snapshot_at"), "code", "dark_money")
 
 
 @query("save_daily_close", "daily", """
@@ -120,7 +140,7 @@ def stream_minute_boards(spark, sf):
         "trade_date", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("snapshot_at"), "rank_type", "code",
         F.col("cents").alias("dark_money"), F.col("event_id").alias("fetched_at"))
     sb.upsert_minute_boards(boards, f"{folder}/board", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/board").select(instant("snapshot_at"), "code", "dark_money")
+    return mn.read_minute_board(spark, f"{folder}/board").select(instant("snapshot_at"), "code", "dark_money")
 
 
 @query("stream_five_minute_bars", "ev", """

@@ -1,9 +1,9 @@
 """Archive tables on shared storage: Parquet partitioned by date, replaced by partition.
 
 Writers use dynamic partition overwrite, so rerunning a date replaces exactly
-that date's files and a failed job leaves the old ones.  There is no
-transaction over several tables: data goes first, the manifest last, and
-readers start from sealed dates.
+that date's files and a failed job leaves the old ones.  Data goes first, the
+manifest last; what several tables say of a date together is published by a
+seal (``sources.seals``), and minute boards are a log (``sources.minutes``).
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ from pyspark.errors import AnalysisException
 
 from tidemark.functions.grid import CLOSE, POINTS, on_five_minute_grid, point_index
 from tidemark.functions.scalars import clock_minute
-from tidemark.operators.archive import ArchiveDay, insert_or_replace
+from tidemark.operators.archive import ArchiveDay
+from tidemark.operators.calendar import date_completeness
 from tidemark.operators.enrich import POINT_KEY, eligible_only, merge_money_and_bars, only_quoted
-from tidemark.operators.quality import archive_manifest, coverage, stock_quality
+from tidemark.operators.quality import archive_coverage, archive_manifest, stock_quality
 from tidemark.session import held
+from tidemark.sources.folders import Folder
 
-HOUR_PARTS = ("trade_date", "hour")
 CLOSE_PARTS = ("trade_date", "rank_type")
 SECURITY_DAY = ["trade_date", "market", "code"]
 
@@ -48,35 +49,24 @@ def replace_partitions(df: DataFrame, path: str, partitions: Sequence[str], sort
      .partitionBy(*partitions).parquet(path))
 
 
-def _require_none(bad: DataFrame, message: str) -> None:
-    """Raise if a check found anything (reads at most one row)."""
-    first = bad.limit(1).collect()
-    if first:
-        raise ValueError(f"{message}: {first[0].asDict()}")
-
+def clear_partitions(spark: SparkSession, path: str, partitions: Sequence[str], due: DataFrame, kept: DataFrame) -> None:
+    """Remove the partitions of ``due`` that ``kept`` has no rows for: by name, their rows are not read.
 
-# -- minute boards -----------------------------------------------------------
-
-def save_minute_board(rows: DataFrame, path: str) -> None:
-    """Upsert full minute boards; the latest fetch of a (date, instant, type, code) wins.
-
-    Partitions are hours: a minute's upsert rewrites one hour of boards, and a
-    session leaves six partitions rather than a file per minute.
+    Both sides are reduced to one row a partition before they come to the driver.
     """
-    with held(rows):
-        _require_none(rows.filter(~F.col("rank_type").isin("industry", "concept")), "minute boards hold boards only")
-        keyed = rows.withColumn("hour", F.hour("snapshot_at"))
-        old = read_table(rows.sparkSession, path)
-        old = keyed.limit(0) if old is None else _touched(old, keyed).select(*keyed.columns)
-        # Old and new copies compete together, so a late replay of an older fetch loses.
-        keys = ["trade_date", "hour", "snapshot_at", "rank_type", "code"]
-        both = insert_or_replace(keyed.limit(0), old.unionByName(keyed), keys, F.col("fetched_at"))
-        replace_partitions(both, path, HOUR_PARTS, ["rank_type", "code"])
+    def named(rows: DataFrame) -> set[tuple[str, ...]]:
+        return {tuple(r) for r in rows.select(*[F.col(c).cast("string") for c in partitions]).distinct().collect()}
 
+    folder = Folder(spark, path)
+    for values in named(due) - named(kept):
+        folder.remove("/".join(f"{name}={value}" for name, value in zip(partitions, values)))
 
-def _touched(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows of the hours a batch holds: one row an hour is sent to the scan, which prunes its partitions."""
-    return table.join(F.broadcast(batch.select(*HOUR_PARTS).distinct()), list(HOUR_PARTS), "left_semi")
+
+def require_none(bad: DataFrame, message: str) -> None:
+    """Raise if a check found anything (reads at most one row)."""
+    first = bad.limit(1).collect()
+    if first:
+        raise ValueError(f"{message}: {first[0].asDict()}")
 
 
 # -- closes and curves -------------------------------------------------------
@@ -84,10 +74,10 @@ def _touched(table: DataFrame, batch: DataFrame) -> DataFrame:
 def save_daily_close(rows: DataFrame, path: str) -> None:
     """Replace the closes of the (date, type) pairs in ``rows``; unquoted stocks are not stored."""
     with held(rows):
-        _require_none(rows.filter(clock_minute(F.col("snapshot_at")) != CLOSE), "a daily close is a 15:00 snapshot")
+        require_none(rows.filter(clock_minute(F.col("snapshot_at")) != CLOSE), "a daily close is a 15:00 snapshot")
         kept = rows.filter((F.col("rank_type") != "stock") | F.col("quote_available"))
         pairs = rows.select(*CLOSE_PARTS).distinct()
-        _require_none(pairs.join(kept.select(*CLOSE_PARTS).distinct(), list(CLOSE_PARTS), "left_anti"),
+        require_none(pairs.join(kept.select(*CLOSE_PARTS).distinct(), list(CLOSE_PARTS), "left_anti"),
                       "no eligible records")
         replace_partitions(kept, path, CLOSE_PARTS, ["code"])
 
@@ -100,32 +90,35 @@ def off_grid_points(points: DataFrame, closes: DataFrame) -> DataFrame:
 
 
 def save_board_archive(day: ArchiveDay, root: str) -> None:
-    """Replace closes and curves of the day's board types, then their coverage and the manifest."""
+    """Replace closes and curves of the day's board types, then their coverage and the manifest.
+
+    Each (date, type) of the closes is replaced as a whole: one that has no
+    points any more loses its curves, and its coverage says so.
+    """
     with held(day.closes, day.points):
-        _require_none(day.errors, "board quotes void the day")
-        _require_none(off_grid_points(day.points, day.closes), "money point does not belong")
+        require_none(day.errors, "board quotes void the day")
+        require_none(off_grid_points(day.points, day.closes), "money point does not belong")
+        spark = day.closes.sparkSession
         save_daily_close(day.closes, f"{root}/daily_close")
         replace_partitions(day.points.withColumn("money_available", F.lit(True)), f"{root}/board_money_5m", CLOSE_PARTS,
                            ["code", "snapshot_at"])
-        spark = day.closes.sparkSession
+        clear_partitions(spark, f"{root}/board_money_5m", CLOSE_PARTS, day.closes, day.points)
         dates = day.closes.select("trade_date").distinct()
         minutes = read_table(spark, f"{root}/minute_board")
-        seen = coverage(day.points)
         if minutes is not None:
-            fields = ["collected_minutes", "missing_minutes"]
-            work = (coverage(minutes.join(F.broadcast(dates), "trade_date", "left_semi"))
-                    .select(*CLOSE_PARTS, *[F.col(f).alias(f"_{f}") for f in fields]))
-            seen = seen.join(work, list(CLOSE_PARTS), "left").withColumns(
-                {f: F.coalesce(f"_{f}", f) for f in fields}).drop(*[f"_{f}" for f in fields])
-        replace_partitions(seen, f"{root}/coverage", CLOSE_PARTS)
+            minutes = _of_dates(minutes, dates)
+        replace_partitions(archive_coverage(day.closes, day.points, minutes), f"{root}/coverage", CLOSE_PARTS)
         refresh_manifest(spark, root, dates)
 
 
 def save_stock_archive(day: ArchiveDay, root: str) -> None:
-    """Replace closes and research rows of the day's stocks; bars and provenance of the date are dropped."""
+    """Replace closes and research rows of the day's stocks; bars and provenance of the date are dropped.
+
+    A date without eligible points is left without research rows.
+    """
     with held(day.closes, day.points):
-        _require_none(day.errors, "stock quotes void the day")
-        _require_none(off_grid_points(day.points, day.closes), "money point does not belong")
+        require_none(day.errors, "stock quotes void the day")
+        require_none(off_grid_points(day.points, day.closes), "money point does not belong")
         spark = day.closes.sparkSession
         save_daily_close(day.closes, f"{root}/daily_close")
         good, _ = eligible_only(day.points, only_quoted(day.closes))
@@ -135,6 +128,7 @@ def save_stock_archive(day: ArchiveDay, root: str) -> None:
                 "change_pct double, turnover_rate double, volume bigint, turnover bigint"
         research = merge_money_and_bars(indexed, spark.createDataFrame([], empty))
         replace_partitions(research, f"{root}/stock_research_5m", ["trade_date"], ["code", "minute_index"])
+        clear_partitions(spark, f"{root}/stock_research_5m", ["trade_date"], day.closes, research)
         dates = day.closes.select("trade_date").distinct()
         old = read_table(spark, f"{root}/bar_sources")
         if old is not None:
@@ -213,7 +207,7 @@ def save_stock_bars(bars: DataFrame, root: str, parser_version: str, run_id: str
 
 
 def refresh_manifest(spark: SparkSession, root: str, dates: DataFrame) -> None:
-    """Recompute and store the manifest rows of some dates; always the last write."""
+    """Recompute and store the completeness and manifest rows of some dates; always the last write."""
     def table(name: str, ddl: str) -> DataFrame:
         found = read_table(spark, f"{root}/{name}")
         return _of_dates(found if found is not None else spark.createDataFrame([], ddl), dates)
@@ -224,5 +218,6 @@ def refresh_manifest(spark: SparkSession, root: str, dates: DataFrame) -> None:
     sources = table("bar_sources", "trade_date date, source string, point_count bigint")
     quality = table("stock_quality", "trade_date date, expected_stocks bigint, expected_points int, "
                                      "expected_kline_stocks bigint")
+    replace_partitions(date_completeness(daily), f"{root}/completeness", ["trade_date"])
     replace_partitions(archive_manifest(daily, money, research, sources.filter(F.col("point_count") > 0), quality),
                        f"{root}/manifest", ["trade_date"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,10 @@ from pyspark.sql.types import StructType
 
 from tidemark.functions.grid import CLOSE, MINUTES, POINTS, on_five_minute_grid, on_minute_grid
 from tidemark.functions.scalars import clock_minute
-from tidemark.sources.tables import replace_partitions, save_minute_board
+from tidemark.session import held
+from tidemark.sources.folders import Folder
+from tidemark.sources.minutes import append_minute_board
+from tidemark.sources.tables import read_table, replace_partitions
 
 LATENESS = "10 minutes"
 
@@ -24,14 +28,18 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return reader.parquet(path)
 
 
+def batch_name(checkpoint: str, batch_id: int) -> str:
+    """Name of a micro-batch: streams with checkpoints of their own never share one."""
+    return f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}-{batch_id:012d}"
+
+
 def upsert_minute_boards(boards: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Writer that upserts each micro-batch.
+    """Writer that appends each micro-batch to the minute log, read by ``read_minute_board``.
 
-    The sink keys rows by (date, instant, type, code) and rewrites whole
-    minutes, so replaying a batch gives the same files.
+    A batch costs its own rows, and replaying it replaces what it wrote.
     """
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        save_minute_board(batch, path)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_minute_board(batch, path, batch_name(checkpoint, batch_id))
 
     return boards.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -103,18 +111,40 @@ def upsert_with_late_table(boards: DataFrame, path: str, late_path: str, sealed_
                            checkpoint: str) -> DataStreamWriter:
     """Like ``upsert_minute_boards``; rows of sealed dates go to a side table for the nightly overwrite.
 
-    The side table is partitioned by batch id, so a replayed batch replaces
-    its own partition.
+    Both sinks are keyed by the batch, so a batch that died between them is
+    replayed into the same folders.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        sealed = batch.sparkSession.read.parquet(sealed_path)
-        fresh, late = split_late(batch, sealed)
-        save_minute_board(fresh, path)
-        replace_partitions(late.withColumn("batch_id", F.lit(batch_id)), late_path, ["batch_id"])
+        spark, name = batch.sparkSession, batch_name(checkpoint, batch_id)
+        sealed = read_table(spark, sealed_path)
+        with held(batch):
+            fresh, late = (batch, batch.limit(0)) if sealed is None else split_late(batch, sealed)
+            append_minute_board(fresh, path, name)
+            replace_partitions(late.withColumn("batch", F.lit(name)), late_path, ["trade_date", "batch"])
 
     return boards.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def fold_late_rows(spark: SparkSession, late_path: str, path: str) -> list[str]:
+    """The nightly overwrite: late rows join the minute log under their own batches and leave the side table (eager).
+
+    Returns the dates concerned, which are to be archived and sealed again.
+    Rows are appended before they are removed, and appending them again changes
+    nothing, so a night that died is simply run again.
+    """
+    late = read_table(spark, late_path)
+    if late is None:
+        return []
+    folder = Folder(spark, late_path)
+    batches = [(d, b) for d in folder.names() if d.startswith("trade_date=") for b in folder.names(d) if b.startswith("batch=")]
+    for name in sorted({b for _, b in batches}):
+        rows = late.filter(F.col("batch") == name.split("=", 1)[1]).drop("batch")
+        append_minute_board(rows, path, f"late-{name.split('=', 1)[1]}")
+    for date, name in batches:
+        folder.remove(f"{date}/{name}")
+    return sorted({d.split("=", 1)[1] for d, _ in batches})
+
+
 def recompute_scope(index: DataFrame, changed: str, back: int, ahead: int) -> DataFrame:
     """Sealed dates a resealed date can influence: ``back`` before to ``ahead`` after it."""
     at = index.filter(F.col("trade_date") == F.lit(changed).cast("date")).agg(F.max("date_idx")).scalar()
