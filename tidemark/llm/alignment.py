@@ -1,9 +1,9 @@
 """Alignment of two tokenizers over every text, as an Arrow pipeline in tasks.
 
 A block of texts is encoded by both vocabularies.  Neither ever joins a token
-over a space that follows other than white space, so texts are cut there, the
-dictionary of distinct stretches is encoded once, and the token lists of texts
-are taken from it.  They are flattened, parent indices say which text a token is of, and a running sum of
+over a space that follows other than white space, so texts are cut there,
+a stretch is encoded when it is first met, and the token lists of texts are
+taken from theirs.  They are flattened, parent indices say which text a token is of, and a running sum of
 token bytes, taken anew for every text, gives the place where each token ends.
 A hash join of the two sets of (document, end) keys leaves the common ends,
 which cut the tokens into groups; a second hash join on the group makes the
@@ -49,8 +49,10 @@ BLOCK_BYTES = 16 << 20  # of text whose pairs are counted together
 SLICE_BYTES = 2 << 20  # of text that is encoded and aligned at once
 MOST_LINKS = 1 << 22  # made at once
 ROW = 5_000  # stretches encoded in a row
+REMEMBERED = 400_000  # stretches after which a worker begins anew
 _PAIR_BITS = 15  # of a pair's code, for the second id
 _CODE_BITS = 31  # of a pair's code
+_ID_BITS = 16  # of an id
 _END_BITS = 32  # of a key, for the place inside a document
 # A single space between other than white space: a border of pre-tokens for the one side, and one no piece spans for the other.
 _CUT = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
@@ -140,31 +142,54 @@ def _whole(ids: pa.ListArray, side: Side, wanted: Sequence[bytes]) -> np.ndarray
     return np.array([data[s:e] == w for s, e, w in zip(ends, ends[1:], wanted)], dtype=bool)
 
 
-def encoded(texts: Sequence[str], a: Side, b: Side) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
+class Stretches:
+    """Token lists of the stretches met so far, by both sides; begins anew when it holds many."""
+
+    def __init__(self, a: Side, b: Side, most: int = REMEMBERED):
+        self.sides, self.most = (a, b), most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.lists = [pa.array([], pa.list_(pa.int32()))] * 2
+        self.whole = np.zeros(0, dtype=bool)
+
+    def _add(self, kinds: list[str]) -> None:
+        # Stretches at the ends of texts may have white space there, and the sign for a space is not its own bytes.
+        kinds.sort(key=lambda k: not k or k[0].isspace() or k[-1].isspace() or "▁" in k)
+        wanted = [f" {k}".encode() for k in kinds]
+        sizes = np.fromiter(map(len, wanted), dtype=np.int64, count=len(wanted)) - 1
+        plain = sum(not (not k or k[0].isspace() or k[-1].isspace() or "▁" in k) for k in kinds)
+        lists = [pa.concat_arrays([side.ids(kinds[:plain], sizes[:plain]), side.alone(kinds[plain:])]) for side in self.sides]
+        whole = np.logical_and.reduce([_whole(ids, side, wanted) for ids, side in zip(lists, self.sides)])
+        self.places.update(zip(kinds, range(len(self.places), len(self.places) + len(kinds))))
+        self.lists = [pa.concat_arrays([old, new]) for old, new in zip(self.lists, lists)]
+        self.whole = np.concatenate([self.whole, whole])
+
+    def of(self, kinds: list[str]) -> np.ndarray:
+        """The places of different stretches."""
+        if len(self.places) > self.most:
+            self._clear()
+        new = [k for k in kinds if k not in self.places]
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.places.__getitem__, kinds), dtype=np.int64, count=len(kinds))
+
+
+def encoded(texts: Sequence[str], known: Stretches) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
     """Which texts both sides spell out, and the token lists of those."""
     parts = [_CUT.split(t) for t in texts]
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))])
     stretches = pa.array(chain.from_iterable(parts), pa.large_string(), size=int(offsets[-1])).dictionary_encode()
-    kinds = stretches.dictionary.to_pylist()
-    # Stretches at the ends of texts may have white space there, and the sign for a space is not its own bytes.
-    odd = np.fromiter((not k or k[0].isspace() or k[-1].isspace() or "▁" in k for k in kinds), dtype=bool, count=len(kinds))
-    order = np.argsort(odd, kind="stable")
-    kinds = [kinds[k] for k in order]
-    wanted = [f" {k}".encode() for k in kinds]
-    plain = len(kinds) - int(odd.sum())
-    sizes = np.fromiter(map(len, wanted), dtype=np.int64, count=len(wanted))[:plain] - 1
-    lists = [pa.concat_arrays([side.ids(kinds[:plain], sizes), side.alone(kinds[plain:])]) for side in (a, b)]
-    whole = np.logical_and.reduce([_whole(ids, side, wanted) for ids, side in zip(lists, (a, b))])
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    index = place[stretches.indices.to_numpy()]
-    bad = np.concatenate([[0], np.cumsum(~whole[index])])[offsets]
+    del parts
+    index = known.of(stretches.dictionary.to_pylist())[stretches.indices.to_numpy()]
+    bad = np.concatenate([[0], np.cumsum(~known.whole[index])])[offsets]
     good = bad[1:] == bad[:-1]
     kept = np.repeat(good, np.diff(offsets))
     taken = pa.array(index[kept])
     starts = np.concatenate([[0], np.cumsum(np.diff(offsets)[good])])
     out = []
-    for ids in lists:
+    for ids in known.lists:
         own = ids.take(taken)
         out.append(pa.ListArray.from_arrays(pa.array(own.offsets.to_numpy()[starts]), own.flatten()))
     return good, *out
@@ -204,7 +229,11 @@ def _strings(ids: pa.Array, last: pa.Array, side: Side) -> pa.Array:
 
 
 def _counted(group: pa.Array, ids: pa.Array) -> pa.Table:
-    return pa.table({"group": group, "id": ids}).group_by(["group", "id"], use_threads=False).aggregate([([], "count_all")])
+    """(group, id, count_all): how often each group has each id."""
+    key = pc.bit_wise_or(pc.shift_left(group, _ID_BITS), ids.cast(pa.int64()))
+    made = pa.table({"key": key}).group_by("key", use_threads=False).aggregate([([], "count_all")])
+    return pa.table({"group": pc.shift_right(made["key"], _ID_BITS), "id": pc.bit_wise_and(made["key"], (1 << _ID_BITS) - 1),
+                     "count_all": made["count_all"]})
 
 
 def links(first: pa.Table, second: pa.Table, doc_of: pa.Array, most: int = MOST_LINKS) -> pa.Table:
@@ -220,7 +249,7 @@ def links(first: pa.Table, second: pa.Table, doc_of: pa.Array, most: int = MOST_
         base = reach[at - 1] if at else 0
         upto = max(at + 1, int(np.searchsorted(reach, base + most, side="right")))
         met = first.slice(at, upto - at).join(second, "group", join_type="inner", right_suffix="_b", use_threads=False)
-        pair = pc.bit_wise_or(pc.shift_left(met["id"].cast(pa.int64()), _PAIR_BITS), met["id_b"].cast(pa.int64()))
+        pair = pc.bit_wise_or(pc.shift_left(met["id"], _PAIR_BITS), met["id_b"])
         doc = doc_of.take(met["group"].combine_chunks())
         rows = pa.table({"key": pc.bit_wise_or(pc.shift_left(doc, _CODE_BITS), pair), "times": pc.multiply(met["count_all"], met["count_all_b"])})
         made.append(rows.group_by("key", use_threads=False).aggregate([("times", "sum")]))
@@ -239,13 +268,13 @@ def _listed(doc: np.ndarray, values: pa.Array, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def align(texts: Sequence[str | None], a: Side, b: Side, most: int = MOST_LINKS) -> dict[str, pa.Array]:
+def align(texts: Sequence[str | None], known: Stretches, most: int = MOST_LINKS) -> dict[str, pa.Array]:
     """Columns n_a, n_b, n_groups, n_links, groups, pairs and times of some texts (``groups`` as text)."""
-    n = len(texts)
+    n, (a, b) = len(texts), known.sides
     asked = np.array([bool(t) for t in texts])
     places = np.flatnonzero(asked)
     some = [texts[i] for i in places]
-    good, ids_a, ids_b = encoded(some, a, b)
+    good, ids_a, ids_b = encoded(some, known)
     places = places[good]
     size = len(places)
     flat_a, doc_a, key_a = _ends(ids_a, a)
@@ -313,13 +342,13 @@ def aligned(docs: DataFrame, first: str | None = None, second: str | None = None
     schema = _DOCS + (", groups string" if text else "")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = read_sides(*sent.value)
+        known = remembered(*sent.value)
         part, block, held = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for start, stop in _cut(texts, slice_bytes):
                 some = texts[start:stop]
-                made = align(some, a, b)
+                made = align(some, known)
                 held += sum(map(len, filter(None, some)))
                 digests = [hashlib.sha256(g.as_py().encode()).hexdigest() if len(g.as_py()) else "" for g in made["groups"]]
                 columns = [ids.slice(start, stop - start), *[made[c] for c in ("n_a", "n_b", "n_groups", "n_links")], pa.array(digests, pa.string()),
@@ -344,6 +373,12 @@ def read_sides(first: bytes, second: bytes) -> tuple[Side, Side]:
     return a, b
 
 
+@lru_cache(maxsize=1)
+def remembered(first: bytes, second: bytes) -> Stretches:
+    """What tasks of one worker have encoded."""
+    return Stretches(*read_sides(first, second))
+
+
 def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, pair, n): documents of a batch that hold each pair."""
     for batch in batches:
