@@ -51,6 +51,7 @@ SPAN = LENGTH - GRAM + 1  # gram places in a window
 BLOCK_BYTES = 6_000_000  # text in a block of documents, and about that much in each bucket
 SHARD_BYTES = 8_000_000  # text whose runs are packed together
 PIECE = 1 << 20  # window starts handled at once
+SLICE = 1 << 17  # windows of split runs that leave at once
 MANY = 16  # different runs of one anchor in one shard, beyond which they are all checked on, window by window, without being dealt
 MANY_IN_ALL = 512  # the same for all shards together
 _PLACE = np.uint64((1 << 21) - 1)
@@ -371,46 +372,79 @@ def _texts_of(values: pd.Series) -> dict[tuple[int, int], bytes]:
     for value in values:
         ids, kinds, count, _, size, data = unpack(value)
         raw, at = data.tobytes(), 0
+        del data
         for i, k, n in zip(np.repeat(np.cumsum(ids), count).tolist(), np.repeat(kinds, count).tolist(), size.tolist()):
             out[i, k] = raw[at:at + n]
             at += n
     return out
 
 
+def _laid_out(own: dict[tuple[int, int], bytes], ids: np.ndarray, kinds: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of stretches of texts, end to end."""
+    return np.frombuffer(b"".join(own[i, k][f:f + n] for i, k, f, n in zip(ids.tolist(), kinds.tolist(), first.tolist(), size.tolist())), dtype=np.uint8)
+
+
+def _cuts(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring entries of together about ``most`` bytes."""
+    total, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
+def _least_anchors(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The anchor of each run of ``size`` bytes, from its first window; hashes are made for a stretch of runs at a time."""
+    start, out = np.cumsum(size) - size, []
+    for a, b in _cuts(size, PIECE):
+        part = data[start[a]:start[b - 1] + size[b - 1]]
+        keyed, own = gram_hashes(part)[0] & ~_PLACE, start[a:b] - start[a]
+        borders = np.stack([own, own + SPAN], axis=1).ravel()[: 2 * len(own) - (own[-1] + SPAN >= len(keyed))]
+        out.append(np.minimum.reduceat(keyed, borders)[::2])
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
 def _suffixes_dealt(buckets: int):
-    """The bytes of the runs to check, dealt by anchor, or by window where an anchor has very many runs."""
+    """The bytes of the runs to check, dealt by anchor, or by window where an anchor has very many runs.
+
+    Windows leave in slices, so what a task holds beside the runs' own bytes
+    does not grow with their number.
+    """
     nothing = pd.DataFrame({"bucket": [], "packed": []})
 
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(answers) or not len(texts):
             return nothing
-        ids, kinds, first, state, more = _entries(answers["packed"])
+        ids, kinds, first, state, more = _entries(answers.pop("packed"))
         check = np.flatnonzero((state == _CHECK) | (state == _SPLIT))
         if not len(check):
             return nothing
         ids, kinds, first, split, more = (x[check] for x in (ids, kinds, first, state == _SPLIT, more.astype(np.int64)))
-        own = _texts_of(texts["packed"])
-        data = np.frombuffer(b"".join(own[i, k][f:f + m + LENGTH] for i, k, f, m in zip(
-            ids.tolist(), kinds.tolist(), first.tolist(), more.tolist())), dtype=np.uint8)
-        size = more + LENGTH
-        start = np.cumsum(size) - size
-        short, long = gram_hashes(data)
-        keyed = (short & ~_PLACE)
-        least = np.minimum.reduceat(keyed, np.stack([start, start + SPAN], axis=1).ravel()[: 2 * len(start) - (start[-1] + SPAN >= len(keyed))])[::2]
-        bucket = ((least >> np.uint64(21)) % np.uint64(buckets)).astype(np.int64)
-        parts = [_dealt(bucket[~split], ids[~split], kinds[~split], first[~split], [np.zeros(int((~split).sum()), dtype=np.uint8), more[~split].astype(np.uint8)],
-                        data[_stretches(start[~split], size[~split])], size[~split])]
+        own = _texts_of(texts.pop("packed"))
+        parts = []
+        if not split.all():
+            i, k, f, m = (x[~split] for x in (ids, kinds, first, more))
+            data = _laid_out(own, i, k, f, m + LENGTH)
+            bucket = ((_least_anchors(data, m + LENGTH) >> np.uint64(21)) % np.uint64(buckets)).astype(np.int64)
+            parts.append(_dealt(bucket, i, k, f, [np.zeros(len(i), dtype=np.uint8), m.astype(np.uint8)], data, m + LENGTH))
         if split.any():
-            windows = _stretches(start[split], more[split] + 1)
-            run_of = np.repeat(np.flatnonzero(split), more[split] + 1)
-            at = first[run_of] + windows - start[run_of]
+            i, k, f, m = (x[split] for x in (ids, kinds, first, more))
+            data = _laid_out(own, i, k, f, m + LENGTH)
+            start = np.cumsum(m + LENGTH) - (m + LENGTH)
+            del own
+            windows = _stretches(start, m + 1)
+            run_of = np.repeat(np.arange(len(i)), m + 1)
             order, rank = suffix_array(data, windows, LENGTH)
-            copied = previous_factors(order, rank, np.unique(ids[run_of], return_inverse=True)[1])
+            copied = previous_factors(order, rank, np.unique(i[run_of], return_inverse=True)[1])
+            del order, rank
             # Later copies within the block are settled; the first ones are asked about elsewhere.
-            width = np.where(copied, 0, LENGTH)
-            bucket = (_mixed(long[windows] * _A + long[windows + 18]) % np.uint64(buckets)).astype(np.int64)
-            parts.append(_dealt(bucket, ids[run_of], kinds[run_of], at, [copied.astype(np.uint8), np.zeros(len(at), dtype=np.uint8)],
-                                data[_stretches(windows[~copied], width[~copied])], width))
+            for a in range(0, len(windows), SLICE):
+                at, of, told = windows[a:a + SLICE], run_of[a:a + SLICE], copied[a:a + SLICE]
+                long = gram_hashes(data[at[0]:at[-1] + LENGTH])[1]
+                bucket = (_mixed(long[at - at[0]] * _A + long[at - at[0] + 18]) % np.uint64(buckets)).astype(np.int64)
+                width = np.where(told, 0, LENGTH)
+                parts.append(_dealt(bucket, i[of], k[of], f[of] + at - start[of], [told.astype(np.uint8), np.zeros(len(at), dtype=np.uint8)],
+                                    data[_stretches(at[~told], width[~told])], width))
         return pd.concat(parts)
 
     return run
