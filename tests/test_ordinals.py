@@ -67,3 +67,13 @@ def test_set_digest_ignores_order_and_counts_copies(spark):
     two = set_digest(df.orderBy(F.desc("id")).repartition(3), ["g"], line).collect()
     more = set_digest(df.union(df.limit(1)), ["g"], line).collect()
     assert sorted(one) == sorted(two) and sorted(one) != sorted(more)
+
+
+def test_percentiles_come_back_by_key_in_one_join(spark):
+    rows = [(i, i % 3, None if i % 7 == 0 else i % 5, i * i % 11) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, g int, a bigint, b bigint")
+    measures = {"pa": "a", "pb": "b"}
+    want = sorted(map(tuple, ordinals.midrank_percentiles(df, ["g"], measures).collect()))
+    made = ordinals.midrank_percentiles(df, ["g"], measures, key=["id"])
+    assert made.columns == ["id", "g", "a", "b", "pa", "pb"]
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(want, key=repr)

@@ -6,6 +6,7 @@ from builders import at, day, records
 from tidemark import schemas
 from tidemark.sources.minutes import read_minute_board
 from tidemark.streaming import boards as sb
+from tidemark.streaming import sessions as ss
 
 DATE = "2026-08-14"
 
@@ -79,3 +80,34 @@ def test_latest_and_counts(spark, root):
     assert [(r.code, r.dark_money) for r in latest] == [("A", 9)]
     counts = stream_to_memory(sb.session_counts(sb.read_stream(spark, f"{root}/in", schemas.RANK_RECORD)), "counts", "complete").first()
     assert (counts.minutes_seen, counts.points_seen, counts.close_seen, counts.minutes_expected) == (3, 2, 1, 240)
+
+
+def test_session_gaps_are_told_when_the_session_is_over(spark, root):
+    ss.with_keyed_state(spark)
+    minutes = [m for m in [*range(571, 691), *range(781, 901)] if m not in (575, 700, 790)]
+    feed(boards(spark, [(m, m) for m in minutes[:100]]), f"{root}/in")
+    feed(boards(spark, [(m, m) for m in [*minutes[90:], 905, 690, 691]]), f"{root}/in")  # repeats and rows off the grid
+    feed(boards(spark, [(571, 1), (600, 2)], date="2026-08-17"), f"{root}/in")  # moves the watermark past the close
+    stream = sb.read_stream(spark, f"{root}/in", schemas.RANK_RECORD, 1)
+    made = ss.session_gaps(stream, ["rank_type"])
+    q = made.writeStream.format("memory").queryName("gaps").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(r.trade_date, r.minutes_seen, r.points_seen, r.close_seen, r.missing_minutes) for r in spark.table("gaps").collect()]
+    assert got == [(day(DATE), 238, 46, 1, [575, 790])]
+
+
+def test_latest_board_falls_back_to_the_close(spark, root):
+    ss.with_keyed_state(spark)
+
+    def rows(values, close):
+        return boards(spark, values).withColumn("is_close", F.lit(close))
+
+    schema = rows([(571, 1)], False).schema
+    feed(rows([(900, 5)], True), f"{root}/in")
+    feed(rows([(571, 7)], False), f"{root}/in")
+    feed(rows([(572, 8), (573, 9)], False), f"{root}/in")
+    feed(rows([(571, 6)], False), f"{root}/in")  # late: nothing changes
+    latest = ss.latest_boards(sb.read_stream(spark, f"{root}/in", schema, 1))
+    q = latest.writeStream.format("memory").queryName("newest").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r.dark_money, r.from_close) for r in spark.table("newest").collect()] == [(5, True), (7, False), (9, False)]

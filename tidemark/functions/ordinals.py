@@ -52,7 +52,7 @@ def running_weights(weights: DataFrame, group: Sequence[str], ordinal: str, weig
 
 
 def midrank_percentiles(df: DataFrame, group: Sequence[str], measures: dict[str, str | Column],
-                        population: DataFrame | None = None) -> DataFrame:
+                        population: DataFrame | None = None, key: Sequence[str] | None = None) -> DataFrame:
     """Mid-rank percentile ``(less + equal / 2) / n`` of BIGINT measures.
 
     ``measures`` maps an output column to the column or expression ranked
@@ -63,6 +63,10 @@ def midrank_percentiles(df: DataFrame, group: Sequence[str], measures: dict[str,
 
     ``population`` is what to count when that is cheaper to read than ``df``
     (the same rows before joins and windows); it defaults to ``df``.
+
+    With ``key``, columns unique in ``df``, only narrow rows (key, measure, value)
+    meet the counts, all measures in one join, and one row a key comes back to
+    ``df``: its full width is exchanged once instead of once a measure.
     """
     group = list(group)
     names = list(measures)
@@ -75,6 +79,14 @@ def midrank_percentiles(df: DataFrame, group: Sequence[str], measures: dict[str,
     ranked = running_weights(counts, group + ["_measure"], "_value", "_n").select(
         *group, "_measure", "_value",
         ((F.col("before").cast("double") + F.col("_n").cast("double") / 2) / F.col("total")).alias("_p"))
+    if key is not None:
+        stacked_keys = list(dict.fromkeys([*key, *group]))
+        narrow = (df if population is None else population).select(
+            *stacked_keys, F.inline(F.array(*[F.struct(F.lit(i).alias("_measure"), c.alias("_value"))
+                                              for i, c in enumerate(columns)])))
+        placed = narrow.filter(F.col("_value").isNotNull()).join(ranked, group + ["_measure", "_value"])
+        back = placed.groupBy(*key).agg(*[F.max(F.when(F.col("_measure") == i, F.col("_p"))).alias(n) for i, n in enumerate(names)])
+        return df.join(back, list(key), "left").select(*df.columns, *names)
     # One column per measure, so that all joins below share the same upstream exchanges.
     wide = ranked.groupBy(*group, "_value").agg(
         *[F.max(F.when(F.col("_measure") == i, F.col("_p"))).alias(n) for i, n in enumerate(names)])

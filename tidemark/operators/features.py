@@ -32,13 +32,13 @@ def usable(daily: DataFrame) -> DataFrame:
 
 def cross_section_percentiles(daily: DataFrame, group: Sequence[str] = ("trade_date", "rank_type"),
                               measures: dict[str, str | Column] | None = None,
-                              population: DataFrame | None = None) -> DataFrame:
-    """Mid-rank percentiles of rank (best high), turnover and dark money."""
+                              population: DataFrame | None = None, key: Sequence[str] | None = None) -> DataFrame:
+    """Mid-rank percentiles of rank (best high), turnover and dark money; ``key`` as in ``midrank_percentiles``."""
     return midrank_percentiles(daily, group, measures or {
         "rank_percentile": -F.col("rank"),
         "turnover_percentile": F.col("turnover"),
         "dark_money_percentile": F.col("dark_money"),
-    }, population)
+    }, population, key)
 
 
 # -- time series per key -----------------------------------------------------
@@ -230,7 +230,7 @@ def daily_features(daily: DataFrame, points: DataFrame, industries: DataFrame |
         joined = joined.join(held, ["trade_date", "rank_type", "code"], "left").fillna({"primary_industry_code": ""})
     # Counted on the rows before any window or join; only the look-back slice is cut off.
     counted = rows if first is None else rows.filter(F.col("trade_date") >= F.lit(first).cast("date"))
-    return cross_section_percentiles(joined, population=counted).select(*FEATURE_COLUMNS)
+    return cross_section_percentiles(joined, population=counted, key=["trade_date", *KEY]).select(*FEATURE_COLUMNS)
 
 
 def read_features(features: DataFrame, trade_date: str | None = None, revisions: DataFrame | None = None,

@@ -142,13 +142,49 @@ def primary_industry(baseline: DataFrame, changes: DataFrame, as_of: str) -> Dat
                                              .alias("industry_code")))
 
 
-def primary_industry_by_date(baseline: DataFrame, changes: DataFrame, index: DataFrame) -> DataFrame:
-    """(trade_date, stock_code, industry_code) for all sealed dates in one plan."""
+def primary_industry_spans(baseline: DataFrame, changes: DataFrame) -> DataFrame:
+    """(stock_code, industry_code, valid_from, valid_to): the primary industry of each stock between its own boundaries.
+
+    The days on which an industry of a stock begins or ends cut its time; in
+    each piece the lowest active (order, code) leads.  Work follows a stock's own
+    events, not the calendar, and neighbouring pieces of one industry are one.
+    """
     industry = F.col("board_type") == "industry"
-    spans = membership_intervals(baseline.filter(industry), changes.filter(industry),
-                                 ["stock_code", "board_code"], ["source_order"])
-    return (members_by_date(spans, index).groupBy("trade_date", "stock_code")
-            .agg(F.min(F.struct("source_order", "board_code"))["board_code"].alias("industry_code")))
+    spans = membership_intervals(baseline.filter(industry), changes.filter(industry), ["stock_code", "board_code"], ["source_order"])
+    own = Window.partitionBy("stock_code").orderBy("valid_from")
+    cuts = (spans.select("stock_code", F.explode(F.array("valid_from", "valid_to")).alias("valid_from"))
+            .filter(F.col("valid_from").isNotNull()).distinct().withColumn("valid_to", F.lead("valid_from").over(own)))
+    held = spans.select("stock_code", "source_order", "board_code", F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"))
+    active = (F.col("_from") <= F.col("valid_from")) & (F.col("_to").isNull() | (F.col("_to") > F.col("valid_from")))
+    pieces = cuts.join(held, "stock_code").filter(active).groupBy("stock_code", "valid_from").agg(
+        F.max("valid_to").alias("valid_to"), F.min(F.struct("source_order", "board_code"))["board_code"].alias("industry_code"))
+    # A piece goes on with the one before if that has the same industry and ends where it begins.
+    goes_on = (F.lag("industry_code").over(own) == F.col("industry_code")) & (F.lag("valid_to").over(own) == F.col("valid_from"))
+    run = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(own)
+    last = F.max(F.struct("valid_from", "valid_to"))["valid_to"]
+    return (pieces.withColumn("_run", run).groupBy("stock_code", "industry_code", "_run")
+            .agg(F.min("valid_from").alias("valid_from"), last.alias("valid_to")).drop("_run"))
+
+
+def primary_industry_by_date(baseline: DataFrame, changes: DataFrame, index: DataFrame) -> DataFrame:
+    """(trade_date, stock_code, industry_code) for all sealed dates in one plan: a row a result, none an edge and date."""
+    return members_by_date(primary_industry_spans(baseline, changes), index).select("trade_date", "stock_code", "industry_code")
+
+
+def members_from_snapshot(snapshot: DataFrame, deltas: DataFrame, as_of: str, board_type: str | None = None) -> DataFrame:
+    """Edges in force on a date from the members of an earlier one and the changes since (see ``sources.memberships``).
+
+    ``snapshot`` has the columns of ``members_as_of``; the rows of ``deltas`` are
+    later than it.
+    """
+    since = deltas.filter(F.col("effective_date") <= F.lit(as_of).cast("date"))
+    if board_type is not None:
+        snapshot, since = (x.filter(F.col("board_type") == board_type) for x in (snapshot, since))
+    columns = ["effective_date", "change_type", *RELATION_COLUMNS]
+    events = snapshot.withColumn("change_type", F.lit("added")).select(*columns).unionByName(since.select(*columns))
+    carried = [c for c in RELATION_COLUMNS if c not in EDGE]
+    return (_last_events(events, EDGE, carried).filter(F.col("change_type") == "added")
+            .select(*RELATION_COLUMNS, "effective_date"))
 
 
 def snapshot_diff(previous: DataFrame, scan: DataFrame, keys: Sequence[str] = EDGE) -> DataFrame:

@@ -8,6 +8,7 @@ from tidemark.plans import (  # noqa: F401
     ingest_queries,
     membership_queries,
     screen_queries,
+    sealed_queries,
     store_queries,
     view_queries,
 )

@@ -103,8 +103,8 @@ def sealed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(date_index(table(spark, sf_dir, "events").select(F.to_date("ts").alias("trade_date"))))
 
 
-def money_points(spark: SparkSession, sf_dir: str, boards_only: bool = False) -> DataFrame:
-    """Cumulative half-hour money per entity and day, 48 points where the code's last letter says so.
+def money_points(spark: SparkSession, sf_dir: str, boards_only: bool = False, all_whole: bool = False) -> DataFrame:
+    """Cumulative half-hour money per entity and day, 48 points where the code's last letter says so (or everywhere).
 
     Filled from 0 to 47 by position, so a key's window holds 48 rows.
     """
@@ -120,7 +120,7 @@ def money_points(spark: SparkSession, sf_dir: str, boards_only: bool = False) ->
         F.struct("bucket", F.struct("_dark", "_regular")))).alias("_seen"))
     last = F.ascii(F.right("code", F.lit(1))) % 4
     whole = F.when(F.col("rank_type") == "stock", last == 0).otherwise(last != 3)
-    wanted = F.when(whole, F.sequence(F.lit(0), F.lit(BUCKETS - 1))).otherwise(F.map_keys("_seen"))
+    wanted = F.when(F.lit(True) if all_whole else whole, F.sequence(F.lit(0), F.lit(BUCKETS - 1))).otherwise(F.map_keys("_seen"))
     grid = seen.select(*keys, F.explode(wanted).alias("minute_index"), "_seen").withColumn(
         "_move", F.try_element_at("_seen", F.col("minute_index")))
     w = Window.partitionBy("trade_date", "rank_type", "market", "code").orderBy("minute_index")
@@ -179,6 +179,39 @@ def session_minutes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return minutes, official
 
 
+def stock_minutes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """241 cumulative minute rows per stock and day, and official daily rows: (minutes, daily).
+
+    A minute without events repeats the last price, before the first event the
+    first one.  On every third day of the month the official high of some
+    stocks does not fit their minutes.
+    """
+    grid = F.concat(F.array(F.lit(OPENING)), grid_array(1))
+    keys = ["trade_date", "market", "code"]
+    user = F.col("user_id")
+    placed = events(spark, sf_dir).select(
+        "trade_date", stock_market(user).alias("market"), stock_code(user).alias("code"), "event_id", "value", "cents",
+        F.get(grid, F.pmod(F.col("event_id"), F.lit(241)).cast("int")).alias("minute"))
+    seen = placed.groupBy(*keys, "minute").agg(
+        F.min_by("value", "event_id").alias("o"), F.max_by("value", "event_id").alias("c"), F.max("value").alias("h"),
+        F.min("value").alias("l"), F.count(F.lit(1)).alias("v"), F.sum("cents").alias("t"))
+    day = seen.groupBy(*keys).agg(
+        F.min_by("o", "minute").alias("open_price"), F.max("h").alias("high_price"), F.min("l").alias("low_price"),
+        F.max_by("c", "minute").alias("close_price"), F.sum("v").alias("volume"))
+    lines = day.select(*keys, F.col("open_price").alias("_first"), F.explode(grid).alias("minute"))
+    w = Window.partitionBy(*keys).orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.coalesce(F.last("c", ignorenulls=True).over(w), F.col("_first"))
+    minutes = lines.join(seen, keys + ["minute"], "left").select(
+        *keys, "minute", F.coalesce("o", last).alias("open_price"), F.coalesce("c", last).alias("close_price"),
+        F.coalesce("h", last).alias("high_price"), F.coalesce("l", last).alias("low_price"),
+        F.sum(F.coalesce("v", F.lit(0))).over(w).alias("cumulative_volume"),
+        F.sum(F.coalesce("t", F.lit(0))).over(w).alias("cumulative_turnover"))
+    odd = (F.day("trade_date") % 3 == 0) & (F.col("code").cast("bigint") % 7 == 0)
+    official = day.withColumns({"high_price": F.when(odd, F.col("high_price") + 1).otherwise(F.col("high_price")),
+                                "previous_close": F.col("open_price"), "turnover_rate": F.col("volume") / 1000})
+    return minutes, official
+
+
 # -- membership --------------------------------------------------------------
 
 def membership_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

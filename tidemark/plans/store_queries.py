@@ -19,7 +19,9 @@ from tidemark.session import checkpoint_dir, stored
 from tidemark.sources import exports as ex
 from tidemark.sources import minutes as mn
 from tidemark.sources import tables as tb
+from tidemark.sources.memberships import Memberships
 from tidemark.streaming import boards as sb
+from tidemark.streaming import sessions as ss
 
 
 def _folder(spark: SparkSession) -> str:
@@ -159,3 +161,67 @@ FROM ev GROUP BY 1, 2, event_type, time_bucket(INTERVAL 5 MINUTE, ts - INTERVAL
 def stream_five_minute_samples(spark, sf):
     samples = sb.five_minute_samples(_event_stream(spark, sf), ["code"], ["cents"], "ts")
     return _run_to_files(samples, _folder(spark), "samples").select("code", instant("bucket_start"), "cents")
+
+
+@query("stream_session_gaps", "ev", """, m AS (SELECT DISTINCT 'BK'||event_type AS code, d, hour(ts)*60+minute(ts) AS mi FROM ev), g AS (SELECT * FROM m WHERE mi BETWEEN 571 AND 690 OR mi BETWEEN 781 AND 900)
+SELECT code, CAST(d AS VARCHAR) AS trade_date, count(*)::INTEGER AS minutes_seen, (240-count(*))::INTEGER AS missing, count(*) FILTER (mi%5=0)::INTEGER AS points_seen, count(*) FILTER (mi=900)::INTEGER AS close_seen
+FROM g WHERE d+INTERVAL 15 HOUR<=(SELECT max(ts)-INTERVAL 10 MINUTE FROM ev) GROUP BY code, d""")
+def stream_session_gaps(spark, sf):
+    """Sessions that the watermark has passed, as their timers report them."""
+    boards = _event_stream(ss.with_keyed_state(spark), sf)
+    made = _run_to_files(ss.session_gaps(boards, ["code"], at="ts"), _folder(spark), "gaps")
+    return made.select("code", text("trade_date"), "minutes_seen", F.size("missing_minutes").alias("missing"), "points_seen", "close_seen")
+
+
+@query("stream_latest_boards", "ev", """
+SELECT 'BK'||event_type AS code, coalesce(arg_max(cents, row(ts, cents)) FILTER (NOT shut), arg_max(cents, row(ts, cents))) AS dark_money, bool_and(shut) AS from_close
+FROM (SELECT *, event_type='error' OR event_id%50=0 AS shut FROM ev) GROUP BY event_type""")
+def stream_latest_boards(spark, sf):
+    """The newest minute row of every board, or its newest close where it has none."""
+    folder = _folder(spark)
+    boards = _event_stream(ss.with_keyed_state(spark), sf).withColumn("is_close", (F.col("code") == "BKerror") | (F.col("event_id") % 50 == 0))
+    latest = ss.latest_boards(boards, ["code"], "cents", "ts")
+
+    def keep(batch, batch_id):
+        tb.replace_partitions(batch.withColumn("batch", F.lit(batch_id)), f"{folder}/latest", ["batch"])
+
+    latest.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/latest").groupBy("code").agg(
+        F.max_by("cents", "batch").alias("dark_money"), F.max_by("from_close", "batch").alias("from_close"))
+
+
+@query("stream_late_rows", "ev", """, n AS (SELECT d, count(*) AS n FROM (SELECT DISTINCT d, date_trunc('minute',ts) AS m, event_type FROM ev) GROUP BY d)
+SELECT CAST(d AS VARCHAR) AS trade_date, CASE WHEN day(d)%3=0 THEN 0 ELSE n END AS in_time, CASE WHEN day(d)%3=0 THEN n ELSE 0 END AS late, n AS after_fold FROM n""")
+def stream_late_rows(spark, sf):
+    """Rows of sealed dates go to the side table, and into the log by the nightly fold."""
+    folder = _folder(spark)
+    st.sealed_dates(spark, sf).select("trade_date").filter(F.day("trade_date") % 3 == 0).write.parquet(f"{folder}/sealed")
+    boards = _event_stream(spark, sf).select(
+        "trade_date", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("snapshot_at"), "rank_type", "code",
+        F.col("cents").alias("dark_money"), F.col("event_id").alias("fetched_at"))
+    sb.upsert_with_late_table(boards, f"{folder}/board", f"{folder}/late", f"{folder}/sealed", f"{folder}/state").trigger(
+        availableNow=True).start().awaitTermination()
+
+    def counted(rows, out):
+        return rows.groupBy("trade_date").agg(F.count(F.lit(1)).alias(out))
+
+    before = stored(counted(mn.read_minute_board(spark, f"{folder}/board"), "in_time"))
+    aside = stored(counted(mn.newest(spark.read.parquet(f"{folder}/late").drop("batch")), "late"))
+    sb.fold_late_rows(spark, f"{folder}/late", f"{folder}/board")
+    after = counted(mn.read_minute_board(spark, f"{folder}/board"), "after_fold")
+    return after.join(before, "trade_date", "left").join(aside, "trade_date", "left").fillna(0).select(text("trade_date"), "in_time", "late", "after_fold")
+
+
+@query("members_from_snapshots", "scans", """
+SELECT DISTINCT CAST(d AS VARCHAR) AS as_of, stock_code, board_code FROM scans WHERE d IN (DATE '2024-01-06', DATE '2024-01-14', DATE '2024-01-26')""")
+def members_from_snapshots(spark, sf):
+    """Members on three dates, each from the last weekly snapshot and the changes since."""
+    baseline, changes = (x.withColumn("detected_at", F.col("detected_at").cast("timestamp")) for x in st.membership_tables(spark, sf))
+    store = Memberships(spark, _folder(spark))
+    store.save_baseline(baseline)
+    store.save_changes(changes)
+    for day in ("2024-01-08", "2024-01-15", "2024-01-22"):
+        store.snapshot(day)
+    made = [store.read(d).select(F.lit(d).alias("as_of"), "stock_code", "board_code") for d in ("2024-01-06", "2024-01-14", "2024-01-26")]
+    return made[0].unionByName(made[1]).unionByName(made[2])

@@ -143,6 +143,15 @@ def _of_dates(table: DataFrame, dates: DataFrame) -> DataFrame:
     return table.join(F.broadcast(dates), "trade_date", "left_semi")
 
 
+def stored_curves(spark: SparkSession, root: str) -> DataFrame:
+    """Dark money of every archived curve by position, boards and stocks alike."""
+    fields = ["trade_date", "rank_type", "market", "code", "minute_index", "dark_money"]
+    at = point_index(clock_minute(F.col("snapshot_at")))
+    boards = spark.read.parquet(f"{root}/board_money_5m").withColumn("minute_index", at)
+    stocks = spark.read.parquet(f"{root}/stock_research_5m").filter("money_available").withColumn("rank_type", F.lit("stock"))
+    return boards.select(fields).unionByName(stocks.select(fields))
+
+
 # -- bars --------------------------------------------------------------------
 
 def check_stock_bars(bars: DataFrame, daily: DataFrame) -> tuple[DataFrame, DataFrame]:
