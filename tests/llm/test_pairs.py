@@ -212,6 +212,20 @@ def test_neighbours_are_never_too_few(spark, n, sizes):
     assert (found.groupby("query_id").size() == min(20, n - 1)).all() and found["query_id"].nunique() == n
 
 
+def test_ties_go_to_the_smaller_id():
+    rng = np.random.default_rng(8)
+    for trial in range(20):
+        vectors = np.unique(rng.integers(-1, 2, (400, 6)), axis=0).astype(float)
+        vectors = np.concatenate([vectors, vectors[:40]])
+        ids = rng.permutation(len(vectors))
+        table = pd.DataFrame({"id": ids, "vector": list(vectors)})
+        got = ann._ranked(21)(table.iloc[:30], table)
+        for query, found, scores in zip(got["query"], got["ids"], got["scores"]):
+            q = vectors[np.flatnonzero(ids == query)[0]]
+            want = sorted((-float(q @ v), int(i)) for i, v in zip(ids, vectors))[:21]
+            assert [int(i) for i in found] == [i for _, i in want] and np.allclose(scores, [-s for s, _ in want])
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))

@@ -49,7 +49,7 @@ PART, SCANNED = 4_000, 4_000
 BLOCK = 2_000  # queries ranked against a part at once
 BAND = 1.2
 ROUNDS, SEED = 3, 20_11
-_SPARE = 4  # vectors ranked beyond those asked for before the exact scores are taken
+_ROUNDING = 1e-10  # by which, as a share of both lengths, a rough score may be off
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -138,14 +138,17 @@ def _ranked(most: int):
                 return m
 
             c, ids = matrix(vectors["vector"]), vectors["id"].to_numpy()
+            longest = np.sqrt((c * c).sum(axis=1)).max()
             for at in range(0, len(queries), 500):
                 rows = queries.iloc[at:at + 500]
                 q = matrix(rows["vector"])
                 rough = q @ c.T
-                take = min(most + _SPARE, len(ids))
-                top = np.argpartition(-rough, take - 1, axis=1)[:, :take]
+                take = min(most, len(ids))
+                # All that may tie with the last place, whatever the order of a rough sum did to them.
+                least = np.partition(rough, len(ids) - take, axis=1)[:, len(ids) - take]
+                least -= _ROUNDING * np.sqrt((q * q).sum(axis=1)) * longest
                 for k, query in enumerate(rows["id"]):
-                    near = top[k]
+                    near = np.flatnonzero(rough[k] >= least[k])
                     exact = (q[k] * c[near]).sum(axis=1)  # the same sum wherever the vector stands
                     best = _best(ids[near], exact, most)
                     out.append((query, ids[near][best], exact[best]))
