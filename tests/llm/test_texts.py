@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -194,3 +195,24 @@ def test_pages_query(spark):
                                   "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS made")
     got = sorted(((r["page_id"], r["text"][:4], r["n_chars"]) for r in html_extract.extract(pages).collect()), key=repr)
     assert got == sorted([(1, "é, x", 4), (1, "é, x", 4), (2, "", 0), (None, "word", 249999)], key=repr)
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 60_000 + "text, more text here" + "</div>" * 60_000,
+    "".join(f"<div>word {i}, more" for i in range(50_000)),
+    "<p>Some text, here.</p>" + "<a " * 330_000,
+    "<span>" * 100_000 + "<p>x" * 50_000 + "</section>" * 20_000,
+    "<div>" * 100_000 + "</section>" * 50_000,
+    "<p>Some text, here.</p><!-- " + "<b>" * 330_000,
+])
+def test_odd_pages_of_a_megabyte_take_linear_time(page):
+    start = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - start < 20
+
+
+def test_points_reach_all_levels():
+    deep = "<div>" * 200 + "<p>Some text, that is long enough to be an article, with commas, here.</p>" * 3 + "</div>" * 200
+    assert html_extract.main_text(deep).count("Some text") == 3
+    assert html_extract.main_text("<p>Text, here and there.</p> tail <!-- gone <p>gone</p>") == "Text, here and there. tail"
+    assert html_extract.main_text("<p>Text, here and there.</p><p>a < b and <a ") .endswith("a < b and <a")

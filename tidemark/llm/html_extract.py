@@ -21,6 +21,7 @@ the common cases; deep nesting costs no recursion; repeated rows give equal rows
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,7 @@ HEAD_NAMES = frozenset(("header", "head"))
 MAIN_NAMES = frozenset("article body content entry main page post story text".split())
 START = {"article": 25.0, "main": 25.0, "div": 5.0, "section": 3.0, "td": 3.0, "pre": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 NAMED, SIBLING_SHARE, LEAST_SIBLING = 25.0, 0.2, 10.0
+FAR = 64  # levels up from which on a block's points lose no more weight, and are passed on together
 RUNNING_TEXT, FEW_LINKS, MOST_LINKS, MENU_LINKS = 80, 0.25, 0.5, 3
 
 
@@ -64,17 +66,19 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.out, self.named = ["#page"], [-1], [False], [0.0]
         self.blocks: list[list] = []  # [element, [pieces], characters in links]
-        self._open = [0]
+        self._open, self._holders = [0], [0]  # open elements, and the block each of them stands in
+        self._opened = Counter()  # open elements by name, so that looking for one that is not there costs nothing
         self._links = 0
         self._fresh = True
-        at = 0
-        size = len(html)
+        at, size = 0, len(html)
+        last = html.rfind(">") + 1  # no tag ends after this
         while at < size:
-            found = _TAG.search(html, at)
-            end = found.start() if found else size
+            found = _TAG.search(html, at, last)
+            end = found.start() if found else html.find("<!--", max(at, last))
+            end = size if end < 0 else end
             if end > at:
                 self._text(html[at:end])
-            if not found:
+            if not found or (found[0].startswith("<!--") and not found[0].endswith("-->")):
                 break
             at = found.end()
             name = found[2] or found[5]
@@ -105,10 +109,7 @@ class Page:
                 self.blocks[-1][2] += len(text)
 
     def _holder(self) -> int:
-        for element in reversed(self._open):
-            if self.tag[element] in BLOCK or element == 0:
-                return element
-        return 0
+        return self._holders[-1]
 
     def _start(self, name: str, attributes: str) -> None:
         if name == "br":
@@ -135,14 +136,18 @@ class Page:
         self.out.append(out)
         self.named.append(NAMED if MAIN_NAMES.intersection(names) and not page_level else 0.0)
         self._open.append(len(self.tag) - 1)
+        self._holders.append(len(self.tag) - 1 if name in BLOCK else self._holders[-1])
+        self._opened[name] += 1
         if name == "a":
             self._links += 1
 
     def _within_article(self) -> bool:
-        return any(self.tag[e] in ("article", "main") for e in self._open)
+        return self._opened["article"] > 0 or self._opened["main"] > 0
 
     def _close_implied(self, name: str, by: str) -> None:
         """Close an open ``name`` that the start of ``by`` ends, unless a list, table or container stands between."""
+        if not self._opened[name]:
+            return
         for i in range(len(self._open) - 1, 0, -1):
             tag = self.tag[self._open[i]]
             if tag == name:
@@ -154,6 +159,8 @@ class Page:
     def _close(self, name: str) -> None:
         if name in BLOCK:
             self._fresh = True
+        if not self._opened[name]:
+            return
         for i in range(len(self._open) - 1, 0, -1):
             tag = self.tag[self._open[i]]
             if tag == name:
@@ -163,8 +170,10 @@ class Page:
                 return
 
     def _pop_to(self, i: int) -> None:
-        self._links -= sum(self.tag[e] == "a" for e in self._open[i:])
-        del self._open[i:]
+        gone = [self.tag[e] for e in self._open[i:]]
+        self._links -= gone.count("a")
+        self._opened.subtract(gone)
+        del self._open[i:], self._holders[i:]
 
 
 def main_blocks(html: str | None) -> list[str]:
@@ -179,23 +188,31 @@ def main_blocks(html: str | None) -> list[str]:
     count = len(page.tag)
     chars, linked, links = [0] * count, [0] * count, [0] * count
     score = [START.get(tag, 0.0) + named for tag, named in zip(page.tag, page.named)]
-    touched = [False] * count
+    touched, far = [False] * count, [0.0] * count
     for holder, text, in_links in blocks:
         chars[holder] += len(text)
         linked[holder] += in_links
         points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - in_links / len(text))
         element = page.parent[holder] if page.tag[holder] in PARAGRAPHS and holder else holder
         level = 0
-        while element >= 0:
+        while element >= 0 and level < FAR:
             score[element] += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             touched[element] = True
             element = page.parent[element]
             level += 1
+        if element >= 0:
+            far[element] += points
+            touched[element] = True
     for element in range(count - 1, 0, -1):  # children come after their parents
         above = page.parent[element]
+        if far[element]:
+            score[element] += far[element] / (3 * FAR)
+            far[above] += far[element]
+            touched[above] = True
         chars[above] += chars[element]
         linked[above] += linked[element]
         links[above] += links[element] + (page.tag[element] == "a")
+    score[0] += far[0] / (3 * FAR)
     density = [b / a if a else 0.0 for a, b in zip(chars, linked)]
     dropped = list(page.out)
     for element in range(1, count):
