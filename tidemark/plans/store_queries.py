@@ -52,15 +52,15 @@ def save_minute_board(spark, sf):
 @query("fold_minute_board", "ev", """
 SELECT CAST(date_trunc('minute',ts) AS VARCHAR) AS snapshot_at, 'BK'||event_type AS code, arg_max(cents,event_id) AS dark_money FROM ev GROUP BY date_trunc('minute',ts), event_type""")
 def fold_minute_board(spark, sf):
-    """Every fourth minute in a batch, one batch replayed, closed hours folded between and after: nothing is lost."""
+    """Even and odd minutes in batches, one batch replayed, closed hours folded between and after: nothing is lost."""
     path, rows = _folder(spark), stored(_minute_rows(spark, sf))
     older = rows.withColumns({"dark_money": F.col("first_money"), "fetched_at": F.col("first_id")})
     closed = dt.datetime(2024, 1, 16)
-    for k in range(4):
-        part = F.minute("snapshot_at") % 4 == k
+    for k in range(2):
+        part = F.minute("snapshot_at") % 2 == k
         mn.append_minute_board(rows.filter(part).drop("first_money", "first_id"), path, f"b{k}")
         mn.append_minute_board(older.filter(part).drop("first_money", "first_id"), path, f"b{k}-older")
-        if k == 1:
+        if k == 0:
             mn.fold_minute_board(spark, path, closed)
             mn.append_minute_board(rows.filter(part).drop("first_money", "first_id"), path, f"b{k}")
     mn.fold_minute_board(spark, path, closed)
