@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -32,6 +35,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def give_back() -> None:
+    """Return to the system what earlier work of this Python worker freed.
+
+    Workers serve one stage after another, and allocators keep what was freed
+    beside the executor's heap; a stage that needs much memory starts with this.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of some C libraries only
+    if trim is not None:
+        trim(0)
+
+
 def on_text(spark: SparkSession, make: Callable[[], Callable[[str | None], object]], kind: str) -> Callable[[Column], Column]:
     """A column function from text to ``kind``, run on Arrow batches (a dict per text for several fields).
 

@@ -43,14 +43,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship, tables
+from tidemark.llm.common import give_back, ship, tables
 from tidemark.session import stored
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # gram places in a window
 BLOCK_BYTES = 6_000_000  # text in a block of documents, and about that much in each bucket
 SHARD_BYTES = 8_000_000  # text whose runs are packed together
-PIECE = 1 << 20  # window starts handled at once
+PIECE = 1 << 18  # window starts handled at once
 SLICE = 1 << 17  # windows of split runs that leave at once
 MANY = 16  # different runs of one anchor in one shard, beyond which they are all checked on, window by window, without being dealt
 MANY_IN_ALL = 512  # the same for all shards together
@@ -304,6 +304,7 @@ def _shard_entries(ids: np.ndarray, kinds: np.ndarray, texts: list[bytes]) -> li
 
 def _runs_dealt(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         ids, kinds, texts, size = [], [], [], 0
 
         def flush() -> pd.DataFrame:
@@ -331,7 +332,8 @@ def _runs_dealt(buckets: int):
 
 def _runs_settled(blocks: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, kinds, first, state, *hashes, more = _entries(group["packed"])
+        give_back()
+        ids, kinds, first, state, *hashes, more = _entries(group.pop("packed"))
         state, anchor, run_hash = state.copy(), _wide(hashes[:4]), _wide(hashes[4:])
         open_ = np.flatnonzero((state == _DEALT) | (state == _MARK))
         order = open_[np.lexsort((ids[open_], run_hash[open_], anchor[open_]))]
@@ -415,6 +417,7 @@ def _suffixes_dealt(buckets: int):
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(answers) or not len(texts):
             return nothing
+        give_back()
         ids, kinds, first, state, more = _entries(answers.pop("packed"))
         check = np.flatnonzero((state == _CHECK) | (state == _SPLIT))
         if not len(check):
@@ -452,7 +455,8 @@ def _suffixes_dealt(buckets: int):
 
 def _suffixes_settled(blocks: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, kinds, first, copied, more, data = _entries(group["packed"])
+        give_back()
+        ids, kinds, first, copied, more, data = _entries(group.pop("packed"))
         asked = np.flatnonzero(copied == 0)
         count = more[asked].astype(np.int64) + 1
         start = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
@@ -494,11 +498,12 @@ def _texts_finished(text_too: bool):
     names = ["id", "kind", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * text_too
 
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         rows = []
-        own = _texts_of(texts["packed"]) if len(texts) else {}
+        own = _texts_of(texts.pop("packed")) if len(texts) else {}
         found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         if len(answers):
-            ids, kinds, first, state, more = _entries(answers["packed"])
+            ids, kinds, first, state, more = _entries(answers.pop("packed"))
             keep = np.flatnonzero(state == _COPY)
             order = keep[np.lexsort((kinds[keep], ids[keep]))]
             ids, kinds, first, more = ids[order], kinds[order], first[order].astype(np.int64), more[order]
