@@ -78,9 +78,13 @@ def stream_bars(ticks: DataFrame, keys: Sequence[str], price: str, volume: str,
 
 
 def latest_board(boards: DataFrame, keys: Sequence[str] = ("rank_type", "code"), at: str = "snapshot_at") -> DataFrame:
-    """Latest row per key; as a stream an update-mode aggregate with one row of state per key."""
+    """Latest row per key; as a stream an update-mode aggregate with one row of state per key.
+
+    The columns share one order, so all come from the same row; numbers are hashed, not sorted, and
+    columns that nobody asks for are not read.
+    """
     rest = [c for c in boards.columns if c not in keys]
-    return (boards.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("_r")).select(*keys, "_r.*"))
+    return boards.groupBy(*keys).agg(*[F.max_by(c, at).alias(c) for c in rest])
 
 
 def session_counts(boards: DataFrame, keys: Sequence[str] = ("trade_date", "rank_type"),
