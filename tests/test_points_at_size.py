@@ -2,6 +2,8 @@
 
 from tidemark.operators.bars import archive_bars
 from tidemark.operators.enrich import eligible_only, merge_money_and_bars
+from tidemark.operators import quality as qu
+from tidemark.plans import sealed_queries as sq
 from tidemark.plans import standin as st
 from tidemark.sources.tables import with_bars
 from tidemark.sources.ticks import parse_money_ticks
@@ -56,3 +58,18 @@ def test_points_of_bars_are_not_broadcast(spark):
     bars = st.stock_bars(spark, SF)
     money = st.money_points(spark, SF).filter("rank_type = 'stock'").selectExpr("*", "0 AS rank")
     assert "BroadcastHashJoin" not in plan(with_bars(merge_money_and_bars(money, bars), bars))
+
+
+def test_points_of_a_digest_stay_where_they_are(spark):
+    """No exchange between a curve's window and its semi-join: what has a row a point is not dealt again."""
+    text = plan(sq._five_tables(spark, SF)["stock_research_5m"])
+    assert "Exchange" not in text[:text.index("Window [")]
+
+
+def test_leaves_of_unchanged_tables_are_taken_over(spark):
+    rows = spark.sql("SELECT DATE'2024-01-02' AS trade_date, 'c' AS code, id AS v FROM range(100)")
+    left = qu.content_leaves({"one": rows, "two": rows})
+    changed = rows.filter("v <> 7")
+    taken, anew = qu.replaced_leaves(left, {"two": changed}), qu.content_leaves({"one": rows, "two": changed})
+    assert qu.content_differences(taken, anew).count() == 0
+    assert {r["table"] for r in qu.content_differences(left, taken).collect()} == {"two"}
