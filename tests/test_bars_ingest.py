@@ -222,6 +222,21 @@ def test_catalog_and_constituents(spark):
     assert rows(bad, "board_code", "reason") == [("BK2", "incomplete")]
 
 
+def test_rejected_boards_take_one_hashed_pass(spark):
+    listed = quote_pages(spark, [quote_body([quote("S1"), quote("S1"), quote("S2")], 3)], board_code="BK1")
+    for code, body in (("BK2", quote_body([quote("S1")], 2)), ("BK3", quote_body([], 0)), ("BK4", quote_body([quote("")], 1)),
+                       ("BK5", quote_body([quote("S1"), quote("S1"), quote("S3")], 2))):
+        listed = listed.unionByName(quote_pages(spark, [body], board_code=code))
+    boards = spark.createDataFrame([("BK1", "n", "concept", 1), ("BK1", "n", "industry", 1)], "board_code string, board_name string, board_type string, source_rank int")
+    bad = qt.constituent_errors(listed.persist(), boards)
+    text = bad._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and text.count("Generate posexplode") == 1
+    want = [("BK2", "incomplete", 2, 1), ("BK3", "no_data", 0, 0), ("BK4", "empty_code", 1, 1), ("BK5", "unknown_board", 0, 2)]
+    assert sorted(rows(bad, "board_code", "reason", "expected", "found")) == want
+    _, same = qt.parse_board_constituents(listed, boards, "feed", "list", F.current_timestamp())
+    assert sorted(rows(same, "board_code", "reason", "expected", "found")) == want
+
+
 def test_calendar_file(spark):
     from tidemark import schemas
 

@@ -237,8 +237,7 @@ def unknown_boards(spark, sf):
     boards = st.table(spark, sf, "supplier").filter("s_acctbal >= 5000").select(
         F.concat(F.lit("BK"), F.col("s_suppkey").cast("string")).alias("board_code"), F.col("s_name").alias("board_name"),
         F.lit("concept").alias("board_type"), F.col("s_suppkey").alias("source_rank"))
-    _, errors = qt.parse_board_constituents(_constituent_pages(spark, sf), boards, "feed", "list",
-                                            F.lit("2024-01-17 16:00:00").cast("timestamp_ntz"))
+    errors = qt.constituent_errors(_constituent_pages(spark, sf), boards)
     return errors.filter("reason = 'unknown_board'").select("board_code", "reason", "found")
 
 
