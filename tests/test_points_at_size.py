@@ -3,6 +3,7 @@
 from tidemark.operators.bars import archive_bars
 from tidemark.operators.enrich import eligible_only, merge_money_and_bars
 from tidemark.operators import quality as qu
+from tidemark.plans import feature_queries as fq
 from tidemark.plans import sealed_queries as sq
 from tidemark.plans import standin as st
 from tidemark.sources.tables import with_bars
@@ -73,3 +74,8 @@ def test_leaves_of_unchanged_tables_are_taken_over(spark):
     taken, anew = qu.replaced_leaves(left, {"two": changed}), qu.content_leaves({"one": rows, "two": changed})
     assert qu.content_differences(taken, anew).count() == 0
     assert {r["table"] for r in qu.content_differences(left, taken).collect()} == {"two"}
+
+
+def test_curve_arrays_are_not_joined(spark):
+    text = plan(fq.price_money_divergence(spark, SF))
+    assert "curve#" not in text[:text.index("Join")]

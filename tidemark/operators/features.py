@@ -212,14 +212,16 @@ def daily_features(daily: DataFrame, points: DataFrame, industries: DataFrame |
         "control_coefficient": control_coefficient(),
     }).drop("_turnovers", "_darks")
 
-    curves = curve_shape(day_curves(points, ["trade_date", *KEY]))
+    # A key without a whole curve gets the same values as one without points; the arrays stay behind.
+    whole = day_curves(points, ["trade_date", *KEY]).filter(F.col("curve").isNotNull())
+    curves = curve_shape(whole).withColumn("_final", F.get("curve", F.lit(LAST))).drop("curve")
     joined = series.join(curves, ["trade_date", *KEY], "left")
     no_curve = {"curve_available": False, "morning_dark_share": 0.0, "afternoon_dark_share": 0.0,
                 "late_dark_share": 0.0, "max_inflow_minute_index": -1, "max_outflow_minute_index": -1,
                 "tail_acceleration": 0, "max_dark_drawdown": 0, "intraday_reversal": False}
     joined = joined.withColumn(
-        "price_money_divergence", price_money_divergence(F.get("curve", F.lit(LAST)), F.col("change_pct"))
-    ).drop("curve").fillna(no_curve)
+        "price_money_divergence", price_money_divergence(F.col("_final"), F.col("change_pct"))
+    ).drop("_final").fillna(no_curve)
 
     if industries is None:
         joined = joined.withColumn("primary_industry_code", F.lit(""))

@@ -148,9 +148,10 @@ SELECT CAST(u.d AS VARCHAR) AS trade_date, u.rank_type, u.market, u.code,
   coalesce(u.change_pct<>0 AND CAST(c.c[48] AS DOUBLE)*u.change_pct<0, false) AS price_money_divergence
 FROM daily u LEFT JOIN curve c ON c.d=u.d AND c.rank_type=u.rank_type AND c.market=u.market AND c.code=u.code""")
 def price_money_divergence(spark, sf):
-    curves = ft.day_curves(st.money_points(spark, sf), ["trade_date", *KEY])
-    joined = st.daily_close(spark, sf).select("trade_date", *KEY, "change_pct").join(curves, ["trade_date", *KEY], "left")
-    return joined.select(*keys(), ft.price_money_divergence(F.get("curve", F.lit(ft.LAST)), F.col("change_pct"))
+    curves = ft.day_curves(st.money_points(spark, sf), ["trade_date", *KEY]).filter(F.col("curve").isNotNull())
+    ends = curves.select("trade_date", *KEY, F.get("curve", F.lit(ft.LAST)).alias("_final"))  # one number a key is joined, not its array
+    joined = st.daily_close(spark, sf).select("trade_date", *KEY, "change_pct").join(ends, ["trade_date", *KEY], "left")
+    return joined.select(*keys(), ft.price_money_divergence(F.col("_final"), F.col("change_pct"))
                          .alias("price_money_divergence"))
 
 
