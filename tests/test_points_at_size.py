@@ -2,10 +2,14 @@
 
 from tidemark.operators.bars import archive_bars
 from tidemark.operators.enrich import eligible_only, merge_money_and_bars
+from tidemark.operators import features as ft
+from tidemark.operators import membership as mb
 from tidemark.operators import quality as qu
 from tidemark.plans import feature_queries as fq
 from tidemark.plans import sealed_queries as sq
 from tidemark.plans import standin as st
+from tidemark.schemas import KEY
+from tidemark.session import stored
 from tidemark.sources.tables import with_bars
 from tidemark.sources.ticks import parse_money_ticks
 from tidemark.streaming.boards import latest_board
@@ -79,3 +83,34 @@ def test_leaves_of_unchanged_tables_are_taken_over(spark):
 def test_curve_arrays_are_not_joined(spark):
     text = plan(fq.price_money_divergence(spark, SF))
     assert "curve#" not in text[:text.index("Join")]
+
+
+def test_events_of_a_stock_are_dealt_once(spark):
+    """Primary industries: one exchange, by stock, and no join of a stock's days with its spans."""
+    text = plan(mb.primary_industry_spans(*st.membership_tables(spark, SF, board_type="industry")))
+    dealt = text[text.index("Window ["):]
+    assert "Join" not in dealt[:dealt.index("Union")] and dealt[:dealt.index("Union")].count("Exchange") == 1
+
+
+def test_scans_without_doubles_are_dealt_once(spark):
+    scans, index = stored(st.membership_scans(spark, SF)).select("stock_code", "board_code", "trade_date"), st.sealed_dates(spark, SF)
+    once, again = (mb.scans_to_events(scans, ["stock_code", "board_code"], "trade_date", index, unique=u) for u in (True, False))
+    assert plan(again).count("Exchange hashpartitioning") == plan(once).count("Exchange hashpartitioning") + 1
+    assert sorted(once.collect()) == sorted(again.collect()) != []
+
+
+def test_points_of_a_seal_are_not_stored(spark, monkeypatch):
+    class NoSeals:
+        def __init__(self, *_):
+            self.tables = []
+
+        def seal(self, dates, manifest, tables, build):
+            self.tables.append(tables)
+
+    kept = []
+    monkeypatch.setattr(sq, "Seals", NoSeals)
+    monkeypatch.setattr(sq, "stored", lambda df: kept.append(df) or df)
+    store = sq._resealed(spark, SF)
+    assert len(store.tables) == 2 and kept and not any("minute_index" in df.columns for df in kept)
+    curves = ft.day_curves(st.money_points(spark, SF), ["trade_date", *KEY])
+    assert "Exchange" not in (text := plan(curves))[:text.index("Window [")]  # folded where the window left them

@@ -87,16 +87,17 @@ def changes_on(changes: DataFrame, trade_date: str, board_type: str | None = Non
 
 
 def membership_intervals(baseline: DataFrame, changes: DataFrame, keys: Sequence[str] = EDGE,
-                         attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
+                         attributes: Sequence[str] = ATTRIBUTES, by: Sequence[str] = ()) -> DataFrame:
     """Validity intervals ``[valid_from, valid_to)`` of every edge; open ones end in NULL.
 
     Events are reduced to one per edge and day before the window, so a window
-    partition holds at most one row per day.
+    partition holds at most one row per day.  ``by`` names keys to deal the
+    events by once; steps that group by these and more then exchange nothing.
     """
     keys = list(keys)
     attributes = [a for a in attributes if a not in keys]
-    daily = _last_events(_events(baseline, changes).withColumn("_day", F.col("effective_date")),
-                         keys + ["_day"], attributes)
+    events = _events(baseline, changes).withColumn("_day", F.col("effective_date"))
+    daily = _last_events(events.repartition(*by) if by else events, keys + ["_day"], attributes)
     w = Window.partitionBy(*keys).orderBy("_day")
     return (daily.withColumn("valid_to", F.lead("_day").over(w))
             .filter(F.col("change_type") == "added")
@@ -148,16 +149,25 @@ def primary_industry_spans(baseline: DataFrame, changes: DataFrame) -> DataFrame
     The days on which an industry of a stock begins or ends cut its time; in
     each piece the lowest active (order, code) leads.  Work follows a stock's own
     events, not the calendar, and neighbouring pieces of one industry are one.
+    The events are dealt by stock once; every step after that stays in place.
     """
     industry = F.col("board_type") == "industry"
-    spans = membership_intervals(baseline.filter(industry), changes.filter(industry), ["stock_code", "board_code"], ["source_order"])
+    spans = membership_intervals(baseline.filter(industry), changes.filter(industry), ["stock_code", "board_code"], ["source_order"],
+                                 ["stock_code"])
     own = Window.partitionBy("stock_code").orderBy("valid_from")
-    cuts = (spans.select("stock_code", F.explode(F.array("valid_from", "valid_to")).alias("valid_from"))
-            .filter(F.col("valid_from").isNotNull()).distinct().withColumn("valid_to", F.lead("valid_from").over(own)))
-    held = spans.select("stock_code", "source_order", "board_code", F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"))
-    active = (F.col("_from") <= F.col("valid_from")) & (F.col("_to").isNull() | (F.col("_to") > F.col("valid_from")))
-    pieces = cuts.join(held, "stock_code").filter(active).groupBy("stock_code", "valid_from").agg(
-        F.max("valid_to").alias("valid_to"), F.min(F.struct("source_order", "board_code"))["board_code"].alias("industry_code"))
+    # Both ends of a span as rows, placed among the days of their stock; an open end comes last.
+    ends = spans.select("*", F.explode(F.when(F.col("valid_from").isNull(), F.array("valid_to"))
+                                       .otherwise(F.array("valid_from", "valid_to"))).alias("_at"))
+    placed = ends.withColumn("_place", F.dense_rank().over(Window.partitionBy("stock_code").orderBy(F.asc_nulls_last("_at"))))
+    span = Window.partitionBy("stock_code", "board_code", "valid_from").orderBy("_place")
+    reach = placed.withColumn("_end", F.lead("_place").over(span)).filter(F.col("_end").isNotNull() | F.col("_at").isNotNull())
+    begins = F.col("_end").isNotNull()
+    each = reach.select("stock_code", "_place", "_at", F.when(begins, F.struct("source_order", "board_code")).alias("_active"), F.explode(
+        F.when(begins, F.sequence("_place", F.col("_end") - 1)).otherwise(F.array("_place"))).alias("_piece"))
+    pieces = (each.groupBy("stock_code", "_piece")
+              .agg(F.max(F.when(F.col("_piece") == F.col("_place"), F.col("_at"))).alias("valid_from"), F.min("_active").alias("_first"))
+              .withColumn("valid_to", F.lead("valid_from").over(own)).filter(F.col("_first").isNotNull())
+              .select("stock_code", "valid_from", "valid_to", F.col("_first")["board_code"].alias("industry_code")))
     # A piece goes on with the one before if that has the same industry and ends where it begins.
     goes_on = (F.lag("industry_code").over(own) == F.col("industry_code")) & (F.lag("valid_to").over(own) == F.col("valid_from"))
     run = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(own)
@@ -197,15 +207,17 @@ def snapshot_diff(previous: DataFrame, scan: DataFrame, keys: Sequence[str] = ED
             .select(*keys, F.when(F.col("_old").isNull(), "added").otherwise("removed").alias("change_type")))
 
 
-def scans_to_events(scans: DataFrame, keys: Sequence[str], date: str, index: DataFrame) -> DataFrame:
+def scans_to_events(scans: DataFrame, keys: Sequence[str], date: str, index: DataFrame, unique: bool = False) -> DataFrame:
     """Change events between consecutive full scans of many dates at once.
 
     ``index`` maps each scan date to its position.  An edge is added where the
     previous scan lacks it and removed at the next scan that lacks it; every
     edge appears once per scan date, so its window is as long as the calendar.
+    ``unique`` says that no scan lists an edge twice, which saves an exchange.
     """
     keys = list(keys)
-    seen = scans.select(*keys, date).distinct().join(F.broadcast(index), date)
+    listed = scans.select(*keys, date)
+    seen = (listed if unique else listed.distinct()).join(F.broadcast(index), date)
     last = index.agg(F.max("date_idx")).scalar()
     w = Window.partitionBy(*keys).orderBy("date_idx")
     marked = seen.select(*keys, "date_idx", F.lag("date_idx").over(w).alias("_before"),

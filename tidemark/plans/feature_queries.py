@@ -23,7 +23,7 @@ def _series(spark, sf):
 
 
 def _industries(spark, sf, index):
-    return primary_industry_by_date(*st.membership_tables(spark, sf, index), index)
+    return primary_industry_by_date(*st.membership_tables(spark, sf, index, "industry"), index)
 
 
 @query("usable_rows", "daily", """

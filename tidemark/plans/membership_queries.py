@@ -88,7 +88,7 @@ def primary_industry_as_of(spark, sf):
 SELECT CAST(d AS VARCHAR) AS trade_date, stock_code, industry_code FROM primary_ind""")
 def primary_industry_by_date(spark, sf):
     index = st.sealed_dates(spark, sf)
-    made = mb.primary_industry_by_date(*st.membership_tables(spark, sf, index), index)
+    made = mb.primary_industry_by_date(*st.membership_tables(spark, sf, index, "industry"), index)
     return made.select(text("trade_date"), "stock_code", "industry_code")
 
 
