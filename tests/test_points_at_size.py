@@ -87,7 +87,7 @@ def test_curve_arrays_are_not_joined(spark):
 
 def test_events_of_a_stock_are_dealt_once(spark):
     """Primary industries: one exchange, by stock, and no join of a stock's days with its spans."""
-    text = plan(mb.primary_industry_spans(*st.membership_tables(spark, SF, board_type="industry")))
+    text = plan(mb.primary_industry_spans(*st.membership_tables(spark, SF)))
     dealt = text[text.index("Window ["):]
     assert "Join" not in dealt[:dealt.index("Union")] and dealt[:dealt.index("Union")].count("Exchange") == 1
 
