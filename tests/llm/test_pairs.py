@@ -226,6 +226,39 @@ def test_ties_go_to_the_smaller_id():
             assert [int(i) for i in found] == [i for _, i in want] and np.allclose(scores, [-s for s, _ in want])
 
 
+def test_a_query_is_sent_to_a_cell_once():
+    """Two functions: 24 rows a query and table, not 576, and as many rows of a bucket in the end."""
+    rng = np.random.default_rng(3)
+    batch = pd.DataFrame({"id": np.arange(2_100), "vector": list(rng.normal(size=(2_100, 64)).astype(np.float32)), "band": 0, "functions": 2})
+    made = [len(rows) for rows in ann._hashed({2: 1}, 64, 24)(iter([batch]))]
+    assert sum(made) == 24 * 2_100 and max(made) <= 50_000
+    assert sum(len(rows) for rows in ann._hashed({2: 1}, 64, None)(iter([batch]))) == 2_100
+
+
+def test_a_query_meets_the_vectors_of_its_buckets_only():
+    rng = np.random.default_rng(5)
+    vectors, axes = rng.normal(size=(300, 8)), rng.integers(0, 16, 300).astype(np.int32)
+    table = pd.DataFrame({"id": np.arange(300), "vector": list(vectors), "lows": [x.tobytes() for x in axes]})
+    asked = table.iloc[:40].assign(lows=[rng.permutation(16)[:3].astype(np.int32).tobytes() for _ in range(40)])
+    got = ann._ranked(21)(asked, table)
+    for query, ids in zip(got["query"], got["ids"]):
+        met = np.flatnonzero(np.isin(axes, np.frombuffer(asked["lows"][query], dtype=np.int32)))
+        assert list(ids) == sorted(met, key=lambda i: -float(vectors[query] @ vectors[i]))[:21]
+    assert len(got) == 40
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no test tables")
+def test_neighbour_recall_with_two_functions(spark):
+    v = np.stack(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pandas()["embedding"]).astype(float)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    found, hits = ann.search(df, df.filter("vec_id % 100 = 0"), per_bucket=0.5, scanned=0).toPandas(), 0
+    for q in range(0, len(v), 100):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(found["vec_id"][found["query_id"] == q]))
+    assert len(found) == len(v) // 5 and hits / len(found) >= 0.9
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))

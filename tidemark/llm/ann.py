@@ -16,9 +16,11 @@ all of them, in parts of vectors and blocks of queries.  So is every query for w
 the buckets gave fewer vectors than asked for, against the whole table.
 
 Equal vectors are made one first (a vector answers with its smallest ids, more
-than a result can hold are never needed), so copies cost nothing.  Buckets are
-dealt in parts of about ``PART`` vectors by a hash; queries visit every part, so no
-bucket is capped and none is a single task.  The number of functions of a band follows
+than a result can hold are never needed), so copies cost nothing.  Buckets that
+differ in the axis of the first function only are a cell.  A query goes to a cell
+once, with the axes it probes there.  Cells are dealt in parts of about ``PART``
+vectors by a hash and their queries in blocks of ``VISITS``; queries visit every
+part, so no bucket is capped and none is a single task.  The number of functions of a band follows
 its number of vectors (``per_bucket`` of them in a bucket), and the number of
 tables follows the functions.
 
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship, tables
@@ -47,6 +49,8 @@ NEAREST = 20
 TABLES, PROBES, PER_BUCKET = 6, 24, 400
 PART, SCANNED = 4_000, 4_000
 BLOCK = 2_000  # queries ranked against a part at once
+VISITS = 8_000  # of them, where they meet only their buckets of it
+CHUNK = 50_000  # rows that a task hashes at once
 BAND = 1.2
 ROUNDS, SEED = 3, 20_11
 _ROUNDING = 1e-10  # by which, as a share of both lengths, a rough score may be off
@@ -83,40 +87,49 @@ def padded(vectors: pd.Series, width: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1)[:, None]
 
 
-def probes_of(y: list[np.ndarray], probes: int) -> np.ndarray:
-    """Buckets a query visits: all combinations of the ``probes`` nearest signed axes of each function."""
-    best = []
-    for z in y:
-        both = np.concatenate([z, -z], axis=1)
-        best.append(np.argsort(-both, axis=1, kind="stable")[:, : min(probes, both.shape[1])])
-    base = 2 * y[0].shape[1]
-    out = [sum(best[f][:, pick] * base**f for f, pick in enumerate(picks))
-           for picks in itertools.product(*(range(b.shape[1]) for b in best))]
+def axes_of(z: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` nearest signed axes of each row, nearest first."""
+    both = np.concatenate([z, -z], axis=1)
+    return np.argsort(-both, axis=1, kind="stable")[:, : min(most, both.shape[1])]
+
+
+def cells_of(best: list[np.ndarray], base: int, rows: int) -> np.ndarray:
+    """Cells of each row: all combinations of its axes of the functions after the first; one cell if there are none."""
+    out = [sum((axes[:, pick] * base**f for f, (axes, pick) in enumerate(zip(best, picks))), np.zeros(rows, dtype=np.int64))
+           for picks in itertools.product(*(range(axes.shape[1]) for axes in best))]
     return np.stack(out, axis=1)
 
 
-def _hashed(counts: dict[int, int], width: int, probes: int | None):
-    """Rows (functions, band, t, bucket, id, vector): each vector in its bucket, or each query in those it probes.
+def _hashed(counts: dict[int, int], width: int, probes: int | None, bare: bool = False):
+    """Rows (functions, band, t, cell, lows, id, vector): each vector in its cell, or each query in those it probes.
 
+    A bucket is a cell and an axis of the first function, so a query is sent to
+    a cell once, with its axes there (``lows``), however many buckets it probes.
     ``counts`` has the number of tables by number of functions.  A vector has the
     functions of its band; a query is hashed once for each number of them.
+    ``bare`` rows end with the cell, to be counted.
     """
     turns = {functions: [[signs(t, f, width) for f in range(functions)] for t in range(count)] for functions, count in counts.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [(f, batch if probes else batch[batch["functions"] == f]) for f in counts]
-            for functions, rows in ((f, mine.iloc[at:at + 2_000]) for f, mine in parts for at in range(0, len(mine), 2_000)):
-                unit = padded(rows["vector"], width)
-                for t, table in enumerate(turns[functions]):
-                    buckets = probes_of([rotated(unit, turn) for turn in table], probes or 1)
-                    visits = buckets.shape[1]
-                    yield pd.DataFrame({
-                        "functions": np.full(len(rows) * visits, functions, dtype=np.int32),
-                        "band": np.repeat(rows["band"].to_numpy(dtype=np.int32), visits),
-                        "t": np.full(len(rows) * visits, t, dtype=np.int32), "bucket": buckets.ravel().astype(np.int64),
-                        "id": np.repeat(rows["id"].to_numpy(), visits),
-                        "vector": [x for x in rows["vector"] for _ in range(visits)]})
+            for functions in counts:
+                mine = batch if probes else batch[batch["functions"] == functions]
+                step = max(1, min(2_000, CHUNK // min(probes or 1, 2 * width) ** (functions - 1)))
+                for rows in (mine.iloc[at:at + step] for at in range(0, len(mine), step)):
+                    unit = padded(rows["vector"], width)
+                    for t, table in enumerate(turns[functions]):
+                        best = [axes_of(rotated(unit, turn), probes or 1) for turn in table]
+                        cells = cells_of(best[1:], 2 * width, len(rows))
+                        visits = cells.shape[1]
+                        out = {"functions": np.full(len(rows) * visits, functions, dtype=np.int32),
+                               "band": np.repeat(rows["band"].to_numpy(dtype=np.int32), visits),
+                               "t": np.full(len(rows) * visits, t, dtype=np.int32), "cell": cells.ravel()}
+                        if not bare:
+                            lows = [x.tobytes() for x in best[0].astype(np.int32)]
+                            out |= {"lows": [x for x in lows for _ in range(visits)], "id": np.repeat(rows["id"].to_numpy(), visits),
+                                    "vector": [x for x in rows["vector"] for _ in range(visits)]}
+                        yield pd.DataFrame(out)
 
     return run
 
@@ -126,6 +139,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, most: int) -> np.ndarray:
 
 
 def _ranked(most: int):
+    """The best of ``vectors`` for each query: of all of them, or where they have ``lows`` of those that share one with it."""
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(vectors):
@@ -137,21 +151,38 @@ def _ranked(most: int):
                     m[i, : len(x)] = x
                 return m
 
+            probed = "lows" in vectors
+            if probed:
+                low = np.frombuffer(b"".join(vectors["lows"]), dtype=np.int32)
+                order = np.argsort(low, kind="stable")
+                vectors, low = vectors.iloc[order], low[order]
+                own, starts = np.unique(low, return_index=True)
+                places = np.searchsorted(own, low)
             c, ids = matrix(vectors["vector"]), vectors["id"].to_numpy()
             longest = np.sqrt((c * c).sum(axis=1)).max()
             for at in range(0, len(queries), 500):
                 rows = queries.iloc[at:at + 500]
                 q = matrix(rows["vector"])
-                rough = q @ c.T
-                take = min(most, len(ids))
-                # All that may tie with the last place, whatever the order of a rough sum did to them.
-                least = np.partition(rough, len(ids) - take, axis=1)[:, len(ids) - take]
-                least -= _ROUNDING * np.sqrt((q * q).sum(axis=1)) * longest
-                for k, query in enumerate(rows["id"]):
-                    near = np.flatnonzero(rough[k] >= least[k])
-                    exact = (q[k] * c[near]).sum(axis=1)  # the same sum wherever the vector stands
-                    best = _best(ids[near], exact, most)
-                    out.append((query, ids[near][best], exact[best]))
+                margin = _ROUNDING * np.sqrt((q * q).sum(axis=1)) * longest
+                if probed:
+                    axes = np.stack([np.frombuffer(x, dtype=np.int32) for x in rows["lows"]])
+                    met = (axes[:, :, None] == own).any(axis=1)
+                    rough = np.empty((len(q), len(ids)))
+                    for k, (start, end) in enumerate(zip(starts, [*starts[1:], len(ids)])):
+                        mine = np.flatnonzero(met[:, k])
+                        rough[mine, start:end] = q[mine] @ c[start:end].T
+                    seen = [np.flatnonzero(x) for x in met[:, places]]
+                else:
+                    rough = q @ c.T
+                    seen = [np.arange(len(ids))] * len(q)
+                for k, (query, mine) in enumerate(zip(rows["id"], seen)):
+                    if len(mine):
+                        # All that may tie with the last place, whatever the order of a rough sum did to them.
+                        scores, last = rough[k, mine], max(0, len(mine) - most)
+                        near = mine[scores >= np.partition(scores, last)[last] - margin[k]]
+                        exact = (q[k] * c[near]).sum(axis=1)  # the same sum wherever the vector stands
+                        best = _best(ids[near], exact, most)
+                        out.append((query, ids[near][best], exact[best]))
         return pd.DataFrame(out, columns=["query", "ids", "scores"])
 
     return run
@@ -186,17 +217,37 @@ def _scanned(vectors: DataFrame, n: int, wanted: DataFrame, asked: int, most: in
 
 
 def _probed(vectors: DataFrame, counts: dict[int, int], width: int, wanted: DataFrame, probes: int, most: int) -> DataFrame:
-    """The best of the ``vectors`` (id, vector, band, functions) in the buckets each query probes, a list for each part of a bucket."""
-    kind = f"functions int, band int, t int, bucket long, id long, vector {vectors.schema['vector'].dataType.simpleString()}"
-    index = stored(vectors.mapInPandas(_hashed(counts, width, None), kind))
-    place = ["functions", "t", "bucket"]
-    parts = index.groupBy("band", *place).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    index = index.join(parts, ["band", *place]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    visits = (wanted.select(F.col("query").alias("id"), "vector", F.lit(0).alias("band")).mapInPandas(_hashed(counts, width, probes), kind).drop("band")
-              .join(parts.withColumnRenamed("band", "found"), place).withColumn("band", F.col("found")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
-    key = ["band", "functions", "t", "bucket", "part"]
-    return visits.select(*key, "id", "vector").groupBy(*key).cogroup(index.select(*key, "id", "vector").groupBy(*key)).applyInPandas(
-        _ranked(most), _LISTS)
+    """The best of the ``vectors`` (id, vector, band, functions) in the buckets each query probes, a list for each part of a cell.
+
+    Cells are counted first, on both sides, and dealt in parts of vectors and
+    blocks of queries; a row a cell, of some thousand vectors, is broadcast.
+    """
+    place = ["functions", "t", "cell"]
+    queries = wanted.select(F.col("query").alias("id"), "vector", F.lit(0).alias("band"))
+
+    def hashed(rows: DataFrame, asked: int | None, bare: bool) -> DataFrame:
+        kind = "functions int, band int, t int, cell long"
+        return rows.mapInPandas(_hashed(counts, width, asked, bare), kind if bare else
+                                f"{kind}, lows binary, id long, vector {vectors.schema['vector'].dataType.simpleString()}")
+
+    def share(most: int) -> Column:
+        return F.ceil(F.count(F.lit(1)) / most).cast("int")
+
+    def dealt(count: str, salt: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.col(count)).cast("int")
+
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    parts = stored(hashed(vectors, None, True).groupBy("band", *place).agg(share(PART).alias("parts")))
+    blocks = F.broadcast(stored(hashed(queries, probes, True).groupBy(*place).agg(share(VISITS).alias("blocks"))))
+    index = (hashed(vectors, None, False).join(F.broadcast(parts), ["band", *place]).join(blocks, place)
+             .withColumn("part", dealt("parts", 7)).withColumn("block", each("blocks")))
+    visits = (hashed(queries, probes, False).drop("band").join(F.broadcast(parts), place).join(blocks, place)
+              .withColumn("block", dealt("blocks", 11)).withColumn("part", each("parts")))
+    key = ["band", *place, "part", "block"]
+    return visits.select(*key, "lows", "id", "vector").groupBy(*key).cogroup(
+        index.select(*key, "lows", "id", "vector").groupBy(*key)).applyInPandas(_ranked(most), _LISTS)
 
 
 def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, tables_: int = TABLES, probes: int = PROBES,
